@@ -1,9 +1,13 @@
 """Substring joins without comparing every text with every term.
 
-A term inside a text shares every n-gram with it, so one n-gram per term - its anchor - is enough
-to find all candidates by an equi-join; ``instr`` then verifies. The anchor length follows the
-term length (8, 4, 2 or 1 characters), and the anchor is the term's n-gram with the least hash,
-which spreads terms with a common beginning over different anchors.
+Two exact ways, chosen by the measured size of the terms:
+
+* A bounded term set is broadcast and found in one pass over each text (Aho-Corasick in an Arrow
+  UDF). Texts stay in their partitions; cost does not depend on the number of terms.
+* Beyond that, an equi-join on anchors. A term inside a text shares every n-gram with it, so one
+  n-gram per term is enough to find all candidates, and ``instr`` verifies. The anchor length
+  follows the term length (8, 4, 2 or 1), and the anchor is the term's n-gram with the least hash,
+  which spreads terms with a common beginning. Only grams and keys are shuffled, not texts.
 """
 
 from __future__ import annotations
@@ -11,13 +15,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from supportkb.functions.matching import ahocorasick, term_finder
 from supportkb.functions.text import ngrams
 from supportkb.sizing import is_small, measure
 
+MAX_FINDER_TERMS = 100_000
+MAX_FINDER_CHARS = 4 * 1024 * 1024
 TIERS = (8, 4, 2, 1)
 CHUNK = 16_384
 
 
+def contains_join(texts: DataFrame, text: str, terms: DataFrame, term: str, pos: str = "pos",
+                  key: list[str] | None = None, route: str | None = None) -> DataFrame:
+    """Inner join of ``texts`` and ``terms`` on "text contains term", adding the 1-based position
+    of the first occurrence. Empty terms match nothing.
+
+    ``key`` names the columns that identify a text (default: all but the text). Term columns must
+    not clash with text columns. ``route`` forces "finder" or "grams", for tests."""
+    terms = terms.filter(F.char_length(F.col(term)) > 0)
+    size = measure(terms)
+    fits = is_small(size, MAX_FINDER_TERMS, MAX_FINDER_CHARS) and ahocorasick is not None
+    if route == "finder" or (route is None and fits):
+        return _by_finder(texts, text, terms, term, pos)
+    return _by_grams(texts, text, terms, term, pos, key or [c for c in texts.columns if c != text])
+
+
+def _by_finder(texts: DataFrame, text: str, terms: DataFrame, term: str, pos: str) -> DataFrame:
+    words = [r[0] for r in terms.select(term).distinct().collect()]  # bounded by MAX_FINDER_*
+    find = term_finder(texts.sparkSession, words)
+    hits = (texts.filter(F.char_length(F.col(text)) > 0)
+            .withColumn("_hit", F.explode(find(F.col(text))))
+            .select(*texts.columns, F.col("_hit.term").alias(term), F.col("_hit.pos").alias(pos)))
+    if terms.columns != [term]:
+        hits = hits.join(F.broadcast(terms), term)
+    return hits.select(*texts.columns, *terms.columns, pos)
+
+
 def _tier(term: Column) -> Column:
     out = F.lit(TIERS[-1])
     for n in reversed(TIERS[:-1]):
@@ -26,50 +59,33 @@ def _tier(term: Column) -> Column:
 
 
 def _anchor(term: Column) -> Column:
-    """struct(hash, offset, gram) of the term's least-hash gram; the first one on ties."""
-    per_tier = None
-    for n in TIERS:
-        found = F.array_min(F.transform(
-            ngrams(term, n), lambda g, i: F.struct(F.xxhash64(g).alias("h"), i.alias("off"), g.alias("gram"))))
-        per_tier = F.when(_tier(term) == n, found) if per_tier is None else per_tier.when(_tier(term) == n, found)
-    return per_tier
+    """struct(h, off, gram) of the term's least-hash gram; the first one on ties."""
+    def least(n: int) -> Column:
+        return F.array_min(F.transform(ngrams(term, n), lambda g, i: F.struct(
+            F.xxhash64(g).alias("h"), i.alias("off"), g.alias("gram"))))
 
+    out = least(TIERS[-1])
+    for n in reversed(TIERS[:-1]):
+        out = F.when(_tier(term) == n, least(n)).otherwise(out)
+    return out
 
-def contains_join(texts: DataFrame, text: str, terms: DataFrame, term: str,
-                  pos: str = "pos", key: list[str] | None = None) -> DataFrame:
-    """Inner join of ``texts`` and ``terms`` on "text contains term", adding the 1-based position
-    of the first occurrence. Empty terms match nothing.
 
-    Small term sets (measured) are broadcast, so the texts stay where they are. Beyond that the
-    grams are shuffled without their texts; ``key`` then names the columns that identify a text.
-    Texts longer than one chunk are cut into chunks for the gram scan only, and a pair is kept in
-    the one chunk that holds the anchor of the term's first occurrence, so no pair is lost or
-    repeated. Term columns must not clash with text columns.
-    """
-    anchored = (terms.filter(F.char_length(F.col(term)) > 0)
-                .withColumn("_a", _anchor(F.col(term)))
+def _by_grams(texts: DataFrame, text: str, terms: DataFrame, term: str, pos: str, key: list[str]) -> DataFrame:
+    """Texts longer than one chunk are cut for the gram scan only; a pair is kept in the one chunk
+    that holds the anchor of the term's first occurrence, so none is lost or repeated."""
+    anchored = (terms.withColumn("_a", _anchor(F.col(term)))
                 .withColumn("_gram", F.col("_a.gram")).withColumn("_off", F.col("_a.off")).drop("_a"))
-    size = measure(anchored, F.collect_set(F.char_length("_gram")).alias("tiers"))
-    tiers = sorted(size["tiers"]) or [TIERS[0]]
-
     t = F.col(text)
     starts = F.sequence(F.lit(1), F.greatest(F.char_length(t), F.lit(1)), F.lit(CHUNK))
     chunked = (texts.filter(F.char_length(t) > 0)
                .withColumn("_start", F.explode(starts))
                .withColumn("_chunk", F.when(F.char_length(t) <= CHUNK, t)
-                           .otherwise(F.substr(t, F.col("_start"), F.lit(CHUNK + max(tiers) - 1)))))
-    grams = F.array_distinct(F.concat(*[ngrams(F.col("_chunk"), n) for n in tiers]))
+                           .otherwise(F.substr(t, F.col("_start"), F.lit(CHUNK + TIERS[0] - 1)))))
+    grams = F.array_distinct(F.concat(*[ngrams(F.col("_chunk"), n) for n in TIERS]))
+    candidates = (chunked.select(*key, "_start", F.explode(grams).alias("_gram"))
+                  .join(anchored, "_gram"))
     at = F.instr(t, F.col(term))
     anchor_at = at + F.col("_off")
-    verified = (at > 0) & (anchor_at >= F.col("_start")) & (anchor_at < F.col("_start") + CHUNK)
-
-    if is_small(size):
-        hits = (chunked.withColumn("_gram", F.explode(grams)).drop("_chunk")
-                .join(F.broadcast(anchored), "_gram").filter(verified))
-    else:
-        key = key or [c for c in texts.columns if c != text]
-        candidates = (chunked.select(*key, "_start", F.explode(grams).alias("_gram"))
-                      .join(anchored, "_gram"))
-        hits = candidates.join(texts, key).filter(verified)
-    return hits.withColumn(pos, at).select(
-        *texts.columns, *[c for c in terms.columns], pos)
+    return (candidates.join(texts, key).withColumn(pos, at)
+            .filter((F.col(pos) > 0) & (anchor_at >= F.col("_start")) & (anchor_at < F.col("_start") + CHUNK))
+            .select(*texts.columns, *terms.columns, pos))

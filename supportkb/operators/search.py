@@ -153,8 +153,8 @@ def search_exact(rows: DataFrame, terms: DataFrame, queries: DataFrame) -> DataF
     """Per (query, row) the longest term inside the row, earlier term on ties, with its snippet.
 
     Returns query_id, layer, row_ord, name, page, ref, term, snippet."""
-    wanted = terms.join(queries.select("query_id", "product"), "query_id")
-    found = contains_join(rows, "blob", terms.select("term").distinct(), "term", pos="pos",
+    wanted = cut_lineage(terms.join(queries.select("query_id", "product"), "query_id"))
+    found = contains_join(rows, "blob", wanted.select("term").distinct(), "term", pos="pos",
                           key=["layer", "row_ord"])
     slim = found.select("layer", "row_ord", "name", "page", "ref", "term",
                         snippet(F.col("blob"), F.col("pos"), F.col("term")).alias("snippet"),
@@ -243,8 +243,8 @@ def search_fuzzy(rows: DataFrame, terms: DataFrame, queries: DataFrame, cutoff:
 
     Distinct terms of a product are packed into short arrays, and each row of that product meets
     each pack once: the texts cross to Python once per pack instead of once per query."""
-    scoped = (terms.filter(F.char_length("term") >= 2)
-              .join(queries.select("query_id", norm(F.col("product")).alias("scope")), "query_id"))
+    scoped = cut_lineage(terms.filter(F.char_length("term") >= 2)
+                         .join(queries.select("query_id", norm(F.col("product")).alias("scope")), "query_id"))
     distinct_terms = scoped.select("scope", "term").distinct()
     bucket = F.floor((F.row_number().over(W.partitionBy("scope", "slot").orderBy("term")) - 1) / pack_size)
     packs = (distinct_terms.withColumn("slot", F.pmod(F.xxhash64("term"), F.lit(16)))
@@ -325,9 +325,9 @@ def search_bm25(rows: DataFrame, terms: DataFrame, queries: DataFrame, top: int
     ranking so that summation order cannot change the result."""
     scopes = Scopes(queries)
     idf = bm25_corpus_stats(rows, scopes, mode, eps)
-    asked = (terms.join(queries.select("query_id", norm(F.col("product")).alias("scope")), "query_id")
-             .select("query_id", "scope", F.explode(TOKENIZERS[mode](F.col("term"))).alias("tok"))
-             .groupBy("query_id", "scope", "tok").agg(F.count(F.lit(1)).alias("qtf")))
+    asked = cut_lineage(terms.join(queries.select("query_id", norm(F.col("product")).alias("scope")), "query_id")
+                        .select("query_id", "scope", F.explode(TOKENIZERS[mode](F.col("term"))).alias("tok"))
+                        .groupBy("query_id", "scope", "tok").agg(F.count(F.lit(1)).alias("qtf")))
     size = measure(asked)
     few_asked = is_small(size, MAX_BROADCAST_ROWS // len(LAYERS))
     needed = broadcast_if(asked.select("tok").distinct(), few_asked)
