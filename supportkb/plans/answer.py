@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from supportkb.functions.text import contains_any, norm
+from supportkb.functions.text import norm
 from supportkb.operators import search as S
+from supportkb.operators.containment import contains_join
 from supportkb.sizing import cut_lineage
 
 
@@ -71,32 +73,31 @@ def diagnose_not_found(queries: DataFrame, terms: DataFrame, manuals: DataFrame,
     (10), source files (5), page images (8) and candidate images whose preview holds a term (10).
 
     ``manuals``: name, pages, norm_len; ``files``/``images``: path, stem; ``pairs``: pdf_base,
-    page_seq, preview, image_rel. Each section is matched by product once per distinct product.
+    page_seq, preview, image_rel. The first three depend on the product only, so they are found
+    once per distinct product and then handed to its queries.
     Returns query_id, section, place, subject, detail, total."""
-    from supportkb.operators.containment import contains_join
-    from pyspark.sql import Window as W
-
     asked = queries.select("query_id", norm(F.col("product")).alias("pn"))
-    products = asked.select("pn").filter("pn <> ''").distinct()
-    open_q = asked.filter("pn = ''")
+    products = asked.select("pn").distinct()
 
     def matched(df: DataFrame, name_col: str, key: list[str]) -> DataFrame:
         named = df.withColumn("_n", norm(F.col(name_col)))
-        by_product = contains_join(named, "_n", products, "pn", key=key).join(asked, "pn").drop("pn", "pos", "_n")
-        with_one = df.withColumn("_j", F.lit(1)).join(open_q.select("query_id", F.lit(1).alias("_j")), "_j").drop("_j")
-        return by_product.unionByName(with_one)
+        by_product = contains_join(named, "_n", products.filter("pn <> ''"), "pn", key=key).drop("pos", "_n")
+        everything = df.withColumn("pn", F.lit("")).join(products, "pn", "left_semi").select(*by_product.columns)
+        return by_product.unionByName(everything)
 
-    def section(df: DataFrame, label: str, cap: int, *order: str) -> DataFrame:
-        w = W.partitionBy("query_id")
-        return (df.withColumn("place", F.row_number().over(w.orderBy(*order)))
-                .withColumn("total", F.count(F.lit(1)).over(w)).filter(F.col("place") <= cap)
-                .select("query_id", F.lit(label).alias("section"), "place", "subject", "detail", "total"))
+    def section(df: DataFrame, owner: str, label: str, cap: int, *order: str) -> DataFrame:
+        rn = F.row_number().over(W.partitionBy(owner).orderBy(*order))
+        total = df.groupBy(owner).agg(F.count(F.lit(1)).alias("total"))
+        return (df.withColumn("place", rn).filter(F.col("place") <= cap).join(total, owner)
+                .select(owner, F.lit(label).alias("section"), "place", "subject", "detail", "total"))
 
     m = (matched(manuals, "name", ["name"])
-         .select("query_id", F.col("name").alias("subject"),
+         .select("pn", F.col("name").alias("subject"),
                  F.concat(F.lit("pages="), "pages", F.lit(" norm_len="), "norm_len").alias("detail")))
-    fl = matched(files, "stem", ["path"]).select("query_id", F.col("path").alias("subject"), F.lit("").alias("detail"))
-    im = matched(images, "stem", ["path"]).select("query_id", F.col("path").alias("subject"), F.lit("").alias("detail"))
+    path = lambda df: matched(df, "stem", ["path"]).select("pn", F.col("path").alias("subject"), F.lit("").alias("detail"))
+    by_product = (section(m, "pn", "MANUALS", 10, "subject")
+                  .unionByName(section(path(files), "pn", "FILES", 5, "subject"))
+                  .unionByName(section(path(images), "pn", "PAGE_IMAGES", 8, "subject")))
     hints = terms.filter(F.char_length("term") >= 2)
     shown = pairs.filter("image_rel <> ''").withColumn("_p", norm(F.col("preview")))
     hit = contains_join(shown, "_p", hints.select("term").distinct(), "term", key=["pdf_base", "page_seq", "image_rel"])
@@ -105,6 +106,5 @@ def diagnose_not_found(queries: DataFrame, terms: DataFrame, manuals: DataFrame,
             .filter((F.col("pn") == "") | F.contains("_b", "pn"))
             .select("query_id", F.col("pdf_base").alias("subject"), "page_seq",
                     F.concat(F.lit("page="), "page_seq", F.lit(" -> "), "image_rel").alias("detail")).distinct())
-    return (section(m, "MANUALS", 10, "subject").unionByName(section(fl, "FILES", 5, "subject"))
-            .unionByName(section(im, "PAGE_IMAGES", 8, "subject"))
-            .unionByName(section(cand, "CANDIDATE_IMAGES", 10, "subject", "page_seq", "detail")))
+    return (by_product.join(asked, "pn").select("query_id", "section", "place", "subject", "detail", "total")
+            .unionByName(section(cand, "query_id", "CANDIDATE_IMAGES", 10, "subject", "page_seq", "detail")))

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from supportkb.functions.text import norm
+from supportkb.operators.chat import opening_text, reply_turns
 from supportkb.sources.files import read_table
 
 
@@ -111,11 +111,7 @@ def sql_document_rows(layer: str = "OCR", raw: bool = False) -> str:
 
 def turn_pairs(spark, sf_dir) -> DataFrame:
     """User turn directly followed by an assistant turn."""
-    c = table(spark, sf_dir, "conversations")
-    w = W.partitionBy("conv_id").orderBy("turn")
-    return (c.withColumn("question", F.lag("text").over(w)).withColumn("before", F.lag("role").over(w))
-            .filter("role = 'assistant' AND before = 'user'")
-            .select("conv_id", "turn", "question", F.col("text").alias("answer")))
+    return reply_turns(table(spark, sf_dir, "conversations"))
 
 
 SQL_TURN_PAIRS = """SELECT conv_id, turn, question, text AS answer FROM (
@@ -148,14 +144,13 @@ SQL_FAQ_ROWS = f"""SELECT 'FAQ' AS layer, item_ord AS row_ord, sheet AS name, ''
 
 
 def chat_rows(spark, sf_dir) -> DataFrame:
-    """Chat layer: raw text of all user and assistant turns of a conversation."""
+    """Chat layer: raw text of all user and assistant turns of a conversation, up to 6000 characters."""
     c = table(spark, sf_dir, "conversations").filter("role IN ('user', 'assistant')")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n")
-    return (c.groupBy("conv_id").agg(F.translate(text, "\t\n", "  ").alias("blob"))
-            .select(F.lit("CHATGPT").alias("layer"), F.col("conv_id").alias("row_ord"),
-                    F.concat(F.lit("title "), (F.col("conv_id") % 7).cast("string")).alias("name"),
-                    F.concat(F.lit("project"), (F.col("conv_id") % 3).cast("string")).alias("page"),
-                    F.substring("blob", 1, 6000).alias("blob"), F.col("conv_id").cast("string").alias("ref")))
+    return (opening_text(c).select(
+        F.lit("CHATGPT").alias("layer"), F.col("conv_id").alias("row_ord"),
+        F.concat(F.lit("title "), (F.col("conv_id") % 7).cast("string")).alias("name"),
+        F.concat(F.lit("project"), (F.col("conv_id") % 3).cast("string")).alias("page"),
+        "blob", F.col("conv_id").cast("string").alias("ref")))
 
 
 SQL_CHAT_ROWS = """SELECT 'CHATGPT' AS layer, conv_id AS row_ord, 'title ' || (conv_id % 7) AS name,
