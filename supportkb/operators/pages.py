@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from supportkb import defaults as D
-from supportkb.functions.text import (contains_any, json_text, norm, norm_keep_case, preview, split_lines, strip)
+from supportkb.functions.text import (BLANKS, contains_any, json_text, norm, norm_keep_case, preview, split_lines, strip)
 from supportkb.operators.ordered import running_sums
 
 # The page marker as search sees it, and as segments see it (alone on its line).
 PAGE_MARKER = r"===== PAGE (\d+) ====="
-SEGMENT_MARKER = r"(?mU)^\s*=====\s*PAGE\s+(\d+)\s*=====\s*$"
-OLD_MARKER = r"(?mU)^===== PAGE (\d+) =====\s*$"
+_B = f"[{BLANKS}]"
+SEGMENT_MARKER = f"(?md)^{_B}*====={_B}*PAGE{_B}+(\\d+){_B}*====={_B}*$"
+OLD_MARKER = f"(?md)^===== PAGE (\\d+) ====={_B}*$"
 
 
 # --- splitting ---------------------------------------------------------------------------------
@@ -92,28 +93,31 @@ def param_lines(text: Column, hints: list[str] | None = None, max_rows: int = 40
 
 
 def fact_snippet_array(text: Column, keyword: str, window: int = 140, most: int = 6) -> Column:
-    """Distinct windows around the non-overlapping occurrences of a keyword, at most six."""
+    """Distinct windows around the non-overlapping occurrences of a keyword, at most six. The text
+    is split at the keyword and walked once; the state is the offset and the windows found so far."""
     k = "".join(keyword.split())
     n = norm_keep_case(text)
     pieces = F.split(n, "\\Q" + k + "\\E", -1)
-    # Running offset of each occurrence: the text before it plus the occurrences already passed.
-    ends = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1),
-                       F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("hits")),
-                       lambda acc, p: F.struct(
-                           (acc["at"] + F.char_length(p) + len(k)).alias("at"),
-                           F.concat(acc["hits"], F.array(acc["at"] + F.char_length(p))).alias("hits")))["hits"]
-    cut = F.transform(ends, lambda at: F.substr(
-        n, F.greatest(at - 60, F.lit(0)) + 1, at + len(k) + window - F.greatest(at - 60, F.lit(0))))
-    return F.slice(F.array_distinct(cut), 1, most)
+
+    def step(acc: Column, piece: Column) -> Column:
+        at = acc["at"] + F.char_length(piece)
+        start = F.greatest(at - 60, F.lit(0))
+        cut = F.substr(n, start + 1, at + len(k) + window - start)
+        out = F.when(F.size(acc["out"]) >= most, acc["out"]).when(
+            F.array_contains(acc["out"], cut), acc["out"]).otherwise(F.array_append(acc["out"], cut))
+        return F.struct((at + len(k)).alias("at"), out.alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), start, step)["out"]
 
 
 def fact_snippets(manuals: DataFrame, groups: dict[str, list[str]] | None = None) -> DataFrame:
     """base, grp, kw, pick, snippet for every keyword of every group."""
-    found = []
-    for g, words in (D.FACT_KEYWORDS if groups is None else groups).items():
-        for w in words:
-            found.append(F.transform(fact_snippet_array(F.col("text"), w), lambda s, i, g=g, w=w: F.struct(
-                F.lit(g).alias("grp"), F.lit(w).alias("kw"), (i + 1).alias("pick"), s.alias("snippet"))))
+    def tagged(grp: str, kw: str) -> Column:
+        return F.transform(fact_snippet_array(F.col("text"), kw), lambda s, i: F.struct(
+            F.lit(grp).alias("grp"), F.lit(kw).alias("kw"), (i + 1).alias("pick"), s.alias("snippet")))
+
+    found = [tagged(g, w) for g, words in (D.FACT_KEYWORDS if groups is None else groups).items() for w in words]
     return manuals.select("base", F.explode(F.concat(*found)).alias("f")).select("base", "f.*")
 
 

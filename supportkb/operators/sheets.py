@@ -132,15 +132,14 @@ def decode_cells(cells: DataFrame, strings: DataFrame) -> DataFrame:
 
 def cells_to_rows(cells: DataFrame, strings: DataFrame) -> DataFrame:
     """Cells to tab-joined text rows: gaps filled, line ends to spaces, trailing tabs stripped,
-    empty rows dropped. Returns sheet, row, line."""
-    value = F.translate("value", "\t\r\n", "   ")
-    # The last cell of a column wins, as rows read left to right overwrite.
-    entries = F.collect_list(F.struct("col", value.alias("value")))
-    line = F.array_join(F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("m"))),
-                                    lambda i: F.coalesce(F.try_element_at("m", i), F.lit(""))), "\t")
-    dedup = (decode_cells(cells, strings).groupBy("sheet", "row", "col").agg(F.max("value").alias("value")))
-    return (dedup.groupBy("sheet", "row").agg(F.map_from_entries(entries).alias("m"))
-            .select("sheet", "row", F.regexp_replace(line, r"\t+\z", "").alias("line"))
+    empty rows dropped. Returns sheet, row, line. A group is one sheet row, at most 16384 cells."""
+    entry = F.struct("col", F.translate("value", "\t\r\n", "   ").alias("value"))
+    grouped = decode_cells(cells, strings).groupBy("sheet", "row").agg(F.array_sort(F.collect_list(entry)).alias("m"))
+    at = lambda i: F.filter("m", lambda e: e["col"] == i)
+    line = F.array_join(F.transform(
+        F.sequence(F.lit(0), F.element_at("m", -1)["col"]),
+        lambda i: F.coalesce(F.get(at(i), F.size(at(i)) - 1)["value"], F.lit(""))), "\t")
+    return (grouped.select("sheet", "row", F.regexp_replace(line, r"\t+\z", "").alias("line"))
             .filter("line <> ''"))
 
 
