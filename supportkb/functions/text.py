@@ -132,9 +132,10 @@ def epoch_to_iso(seconds: Column) -> Column:
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(micros / 86_400_000_000).cast("int"))
     rest = F.pmod(micros, F.lit(86_400_000_000))
     sec = F.floor(rest / 1_000_000)
-    return F.format_string(
+    iso = F.format_string(
         "%sT%02d:%02d:%02d.%06dZ", day.cast("string"), F.floor(sec / 3600),
         F.pmod(F.floor(sec / 60), F.lit(60)), F.pmod(sec, F.lit(60)), F.pmod(rest, F.lit(1_000_000)))
+    return F.when(seconds.isNotNull(), iso)
 
 
 def json_text(c: Column) -> Column:
@@ -152,3 +153,9 @@ def contains_any(c: Column, words: list[str]) -> Column:
     for w in words:
         out = out | F.contains(c, F.lit(w))
     return out
+
+
+def with_fields(df, struct: Column):
+    """Adds the fields of a struct, computed once: a filter on a plain projected column is pushed
+    below the projection and computes its expression a second time, one on generated columns is not."""
+    return df.select("*", F.inline(F.array(struct)))

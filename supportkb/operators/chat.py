@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from supportkb import defaults as D
-from supportkb.functions.text import contains_any, epoch_to_iso, fallback_id, is_blank, norm
+from supportkb.functions.text import contains_any, epoch_to_iso, fallback_id, is_blank, norm, with_fields
 from supportkb.operators.ordered import running_last
 from supportkb.sizing import cut_lineage
 
@@ -216,9 +216,7 @@ def joined_text(messages: Column, sep: str = "\n") -> Column:
 def classify_relevance(conversations: DataFrame, **words) -> DataFrame:
     """Adds relevance (1 work, 0 private) and reason, judged on all messages and the title."""
     hay = norm(F.concat(joined_text(F.col("messages")), F.lit(" "), F.coalesce("title", F.lit(""))))
-    return (conversations.withColumn("_hay", hay).withColumn("_c", classify_text(F.col("_hay"), **words))
-            .withColumn("relevance", F.col("_c.relevance")).withColumn("reason", F.col("_c.reason"))
-            .drop("_c", "_hay"))
+    return with_fields(conversations.withColumn("_hay", hay), classify_text(F.col("_hay"), **words)).drop("_hay")
 
 
 def classify_title(title: Column, keywords: list[str] | None = None) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from supportkb import defaults as D
-from supportkb.functions.text import (BLANKS, contains_any, json_text, norm, norm_keep_case, preview, split_lines, strip)
+from supportkb.functions.text import (BLANKS, contains_any, json_text, norm, norm_keep_case, preview, split_lines, strip, with_fields)
 from supportkb.operators.ordered import running_sums
 
 # The page marker as search sees it, and as segments see it (alone on its line).
@@ -149,8 +149,8 @@ def repair_todo(pages: DataFrame, images: DataFrame, name_filter: str = "", forc
     wanted = pages
     if name_filter:
         wanted = wanted.filter(F.contains(norm(F.col("base")), norm(F.lit(name_filter))))
-    weak = (wanted.withColumn("reason", page_weakness(F.col("base"), F.col("body"), force_spec, **words))
-            .filter("reason <> ''"))
+    why = F.struct(page_weakness(F.col("base"), F.col("body"), force_spec, **words).alias("reason"))
+    weak = with_fields(wanted, why).filter("reason <> ''")
     short = F.startswith("reason", F.lit("empty_ocr")) & (F.char_length(norm(F.col("body"))) < min_len)
     todo = weak.filter(~short).select("base", "page_seq", "place", "reason", preview(F.col("body"), 120).alias("preview"))
     return todo.join(last, ["base", "page_seq"]).select("base", "page_seq", "place", "image_rel", "reason", "preview")
@@ -242,11 +242,13 @@ def build_params_layer(pages: DataFrame, names: DataFrame, specs: DataFrame, see
                        hints: list[str] | None = None) -> DataFrame:
     """Parameter facts: manual pages, spec files (no page) and curated seeds with a value. Returns
     name, page, blob."""
-    manual = pages.join(names, "base").select(
-        "name", F.col("page_seq").cast("string").alias("page"), param_lines(F.col("body"), hints).alias("blob"))
-    spec = specs.select("name", F.lit("").alias("page"), param_lines(F.col("text"), hints).alias("blob"))
+    found = lambda df, text: with_fields(df, F.struct(param_lines(F.col(text), hints).alias("blob"))).filter("blob <> ''")
+    manual = (found(pages.select("base", "page_seq", "body"), "body").join(names, "base")
+              .select("name", F.col("page_seq").cast("string").alias("page"), "blob"))
+    spec = found(specs, "text").select("name", F.lit("").alias("page"), "blob")
     c = lambda name: F.coalesce(F.col(name), F.lit(""))
     seed = (seeds.filter(strip(F.col("value")) != "")
             .select(F.concat(F.lit("param_seeds:"), c("product")).alias("name"), c("page").alias("page"),
-                    norm(F.concat_ws(" ", c("model"), c("attribute"), c("value"))).alias("blob")))
-    return manual.unionByName(spec).unionByName(seed).filter("blob <> ''")
+                    norm(F.concat_ws(" ", c("model"), c("attribute"), c("value"))).alias("blob"))
+            .filter("blob <> ''"))
+    return manual.unionByName(spec).unionByName(seed)

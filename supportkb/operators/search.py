@@ -333,8 +333,9 @@ def search_bm25(rows: DataFrame, terms: DataFrame, queries: DataFrame, top: int
     needed = broadcast_if(asked.select("tok").distinct(), few_asked)
     weights = (idf.join(broadcast_if(asked, few_asked), ["scope", "tok"])
                .select("query_id", "scope", "layer", "tok", "avg_len", (F.col("qtf") * F.col("idf")).alias("w")))
+    # Outer, so that no "size > 0" filter tokenizes the text twice; the join drops the NULL.
     tf = (_tokenized(rows, mode)
-          .select("layer", "row_ord", "scope_key", "doc_len", F.explode("tokens").alias("tok"))
+          .select("layer", "row_ord", "scope_key", "doc_len", F.explode_outer("tokens").alias("tok"))
           .join(needed, "tok")
           .groupBy("layer", "row_ord", "scope_key", "doc_len", "tok").agg(F.count(F.lit(1)).alias("tf")))
     part = (F.col("w") * F.col("tf") * (k1 + 1)

@@ -99,7 +99,9 @@ def faq_items(sheets: DataFrame) -> DataFrame:
     # A header may name no known field at all; such a sheet reads like one without header.
     usable = F.coalesce(*[F.col(f"_map.{f}") for f in FIELDS]).isNotNull()
     cells = F.col("cells")
-    data = (mapped.select("sheet", "_h", "_map", usable.alias("_usable"), F.posexplode("rows").alias("item_ord", "cells"))
+    # The outer form keeps the optimizer from adding a "size > 0" filter that parses the text twice.
+    data = (mapped.select("sheet", "_h", "_map", usable.alias("_usable"), F.posexplode_outer("rows").alias("item_ord", "cells"))
+            .filter("item_ord IS NOT NULL")
             .filter(~F.coalesce(F.col("item_ord") == F.col("_h"), F.lit(False)))
             .filter(F.exists(cells, lambda c: (c != "") & ~_is_media(c))))
     item = F.when(F.col("_usable"), map_row(cells, F.col("_map"))).otherwise(fallback_row(cells))
