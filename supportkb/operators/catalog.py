@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from supportkb.functions.text import norm, strip
 from supportkb.operators.containment import contains_join
+from supportkb.sizing import cut_lineage
 
 # How many manuals, page images and videos a catalog row lists, and how many page
 # images the graph draws.
@@ -65,6 +66,7 @@ def match_items(keywords: DataFrame, items: DataFrame, text: str, fold: Column |
 def _first_few(pairs: DataFrame, item: str, cap: int, count_name: str, list_name: str) -> DataFrame:
     """Count and the first ``cap`` items per product. Counting combines before the shuffle and the
     ranking is limited per partition, so a product that matches everything is no single group."""
+    pairs = cut_lineage(pairs)  # read for the count and for the list
     n = pairs.groupBy("product").agg(F.count(F.lit(1)).alias(count_name))
     rn = F.row_number().over(W.partitionBy("product").orderBy(item))
     few = (pairs.withColumn("_rn", rn).filter(F.col("_rn") <= cap)
@@ -86,12 +88,13 @@ def match_products(sheets: DataFrame, keywords: DataFrame, manuals: DataFrame, i
                    videos: DataFrame) -> DataFrame:
     """The catalog: product, keywords, faq, and count plus first entries of manuals, page images and
     videos. ``manuals``: manual, stem; ``images``: image_rel; ``videos``: video."""
+    keywords = cut_lineage(keywords)  # matched against four tables
     by_name = match_items(keywords, manuals.select("manual", "stem"), "stem").select("product", "manual")
     ocr = by_name.unionByName(manuals_by_images(keywords, images, manuals)).distinct()
     pages = match_items(keywords, images.select("image_rel"), "image_rel")
     vids = match_items(keywords, videos.select("video"), "video")
     out = sheets.select(F.col("sheet").alias("product"), F.concat("sheet", F.lit(".json")).alias("faq")).distinct()
-    words = keywords.groupBy("product").agg(F.array_sort(F.collect_set("keyword")).alias("keywords"))
+    words = keywords.groupBy("product").agg(F.array_sort(F.collect_set("keyword")).alias("keywords"))  # a name's own words
     out = (out.join(words, "product", "left")
            .join(_first_few(ocr, "manual", CAPS["ocr"], "ocr_count", "ocr_files"), "product", "left")
            .join(_first_few(pages, "image_rel", CAPS["pages"], "page_count", "pages"), "product", "left")
@@ -131,6 +134,7 @@ def graph_nodes_edges(catalog: DataFrame, tables: DataFrame, specs: DataFrame, p
     """nodes (id, kind, label, path) and edges (src, dst, rel).
 
     ``specs``/``params``: product, file links; ``related``: product, table; ``tables``: table."""
+    catalog = cut_lineage(catalog)  # read once per kind of link
     last = lambda c: F.element_at(F.split(c, r"\\"), -1)
     pid = F.concat(F.lit("product:"), F.col("product"))
     link = lambda df, rel, kind, key, label, path: df.select(

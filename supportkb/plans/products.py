@@ -13,6 +13,7 @@ from supportkb.plans import answer
 from supportkb.plans import tables as T
 from supportkb.plans.manuals import GROUPS, _SQL_SNIPPETS
 from supportkb.functions.text import norm
+from supportkb.sizing import cut_lineage
 
 QUERIES, ORACLE = {}, {}
 
@@ -183,8 +184,8 @@ ORACLE["related_tables"] = f"WITH kw AS ({_SQL_PRODUCT_KEYWORDS}) {_SQL_RELATED}
 
 
 def _graph(spark, sf_dir):
-    cat, tables = catalog(spark, sf_dir), _tables(spark, sf_dir)
-    links = link_specs_params(spark, sf_dir)
+    cat, tables = cut_lineage(catalog(spark, sf_dir)), _tables(spark, sf_dir)
+    links = cut_lineage(link_specs_params(spark, sf_dir))
     return cat, *C.graph_nodes_edges(cat, tables, links, links, related_tables(spark, sf_dir))
 
 
