@@ -7,7 +7,6 @@ all windows of all texts of an Arrow batch at once: m steps of four numpy operat
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,133 +14,136 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_WORD = 64
 _BLOCK = 32_768
+_WIDTHS = [(8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)]
 
 
 def _codes(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def _needle_masks(needle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct characters, sorted, and per character one bit mask row of ceil(m/64) words."""
-    words = math.ceil(len(needle) / _WORD)
-    chars = np.unique(needle)
-    masks = np.zeros((len(chars) + 1, words), dtype=np.uint64)
-    for i, row in enumerate(np.searchsorted(chars, needle)):
-        masks[row, i // _WORD] |= np.uint64(1) << np.uint64(i % _WORD)
-    return chars, masks
-
-
-def _position_rows(codes: np.ndarray, chars: np.ndarray) -> np.ndarray:
-    """Mask row of each text position; characters outside the needle get the empty last row."""
-    rows = np.searchsorted(chars, codes)
-    rows[rows == len(chars)] = 0
-    rows[chars[rows] != codes] = len(chars)
-    return rows
-
-
-def _window_lcs(rows: np.ndarray, masks: np.ndarray, m: int, n_windows: int) -> np.ndarray:
-    """LCS of the needle with every m-wide window that starts at positions 0..n_windows-1."""
-    words = masks.shape[1]
-    out = np.empty(n_windows, dtype=np.int64)
-    pos_masks = [masks[:, w][rows] for w in range(words)]
-    tail = m % _WORD
-    last = np.uint64((1 << tail) - 1) if tail else np.uint64(0xFFFFFFFFFFFFFFFF)
-    for lo in range(0, n_windows, _BLOCK):
-        hi = min(lo + _BLOCK, n_windows)
-        state = [np.full(hi - lo, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64) for _ in range(words)]
-        for step in range(m):
-            carry = None
-            for w in range(words):
-                s = state[w]
-                u = s & pos_masks[w][lo + step:hi + step]
-                total = s + u
-                if words > 1:
-                    over = total < s
-                    if carry is not None:
-                        total = total + carry
-                        over |= (total == 0) & (carry == 1)
-                    carry = over.astype(np.uint64)
-                state[w] = total | (s & ~u)
-        n = np.zeros(hi - lo, dtype=np.int64)
-        for w in range(words):
-            bits = ~state[w] & (last if w == words - 1 else np.uint64(0xFFFFFFFFFFFFFFFF))
-            n += np.bitwise_count(bits)
-        out[lo:hi] = n
-    return out
+class TextBatch:
+    """Texts laid end to end with gaps as wide as the longest needle, characters numbered once.
+    Number 0 stands for the gap and for no character."""
+
+    def __init__(self, texts: list[np.ndarray], longest: int):
+        self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        gap = np.zeros(longest, dtype=np.uint32)
+        pieces, at, self.starts = [gap], longest, np.empty(len(texts), dtype=np.int64)
+        for i, t in enumerate(texts):
+            self.starts[i] = at
+            pieces += [t, gap]
+            at += len(t) + longest
+        self.ends = self.starts + self.lengths
+        flat = np.concatenate(pieces)
+        self.chars, numbers = np.unique(flat, return_inverse=True)
+        self.numbers = numbers.astype(np.uint16 if len(self.chars) < 65536 else np.uint32)
+
+    def masks(self, needle: np.ndarray) -> list[np.ndarray]:
+        """Per 64 characters of the needle: for each text position the bits where its character
+        stands. The word is as narrow as the needle allows."""
+        kind = next((k for n, k in _WIDTHS if len(needle) <= n), np.uint64)
+        at = np.searchsorted(self.chars, needle)
+        known = (at < len(self.chars)) & (self.chars[np.minimum(at, len(self.chars) - 1)] == needle) & (needle != 0)
+        out = []
+        for lo in range(0, len(needle), 64):
+            table = np.zeros(len(self.chars), dtype=kind)
+            for i in range(lo, min(lo + 64, len(needle))):
+                if known[i]:
+                    table[at[i]] |= kind(1 << (i - lo))
+            out.append(table[self.numbers])
+        return out
+
+
+def _window_lcs(masks: list[np.ndarray], m: int, lo: int, hi: int) -> np.ndarray:
+    """LCS of the needle with the m-wide windows that start at positions lo..hi-1."""
+    kind = masks[0].dtype.type
+    full = np.iinfo(kind).max
+    state = [np.full(hi - lo, full, dtype=kind) for _ in masks]
+    for step in range(m):
+        carry = None
+        for w, mask in enumerate(masks):
+            s = state[w]
+            u = s & mask[lo + step:hi + step]
+            total = s + u
+            if len(masks) > 1:
+                over = total < s
+                if carry is not None:
+                    total = total + carry
+                    over |= (total == 0) & (carry == 1)
+                carry = over.astype(kind)
+            state[w] = total | (s & ~u)
+    n = np.zeros(hi - lo, dtype=np.int32)
+    for w, s in enumerate(state):
+        bits = min(m - 64 * w, 64)
+        n += np.bitwise_count(~s & kind((1 << bits) - 1))
+    return n
+
+
+def batch_ratios(batch: TextBatch, needle: np.ndarray, cutoff: float = 0.0) -> np.ndarray:
+    """Best ratio per text; 0 for texts shorter than the needle.
+
+    Texts that hold too few of the needle's characters to reach ``cutoff`` are skipped unseen:
+    LCS ≤ characters present and w ≥ LCS give LCS ≥ cutoff·m/(200-cutoff)."""
+    m = len(needle)
+    best = np.zeros(len(batch.lengths))
+    masks = batch.masks(needle)
+    fits = np.flatnonzero(batch.lengths >= m)
+    if cutoff > 0 and len(fits):
+        need = cutoff * m / (200.0 - cutoff)
+        edges = np.stack([batch.starts[fits], batch.ends[fits]], axis=1).ravel()
+        present = sum(np.bitwise_count(np.bitwise_or.reduceat(x, edges)[::2]).astype(np.int64) for x in masks)
+        fits = fits[present >= need]
+    # Runs of neighbouring texts are scored together, up to a block that stays in cache.
+    i = 0
+    while i < len(fits):
+        j = i + 1
+        lo = batch.starts[fits[i]] - (m - 1)
+        while j < len(fits) and fits[j] == fits[j - 1] + 1 and batch.ends[fits[j]] - lo <= _BLOCK:
+            j += 1
+        hi = batch.ends[fits[j - 1]]
+        lcs = _window_lcs(masks, m, int(lo), int(hi))
+        width = np.full(hi - lo, m, dtype=np.int64)
+        edges = np.empty(2 * (j - i), dtype=np.int64)
+        for k, t in enumerate(fits[i:j]):
+            first, end = batch.starts[t] - (m - 1) - lo, batch.ends[t] - lo
+            width[first:first + m - 1] = np.arange(1, m)
+            width[end - (m - 1):end] = np.arange(m - 1, 0, -1)
+            edges[2 * k], edges[2 * k + 1] = first, end
+        ratio = 200.0 * lcs / (m + width)
+        best[fits[i:j]] = np.maximum.reduceat(np.append(ratio, 0.0), edges)[::2]
+        i = j
+    return best
 
 
-def partial_ratios(needle: str, texts: list[np.ndarray], cutoff: float = 0.0) -> np.ndarray:
-    """Best ratio of ``needle`` over the windows of each text that is at least as long as it.
-
-    Texts that hold too few of the needle's characters to reach ``cutoff`` are scored 0 unseen:
-    LCS ≤ characters present and w ≥ LCS give LCS ≥ cutoff·m/(200-cutoff).
-    """
-    code = _codes(needle)
-    m = len(code)
-    best = np.zeros(len(texts))
-    chars, masks = _needle_masks(code)
-    need = cutoff * m / (200.0 - cutoff)
-    in_needle = np.searchsorted(chars, code)
-    keep, kept_rows = [], []
-    for i, text in enumerate(texts):
-        rows = _position_rows(text, chars)
-        if need > 0:
-            present = np.zeros(len(chars) + 1, dtype=bool)
-            present[rows] = True
-            if present[in_needle].sum() < need:
-                continue
-        keep.append(i)
-        kept_rows.append(rows)
-    if not keep:
-        return best
-    pad = np.full(m - 1, len(chars), dtype=np.int64)
-    pieces, starts, at = [pad], [], m - 1
-    for rows in kept_rows:
-        starts.append(at)
-        pieces += [rows, pad]
-        at += len(rows) + m - 1
-    flat = np.concatenate(pieces)
-    n_windows = len(flat) - m + 1
-    lcs = _window_lcs(flat, masks, m, n_windows)
-    width = np.full(n_windows, m, dtype=np.int64)
-    firsts = []
-    for start, rows in zip(starts, kept_rows):
-        first, end = start - (m - 1), start + len(rows)
-        firsts.append(first)
-        width[first:start] = np.arange(1, m)
-        width[end - (m - 1):end] = np.arange(m - 1, 0, -1)
-    ratio = 200.0 * lcs / (m + width)
-    best[keep] = np.maximum.reduceat(ratio, firsts)
-    return best
+def partial_ratio(a: str, b: str) -> float:
+    """Symmetric partial ratio of two non-empty strings."""
+    x, y = _codes(a), _codes(b)
+    if len(x) > len(y):
+        x, y = y, x
+    best = batch_ratios(TextBatch([y], len(x)), x)[0]
+    if len(x) == len(y):
+        best = max(best, batch_ratios(TextBatch([x], len(y)), y)[0])
+    return float(best)
 
 
 def score_batch(texts: pd.Series, packs: pd.Series, cutoff: float) -> list[list[dict]]:
     """For each text, the terms of its pack that reach the cutoff. Rows that share a pack share
-    the work; equal terms are scored once per text."""
+    the work."""
     out: list[list[dict]] = [[] for _ in range(len(texts))]
     groups: dict[tuple, list[int]] = {}
     for i, pack in enumerate(packs):
         groups.setdefault(tuple(pack), []).append(i)
     encoded = [_codes(t) for t in texts]
     for pack, members in groups.items():
-        for term in pack:
-            m = len(_codes(term))
-            longer = [i for i in members if len(encoded[i]) >= m]
-            scored = list(zip(longer, partial_ratios(term, [encoded[i] for i in longer], cutoff)))
-            for i in members:
-                if len(encoded[i]) == m:
-                    swapped = partial_ratios(texts.iloc[i], [_codes(term)], cutoff)[0]
-                    scored.append((i, swapped))
-                elif len(encoded[i]) < m:
-                    scored.append((i, partial_ratios(texts.iloc[i], [_codes(term)], cutoff)[0]))
-            top: dict[int, float] = {}
-            for i, s in scored:
-                top[i] = max(top.get(i, 0.0), float(s))
-            for i, s in top.items():
-                if s >= cutoff:
-                    out[i].append({"term": term, "score": s})
+        needles = [_codes(t) for t in pack]
+        batch = TextBatch([encoded[i] for i in members], max(len(n) for n in needles))
+        for term, needle in zip(pack, needles):
+            scores = batch_ratios(batch, needle, cutoff)
+            for k in np.flatnonzero(batch.lengths <= len(needle)):  # roles swap for short texts
+                scores[k] = partial_ratio(term, texts.iloc[members[k]])
+            for k in np.flatnonzero(scores >= cutoff):
+                out[members[k]].append({"term": term, "score": float(scores[k])})
     return out
 
 

@@ -85,15 +85,19 @@ def clean_cell(c: Column) -> Column:
     return F.regexp_replace(strip(c), r"[ \t\r\n]+", " ")
 
 
-def unquote_cell(c: Column) -> Column:
-    """Strip, drop wrapping double quotes, and undo doubled quotes."""
-    s = strip(c)
+def unquote_stripped(s: Column) -> Column:
+    """Drop wrapping double quotes of a stripped cell, and undo doubled quotes."""
     wrapped = s.startswith('"') & s.endswith('"') & (F.char_length(s) >= 2)
     return F.replace(
         F.when(wrapped, F.substr(s, F.lit(2), F.char_length(s) - 2)).otherwise(s),
         F.lit('""'), F.lit('"'))
 
 
+def unquote_cell(c: Column) -> Column:
+    """Strip, drop wrapping double quotes, and undo doubled quotes."""
+    return unquote_stripped(strip(c))
+
+
 def safe_name(c: Column) -> Column:
     """A sheet name usable as a file name."""
     s = F.regexp_replace(strip(F.regexp_replace(c, r'[\\/:*?"<>|]', "_")), r"\.+\z", "")

@@ -10,6 +10,8 @@ Tables
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -150,41 +152,59 @@ class Scopes:
 # --- exact -------------------------------------------------------------------------------------
 
 def search_exact(rows: DataFrame, terms: DataFrame, queries: DataFrame) -> DataFrame:
-    """Per (query, row) the longest term inside the row, earlier term on ties, with its snippet.
-
-    Returns query_id, layer, row_ord, name, page, ref, term, snippet."""
-    wanted = cut_lineage(terms.join(queries.select("query_id", "product"), "query_id"))
-    found = contains_join(rows, "blob", wanted.select("term").distinct(), "term", pos="pos",
-                          key=["layer", "row_ord"])
-    slim = found.select("layer", "row_ord", "name", "page", "ref", "term",
-                        snippet(F.col("blob"), F.col("pos"), F.col("term")).alias("snippet"),
-                        norm(F.col("name")).alias("_name"),
+    """Per (query, row) the longest term inside the row, earlier term on ties.
+
+    The best term is the maximum of one number (length, then earlier ordinal), so the pairs combine
+    in a hash aggregate before they are shuffled, and no text travels with them.
+    Returns query_id, layer, row_ord, name, page, ord, term, term_len."""
+    wanted = cut_lineage(terms.join(queries.select("query_id", norm(F.col("product")).alias("_pn")), "query_id"))
+    few = is_small(measure(wanted))
+    named = rows.select("layer", "row_ord", "name", "page", "blob", norm(F.col("name")).alias("_name"),
                         F.when(F.col("layer") == CHAT, norm(F.col("blob"))).otherwise("").alias("_text"))
-    pn = norm(F.col("product"))
-    hits = (slim.join(broadcast_if_small(wanted), "term")
-            .filter((pn == "") | F.contains(F.col("_name"), pn) | F.contains(F.col("_text"), pn)))
-    best = F.max_by(F.struct("name", "page", "ref", "term", "snippet"),
-                    F.struct(F.char_length("term").alias("n"), (-F.col("ord")).alias("o")))
-    return (hits.groupBy("query_id", "layer", "row_ord").agg(best.alias("b"))
-            .select("query_id", "layer", "row_ord", "b.*"))
-
-
-def rank_exact_hits(hits: DataFrame, top: int = 5) -> DataFrame:
-    """Longest term, then layer weight, then arrival; one hit per (layer, name, page); top 5."""
-    arrival = F.struct((-F.char_length("term")).alias("n"), (-exact_weight(F.col("layer"))).alias("w"),
-                       layer_order(F.col("layer")).alias("l"), "row_ord")
-    uniq = (hits.withColumn("_key", arrival).groupBy("query_id", "layer", "name", "page")
-            .agg(F.min_by(F.struct("row_ord", "term", "snippet", "_key"), F.col("_key")).alias("b"))
-            .select("query_id", "layer", "name", "page", "b.*"))
-    rn = F.row_number().over(W.partitionBy("query_id").orderBy("_key", "name", "page"))
-    return (uniq.withColumn("rank", rn).filter(F.col("rank") <= top)
-            .withColumn("score", exact_weight(F.col("layer")))
-            .select("query_id", "rank", "score", "layer", "name", "page", "row_ord", "term", "snippet"))
-
-
-def enrich_faq_hits(hits: DataFrame, faq_items: DataFrame, per_sheet: int = 3) -> DataFrame:
+    found = contains_join(named, "blob", wanted.select("term").distinct(), "term", key=["layer", "row_ord"])
+    pairs = (found.select("layer", "row_ord", "name", "page", "_name", "_text", "term")
+             .join(broadcast_if(wanted, few), "term")
+             .filter((F.col("_pn") == "") | F.contains("_name", "_pn") | F.contains("_text", "_pn")))
+    code = F.char_length("term").cast("long") * _PLACES - F.col("ord")
+    best = pairs.groupBy("query_id", "layer", "row_ord", "name", "page").agg(F.max(code).alias("_code"))
+    length = F.shiftright(F.col("_code") + (_PLACES - 1), 31)
+    return (best.withColumn("term_len", length).withColumn("ord", (length * _PLACES - F.col("_code")).cast("int"))
+            .join(broadcast_if(wanted.select("query_id", "ord", "term"), few), ["query_id", "ord"])
+            .select("query_id", "layer", "row_ord", "name", "page", "ord", "term", F.col("term_len").cast("int").alias("term_len")))
+
+
+_PLACES = 1 << 31
+
+
+def with_snippets(hits: DataFrame, rows: DataFrame, few: bool) -> DataFrame:
+    """Adds the text around the term to a short list of hits."""
+    text = rows.select("layer", "row_ord", "blob")
+    return (text.join(broadcast_if(hits, few), ["layer", "row_ord"])
+            .select(*hits.columns, snippet(F.col("blob"), F.instr("blob", F.col("term")), F.col("term")).alias("snippet")))
+
+
+def rank_exact_hits(hits: DataFrame, rows: DataFrame, terms: DataFrame, queries: DataFrame, top: int = 5) -> DataFrame:
+    """Longest term, then layer weight, then arrival; one hit per (layer, name, page); top 5, each
+    with its snippet.
+
+    Inside a (layer, name, page) the weight is the same, so its best hit is the maximum of (length,
+    earlier row) - again one number, wide enough for any row ordinal. Terms and texts are fetched
+    for the short ranked list only."""
+    order = (F.col("term_len").cast("decimal(38,0)") * F.lit(Decimal(10 ** 19)) - F.col("row_ord")).cast("decimal(38,0)")
+    uniq = (hits.withColumn("_o", order).groupBy("query_id", "layer", "name", "page")
+            .agg(F.max_by("row_ord", "_o").alias("row_ord"), F.max_by("ord", "_o").alias("ord"),
+                 F.max("term_len").alias("term_len")))
+    by = [F.desc("term_len"), F.desc("score"), layer_order(F.col("layer")), "row_ord", "name", "page"]
+    ranked = (uniq.withColumn("score", exact_weight(F.col("layer")))
+              .withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*by)))
+              .filter(F.col("rank") <= top).join(terms.select("query_id", "ord", "term"), ["query_id", "ord"])
+              .select("query_id", "rank", "score", "layer", "name", "page", "row_ord", "term"))
+    return with_snippets(ranked, rows, Scopes(queries).n_queries * top <= MAX_BROADCAST_ROWS)
+
+
+def enrich_faq_hits(hits: DataFrame, faq_items: DataFrame, rows: DataFrame | None = None, per_sheet: int = 3) -> DataFrame:
     """The first items of each hit sheet that contain any of the query's terms, with their original
-    texts; the hit snippet stands in where the item table has no such row.
+    texts; the hit's snippet stands in where the item table has no such row.
 
     Items carrying any term are exactly the exact hits of the FAQ layer, so no second scan runs.
     ``faq_items``: sheet, item_ord, question, answer, template."""
@@ -193,10 +213,14 @@ def enrich_faq_hits(hits: DataFrame, faq_items: DataFrame, per_sheet: int = 3) -
     first = faq.withColumn("pick", rn).filter(F.col("pick") <= per_sheet)
     items = faq_items.select(F.col("sheet").alias("name"), F.col("item_ord").alias("row_ord"),
                              "question", "answer", "template")
-    text = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("answer", "template")]
+    empty = F.lit("")
+    instead = empty
+    if rows is not None:
+        first, instead = with_snippets(first, rows.filter(F.col("layer") == "FAQ"), False), F.col("snippet")
     return (first.join(items, ["name", "row_ord"], "left")
             .select("query_id", F.col("name").alias("sheet"), "pick", "row_ord", "term",
-                    F.coalesce("question", "snippet").alias("question"), *text))
+                    F.coalesce("question", instead).alias("question"),
+                    *[F.coalesce(F.col(c), empty).alias(c) for c in ("answer", "template")]))
 
 
 # --- lookup ------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from supportkb import defaults as D
-from supportkb.functions.text import clean_cell, contains_any, strip, unquote_cell
+from supportkb.functions.text import clean_cell, contains_any, strip, unquote_stripped
 
 FIELDS = [name for name, _ in D.COLUMN_RULES]
 _TAB, _NEWLINE = "\ue000", "\ue001"
@@ -28,8 +28,9 @@ def split_quoted_rows(text: Column) -> Column:
 
 def sheet_rows(sheets: DataFrame) -> DataFrame:
     """Cleaned, non-blank rows of each sheet as one nested array: sheet, rows."""
-    cleaned = F.transform(split_quoted_rows(F.col("text")),
-                          lambda r: F.transform(r, lambda c: clean_cell(unquote_cell(c))))
+    # Strip and unquote in two passes: inside a lambda a repeated expression is computed each time.
+    cleaned = F.transform(split_quoted_rows(F.col("text")), lambda r: F.transform(
+        F.transform(r, strip), lambda c: clean_cell(unquote_stripped(c))))
     return sheets.select("sheet", F.filter(cleaned, lambda r: F.exists(r, lambda c: c != "")).alias("rows"))
 
 

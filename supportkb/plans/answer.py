@@ -24,7 +24,8 @@ def hybrid_search(queries: DataFrame, rows: DataFrame, faq_items: DataFrame, syn
     terms = cut_lineage(S.expand_terms(queries, synonyms))
     found = cut_lineage(_lookup_stage(queries, terms, faq_items, synonyms))
     open_q = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
-    exact = cut_lineage(S.rank_exact_hits(S.search_exact(rows, _of(terms, open_q), open_q)))
+    open_terms = _of(terms, open_q)
+    exact = cut_lineage(S.rank_exact_hits(S.search_exact(rows, open_terms, open_q), rows, open_terms, open_q))
     open_q2 = open_q.join(exact.select("query_id").distinct(), "query_id", "left_anti")
     left = _of(terms, open_q2)
     bm25 = S.search_bm25(rows, left, open_q2, mode=mode)

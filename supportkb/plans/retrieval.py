@@ -8,6 +8,7 @@ from supportkb.functions.text import norm, norm_keep_case, tokenize_cjk, tokeniz
 from supportkb.operators import search as S
 from supportkb.plans import answer
 from supportkb.plans import tables as T
+from supportkb.sizing import cut_lineage
 
 QUERIES, ORACLE = {}, {}
 
@@ -75,8 +76,9 @@ ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id
 
 def exact_search(spark, sf_dir):
     """Benchmark passages found whole in documents."""
-    q = T.text_queries(spark, sf_dir)
-    return S.rank_exact_hits(S.search_exact(T.document_rows(spark, sf_dir), S.plain_terms(q), q))
+    q, rows = T.text_queries(spark, sf_dir), T.document_rows(spark, sf_dir)
+    terms = S.plain_terms(q)
+    return S.rank_exact_hits(S.search_exact(rows, terms, q), rows, terms, q)
 
 
 QUERIES["exact_search"] = exact_search
@@ -86,20 +88,24 @@ terms AS (SELECT query_id, 0 AS ord, {T.sql_norm('q')} AS term FROM q),
 SELECT * FROM ranked"""
 
 
+def _word_search(spark, sf_dir):
+    q, rows = T.word_queries(spark, sf_dir), T.all_rows(spark, sf_dir)
+    terms = cut_lineage(S.expand_terms(q, T.word_synonyms(spark, sf_dir)))
+    return S.search_exact(rows, terms, q), rows, terms, q
+
+
 def exact_hits(spark, sf_dir):
     """Every (query, row) hit of expanded word queries over three layers, with product filters."""
-    q = T.word_queries(spark, sf_dir)
-    terms = S.expand_terms(q, T.word_synonyms(spark, sf_dir))
-    return S.search_exact(T.all_rows(spark, sf_dir), terms, q)
+    return _word_search(spark, sf_dir)[0].select("query_id", "layer", "row_ord", "name", "page", "term")
 
 
 QUERIES["exact_hits"] = exact_hits
 _SQL_EXPANDED = T.sql_terms(T.SQL_WORD_QUERIES, T.SQL_WORD_SYNONYMS)
-ORACLE["exact_hits"] = f"WITH {_SQL_EXPANDED}, {_sql_hits(T.SQL_ALL_ROWS)} SELECT * FROM hits"
+ORACLE["exact_hits"] = f"WITH {_SQL_EXPANDED}, {_sql_hits(T.SQL_ALL_ROWS)} SELECT query_id, layer, row_ord, name, page, term FROM hits"
 
 
 def rank_exact_hits(spark, sf_dir):
-    return S.rank_exact_hits(exact_hits(spark, sf_dir))
+    return S.rank_exact_hits(*_word_search(spark, sf_dir))
 
 
 QUERIES["rank_exact_hits"] = rank_exact_hits
@@ -110,8 +116,10 @@ ORACLE["rank_exact_hits"] = (f"WITH {_SQL_EXPANDED}, {_sql_hits(T.SQL_ALL_ROWS)}
 def enrich_faq_hits(spark, sf_dir):
     items = T.faq_items(spark, sf_dir)
     q = T.word_queries(spark, sf_dir).withColumn("product", F.lit(""))
-    terms = S.expand_terms(q, T.word_synonyms(spark, sf_dir))
-    return S.enrich_faq_hits(S.search_exact(T.faq_rows(items), terms, q), items)
+    terms = cut_lineage(S.expand_terms(q, T.word_synonyms(spark, sf_dir)))
+    rows = T.faq_rows(items)
+    # Items of even ordinal are missing from the item table, so their snippets stand in.
+    return S.enrich_faq_hits(S.search_exact(rows, terms, q), items.filter("item_ord % 2 = 1"), rows)
 
 
 QUERIES["enrich_faq_hits"] = enrich_faq_hits
@@ -119,7 +127,8 @@ ORACLE["enrich_faq_hits"] = f"""WITH {T.sql_terms(f"SELECT query_id, '' AS produ
                                                   T.SQL_WORD_SYNONYMS)},
 {_sql_hits(T.SQL_FAQ_ROWS)}, items AS ({T.SQL_FAQ_ITEMS})
 SELECT query_id, h.name AS sheet, row_number() OVER (PARTITION BY query_id, h.name ORDER BY row_ord) AS pick,
-  row_ord, term, question, answer, template
+  row_ord, term, CASE WHEN item_ord % 2 = 1 THEN question ELSE snippet END AS question,
+  CASE WHEN item_ord % 2 = 1 THEN answer ELSE '' END AS answer, CASE WHEN item_ord % 2 = 1 THEN template ELSE '' END AS template
 FROM hits h JOIN items i ON i.sheet = h.name AND i.item_ord = h.row_ord QUALIFY pick <= 3"""
 
 

@@ -5,9 +5,6 @@ Events are decisions and misses (user = candidate or product); documents are can
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from supportkb.functions.text import (clean_cell, epoch_to_iso, fallback_id, fingerprint, json_text, preview, redact_pii,
@@ -15,12 +12,11 @@ from supportkb.functions.text import (clean_cell, epoch_to_iso, fallback_id, fin
 from supportkb.operators import gaps as G
 from supportkb.operators import learning as L
 from supportkb.operators import vision as V
-from supportkb.plans import answer
 from supportkb.plans import tables as T
 from supportkb.sources import files as S
 from supportkb.sources import sinks as K
 from supportkb.streaming import flows
-from supportkb.sizing import checkpoint_dir
+from supportkb.sizing import scratch_path
 
 QUERIES, ORACLE = {}, {}
 _NL = "chr(10)"
@@ -441,7 +437,7 @@ ORACLE["spec_file_filter"] = rf"""WITH {_SQL_ASSETS} SELECT path, mt AS "modific
 
 def scan_text_files(spark, sf_dir):
     """Documents written as one text file per source and read back whole."""
-    out = tempfile.mkdtemp(prefix="texts-", dir=checkpoint_dir(spark).removeprefix("file:"))
+    out = scratch_path(spark, "texts")
     c = T.table(spark, sf_dir, "benchmark")
     c.select(F.concat(F.lit("﻿"), "text").alias("value"), "item_id").repartition(4).write.mode("overwrite").partitionBy("item_id").text(out)
     return S.scan_text_files(spark, out).select(F.regexp_replace("text", r"\n\z", "").alias("text"))
@@ -482,7 +478,7 @@ UNION ALL {_sql_tsv('params', 3, True, 1, 'c[2]', 3, '', "''")} UNION ALL {_sql_
 
 def scan_jsonl_lenient(spark, sf_dir):
     """Turns written as JSON lines, every seventh one broken, and read back leniently."""
-    out = tempfile.mkdtemp(prefix="jsonl-", dir=checkpoint_dir(spark).removeprefix("file:"))
+    out = scratch_path(spark, "jsonl")
     c = T.table(spark, sf_dir, "conversations")
     line = F.to_json(F.struct("conv_id", "turn", "role", "text"))
     broken = F.when((F.col("conv_id") + F.col("turn")) % 7 == 0, F.concat(F.lit("{"), line)).otherwise(line)
@@ -506,7 +502,7 @@ ORACLE["index_rows"] = f"SELECT layer, row_ord, name, page, blob FROM ({T.SQL_AL
 
 def write_index(spark, sf_dir):
     """The index written by layer and read back; one layer is read by partition pruning."""
-    out = tempfile.mkdtemp(prefix="index-", dir=checkpoint_dir(spark).removeprefix("file:"))
+    out = scratch_path(spark, "index")
     K.write_index(T.all_rows(spark, sf_dir), out)
     return spark.read.parquet(out).filter("layer = 'OCR'").select("layer", "row_ord", "name", "page", "blob")
 
@@ -533,7 +529,7 @@ ORACLE["index_health"] = f"""WITH r AS ({T.SQL_ALL_ROWS}) SELECT count_if(layer
 
 def append_event_log(spark, sf_dir):
     """Two appends of decisions below one folder per device, read back."""
-    out = tempfile.mkdtemp(prefix="log-", dir=checkpoint_dir(spark).removeprefix("file:"))
+    out = scratch_path(spark, "log")
     e = T.table(spark, sf_dir, "events").select("event_id", "event_type", F.concat(F.lit("dev"), (F.col("user_id") % 3).cast("string")).alias("device_id"))
     K.append_event_log(e.filter("event_id % 2 = 0"), [out])
     K.append_event_log(e.filter("event_id % 2 = 1"), [out])
@@ -562,7 +558,7 @@ def _stream(spark, sf_dir, table):
 
 def _drain(spark, stream, mode):
     """Run a stream over what is there and return its rows from a table of files."""
-    base = tempfile.mkdtemp(prefix="stream-", dir=checkpoint_dir(spark).removeprefix("file:"))
+    base = scratch_path(spark, "stream")
     if mode == "append":
         q = (stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp")
              .outputMode("append").trigger(availableNow=True).start())
@@ -615,16 +611,8 @@ ORACLE["stream_ingest_exports"] = "SELECT DISTINCT CAST(conv_id AS VARCHAR) AS i
 
 
 def stream_miss_alerts(spark, sf_dir):
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", flows.ROCKSDB)
-    try:
-        a = _actions(_stream(spark, sf_dir, "events")).withColumn("micros", F.col("ord")).drop("ts")
-        return _drain(spark, flows.miss_alerts(a), "append")
-    finally:
-        if old is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    a = _actions(_stream(spark, sf_dir, "events")).withColumn("micros", F.col("ord")).drop("ts")
+    return _drain(spark, flows.miss_alerts(a), "append")
 
 
 QUERIES["stream_miss_alerts"] = stream_miss_alerts

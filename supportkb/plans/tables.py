@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,9 @@ from supportkb.operators.chat import opening_text, reply_turns
 from supportkb.sources.files import read_table
 
 
+@functools.lru_cache(maxsize=256)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the driver's tables. They do not change, so a session plans each scan once."""
     return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from supportkb.operators.gaps import ACKNOWLEDGE, RECORD, RESET
 from supportkb.operators.learning import new_candidates
@@ -54,21 +54,19 @@ def miss_rates(stream: DataFrame, length: str = "1 day", slide: str | None = Non
 
 
 ALERTS = "product string, ord long, records long, reminder_due boolean, cycles long, last_reminder long"
+COUNTER = "records long, cycles long, last long"
 
 
-class MissCounter(StatefulProcessor):
-    """Counter per product: records since the last close, sticky reminder, closed cycles."""
-
-    def __init__(self, threshold: int = 3):
-        self.threshold = threshold
+def miss_alerts(stream: DataFrame, threshold: int = 3) -> DataFrame:
+    """Counter state after every action, per product: records since the last close, sticky reminder,
+    closed cycles, last reminder. The state is three numbers per product.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("counter", "records long, cycles long, last long")
+    Input: product, ord, micros, action, in order per product - one product comes from one source
+    partition, as with a log keyed by product."""
 
-    def handleInputRows(self, key, rows, timerValues):
-        saved = self.state.get() if self.state.exists() else (0, 0, None)
-        records, cycles, last = int(saved[0]), int(saved[1]), saved[2]
-        for pdf in rows:
+    def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        records, cycles, last = state.get if state.exists else (0, 0, None)
+        for pdf in frames:
             out = []
             for ord_, at, action in sorted(zip(pdf["ord"], pdf["micros"], pdf["action"])):
                 if action == RECORD:
@@ -77,20 +75,10 @@ class MissCounter(StatefulProcessor):
                     records, cycles, last = 0, cycles + 1, int(at)
                 elif action == RESET:
                     records, last = 0, None
-                out.append((key[0], int(ord_), records, records >= self.threshold, cycles, last))
+                out.append((key[0], int(ord_), records, records >= threshold, cycles, last))
             frame = pd.DataFrame(out, columns=["product", "ord", "records", "reminder_due", "cycles", "last_reminder"])
             yield frame.astype({"last_reminder": "Int64"})
-        self.state.update((records, cycles, last))
-
-    def close(self) -> None:
-        pass
-
-
-def miss_alerts(stream: DataFrame, threshold: int = 3) -> DataFrame:
-    """Counter state after every action, per product. Needs the RocksDB state store. Input: product,
-    ord, micros, action, arriving in order per product."""
-    return stream.groupBy("product").transformWithStateInPandas(
-        MissCounter(threshold), ALERTS, outputMode="append", timeMode="none")
-
+        state.update((records, cycles, last))
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    return stream.groupBy("product").applyInPandasWithState(
+        count, ALERTS, COUNTER, "append", GroupStateTimeout.NoTimeout)
