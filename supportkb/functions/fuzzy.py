@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BLOCK = 32_768
+_BLOCK, _TEXTS = 32_768, 32
 _WIDTHS = [(8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)]
 
 
@@ -137,13 +137,16 @@ def score_batch(texts: pd.Series, packs: pd.Series, cutoff: float) -> list[list[
     encoded = [_codes(t) for t in texts]
     for pack, members in groups.items():
         needles = [_codes(t) for t in pack]
-        batch = TextBatch([encoded[i] for i in members], max(len(n) for n in needles))
-        for term, needle in zip(pack, needles):
-            scores = batch_ratios(batch, needle, cutoff)
-            for k in np.flatnonzero(batch.lengths <= len(needle)):  # roles swap for short texts
-                scores[k] = partial_ratio(term, texts.iloc[members[k]])
-            for k in np.flatnonzero(scores >= cutoff):
-                out[members[k]].append({"term": term, "score": float(scores[k])})
+        longest = max(len(n) for n in needles)
+        for lo in range(0, len(members), _TEXTS):  # few texts at a time stay in cache
+            part = members[lo:lo + _TEXTS]
+            batch = TextBatch([encoded[i] for i in part], longest)
+            for term, needle in zip(pack, needles):
+                scores = batch_ratios(batch, needle, cutoff)
+                for k in np.flatnonzero(batch.lengths <= len(needle)):  # roles swap for short texts
+                    scores[k] = partial_ratio(term, texts.iloc[part[k]])
+                for k in np.flatnonzero(scores >= cutoff):
+                    out[part[k]].append({"term": term, "score": float(scores[k])})
     return out
 
 

@@ -40,3 +40,27 @@ def term_finder(spark: SparkSession, terms: list[str]) -> Callable[[Column], Col
             yield pd.Series([first_hits(automaton, t) for t in texts])
 
     return find
+
+
+def group_finder(spark: SparkSession, words: list[tuple[str, str]]) -> Callable[[Column], Column]:
+    """A column function giving the distinct groups any of whose words occur in the text, for
+    (word, group) pairs whose total size the caller has checked."""
+    shared = spark.sparkContext.broadcast(words)
+
+    @F.pandas_udf("array<string>")
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        groups: dict[str, set[str]] = {}
+        for word, group in shared.value:
+            groups.setdefault(word, set()).add(group)
+        automaton = ahocorasick.Automaton()
+        for word, owners in groups.items():
+            automaton.add_word(word, (word, owners))
+        automaton.make_automaton()
+        for texts in batches:
+            out = []
+            for text in texts:
+                met = {word: owners for _, (word, owners) in automaton.iter(text)}
+                out.append(sorted(set().union(*met.values())))
+            yield pd.Series(out)
+
+    return find

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from supportkb.functions.text import norm, strip
-from supportkb.operators.containment import contains_join
+from supportkb.operators.containment import contains_any_join, contains_join
 from supportkb.sizing import cut_lineage
 
 # How many manuals, page images and videos a catalog row lists, and how many page
@@ -56,17 +56,17 @@ def product_keywords(sheets: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def match_items(keywords: DataFrame, items: DataFrame, text: str, fold: Column | None = None) -> DataFrame:
-    """product, item columns: items whose lowercase text holds any keyword of two or more characters."""
-    words = keywords.filter(F.char_length("keyword") >= 2).select("product", F.lower("keyword").alias("_kw")).distinct()
+    """product, item columns: items whose lowercase text holds any keyword of two or more characters.
+    The items must be distinct."""
+    words = keywords.filter(F.char_length("keyword") >= 2).select(F.lower("keyword").alias("_kw"), "product")
     folded = items.withColumn("_text", F.lower(F.col(text)) if fold is None else fold)
-    hit = contains_join(folded, "_text", words.select("_kw").distinct(), "_kw", key=items.columns)
-    return hit.join(words, "_kw").select("product", *items.columns).distinct()
+    hit = contains_any_join(folded, "_text", words, "_kw", "product", key=items.columns)
+    return hit.select("product", *items.columns)
 
 
 def _first_few(pairs: DataFrame, item: str, cap: int, count_name: str, list_name: str) -> DataFrame:
     """Count and the first ``cap`` items per product. Counting combines before the shuffle and the
     ranking is limited per partition, so a product that matches everything is no single group."""
-    pairs = cut_lineage(pairs)  # read for the count and for the list
     n = pairs.groupBy("product").agg(F.count(F.lit(1)).alias(count_name))
     rn = F.row_number().over(W.partitionBy("product").orderBy(item))
     few = (pairs.withColumn("_rn", rn).filter(F.col("_rn") <= cap)
@@ -77,7 +77,7 @@ def _first_few(pairs: DataFrame, item: str, cap: int, count_name: str, list_name
 def manuals_by_images(keywords: DataFrame, images: DataFrame, manuals: DataFrame) -> DataFrame:
     """product, manual: manuals whose page images lie under a path that holds a keyword.
     ``images``: image_rel; ``manuals``: manual, stem."""
-    jpg = images.filter(F.lower("image_rel").rlike(r"\.jpg\z"))
+    jpg = images.select("image_rel").filter(F.lower("image_rel").rlike(r"\.jpg\z"))
     name = F.element_at(F.split("image_rel", r"[/\\]"), -1)
     base = F.regexp_replace(F.regexp_replace(name, r"\.[^.]*\z", ""), r"_p-\d+\z", "")
     hit = match_items(keywords, jpg, "image_rel").select("product", base.alias("stem")).distinct()

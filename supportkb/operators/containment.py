@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from supportkb.functions.matching import ahocorasick, term_finder
+from supportkb.functions.matching import ahocorasick, group_finder, term_finder
 from supportkb.functions.text import ngrams
 from supportkb.sizing import is_small, measure
 
@@ -40,6 +40,23 @@ def contains_join(texts: DataFrame, text: str, terms: DataFrame, term: str, pos:
     return _by_grams(texts, text, terms, term, pos, key or [c for c in texts.columns if c != text])
 
 
+def contains_any_join(texts: DataFrame, text: str, words: DataFrame, word: str, group: str,
+                      key: list[str] | None = None, route: str | None = None) -> DataFrame:
+    """Distinct (text row, group) pairs where the text contains any word of the group. Text rows must
+    be distinct. With a bounded word set the groups of a text are united inside its row, so several
+    words of a group hitting one text need no distinct over a shuffle."""
+    words = words.select(word, group).filter(F.char_length(F.col(word)) > 0)
+    size = measure(words)
+    fits = is_small(size, MAX_FINDER_TERMS, MAX_FINDER_CHARS) and ahocorasick is not None
+    if route == "finder" or (route is None and fits):
+        pairs = [(r[0], r[1]) for r in words.distinct().collect()]  # bounded by MAX_FINDER_*
+        find = group_finder(texts.sparkSession, pairs)
+        return (texts.filter(F.char_length(F.col(text)) > 0)
+                .withColumn(group, F.explode(find(F.col(text)))).select(*texts.columns, group))
+    hits = _by_grams(texts, text, words.select(word).distinct(), word, "_pos", key or [c for c in texts.columns if c != text])
+    return hits.join(words, word).select(*texts.columns, group).distinct()
+
+
 def _by_finder(texts: DataFrame, text: str, terms: DataFrame, term: str, pos: str) -> DataFrame:
     words = [r[0] for r in terms.select(term).distinct().collect()]  # bounded by MAX_FINDER_*
     find = term_finder(texts.sparkSession, words)

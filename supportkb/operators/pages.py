@@ -92,11 +92,11 @@ def param_lines(text: Column, hints: list[str] | None = None, max_rows: int = 40
     return F.array_join(F.slice(lines, 1, max_rows), " ")
 
 
-def fact_snippet_array(text: Column, keyword: str, window: int = 140, most: int = 6) -> Column:
-    """Distinct windows around the non-overlapping occurrences of a keyword, at most six. The text
-    is split at the keyword and walked once; the state is the offset and the windows found so far."""
+def fact_snippet_array(n: Column, keyword: str, window: int = 140, most: int = 6) -> Column:
+    """Distinct windows around the non-overlapping occurrences of a keyword in a text without blanks,
+    at most six. The text is split at the keyword and walked once; the state is the offset and the
+    windows found so far. Pass a plain column: inside the walk an expression is computed each time."""
     k = "".join(keyword.split())
-    n = norm_keep_case(text)
     pieces = F.split(n, "\\Q" + k + "\\E", -1)
 
     def step(acc: Column, piece: Column) -> Column:
@@ -114,11 +114,12 @@ def fact_snippet_array(text: Column, keyword: str, window: int = 140, most: int
 def fact_snippets(manuals: DataFrame, groups: dict[str, list[str]] | None = None) -> DataFrame:
     """base, grp, kw, pick, snippet for every keyword of every group."""
     def tagged(grp: str, kw: str) -> Column:
-        return F.transform(fact_snippet_array(F.col("text"), kw), lambda s, i: F.struct(
+        return F.transform(fact_snippet_array(F.col("_n"), kw), lambda s, i: F.struct(
             F.lit(grp).alias("grp"), F.lit(kw).alias("kw"), (i + 1).alias("pick"), s.alias("snippet")))
 
     found = [tagged(g, w) for g, words in (D.FACT_KEYWORDS if groups is None else groups).items() for w in words]
-    return manuals.select("base", F.explode(F.concat(*found)).alias("f")).select("base", "f.*")
+    plain = manuals.select("base", norm_keep_case(F.col("text")).alias("_n"))
+    return plain.select("base", F.explode(F.concat(*found)).alias("f")).select("base", "f.*")
 
 
 # --- weak pages --------------------------------------------------------------------------------

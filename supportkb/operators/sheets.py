@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from supportkb import defaults as D
-from supportkb.functions.text import clean_cell, contains_any, strip, unquote_stripped
+from supportkb.functions.text import clean_cell, contains_any, strip, unquote_stripped, with_fields
 
 FIELDS = [name for name, _ in D.COLUMN_RULES]
 _TAB, _NEWLINE = "\ue000", "\ue001"
@@ -106,9 +106,9 @@ def faq_items(sheets: DataFrame) -> DataFrame:
             .filter(~F.coalesce(F.col("item_ord") == F.col("_h"), F.lit(False)))
             .filter(F.exists(cells, lambda c: (c != "") & ~_is_media(c))))
     item = F.when(F.col("_usable"), map_row(cells, F.col("_map"))).otherwise(fallback_row(cells))
-    out = data.select("sheet", "item_ord", "_usable", item.alias("item"))
-    real = F.exists(F.array(*[F.col(f"item.{f}") for f in FIELDS]), lambda v: (v != "") & ~_is_media(v))
-    return out.filter(~F.col("_usable") | real).select("sheet", "item_ord", "item.*")
+    out = with_fields(data.select("sheet", "item_ord", "_usable", "_map", "cells"), item)
+    real = F.exists(F.array(*[F.col(f) for f in FIELDS]), lambda v: (v != "") & ~_is_media(v))
+    return out.filter(~F.col("_usable") | real).select("sheet", "item_ord", *FIELDS, "media")
 
 
 # --- workbook cells ----------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from supportkb import defaults as D
 from supportkb.operators import search as S
-from supportkb.operators.containment import CHUNK, contains_join
+from supportkb.operators.containment import CHUNK, contains_any_join, contains_join
 from supportkb.plans.answer import hybrid_search, misses_from_search
 from tests.test_text import brute_partial
 
@@ -36,6 +36,15 @@ def test_contains_join_routes_agree_with_brute_force(spark, route):
     assert found == sorted((i, w, len(w), t.find(w) + 1) for i, t in texts for w in terms if w and w in t)
 
 
+@pytest.mark.parametrize("route", ["finder", "grams"])
+def test_contains_any_join_unites_groups(spark, route):
+    texts = [(1, "加湿器V10"), (2, "v10 v20"), (3, "none"), (4, "")]
+    words = [("v10", "a"), ("V10", "a"), ("加湿", "a"), ("v20", "b"), ("v10", "b"), ("", "c")]
+    got = contains_any_join(spark.createDataFrame(texts, "id long, t string"), "t",
+                            spark.createDataFrame(words, "w string, g string"), "w", "g", route=route)
+    assert sorted((r["id"], r["g"]) for r in got.collect()) == [(1, "a"), (2, "a"), (2, "b")]
+
+
 def test_expand_terms_order_and_reverse(spark):
     syn = spark.createDataFrame(D.synonym_rows(), SYN)
     q = spark.createDataFrame([(1, "", "电源线 长度"), (2, "", "消費電力"), (3, "", "XYZ")], Q)
