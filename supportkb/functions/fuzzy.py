@@ -132,8 +132,9 @@ def score_batch(texts: pd.Series, packs: pd.Series, cutoff: float) -> list[list[
     the work."""
     out: list[list[dict]] = [[] for _ in range(len(texts))]
     groups: dict[tuple, list[int]] = {}
-    for i, pack in enumerate(packs):
-        groups.setdefault(tuple(pack), []).append(i)
+    for i, (text, pack) in enumerate(zip(texts, packs)):
+        if text:
+            groups.setdefault(tuple(pack), []).append(i)
     encoded = [_codes(t) for t in texts]
     for pack, members in groups.items():
         needles = [_codes(t) for t in pack]

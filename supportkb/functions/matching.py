@@ -37,7 +37,7 @@ def term_finder(spark: SparkSession, terms: list[str]) -> Callable[[Column], Col
             automaton.add_word(term, term)
         automaton.make_automaton()
         for texts in batches:
-            yield pd.Series([first_hits(automaton, t) for t in texts])
+            yield pd.Series([first_hits(automaton, t or "") for t in texts])
 
     return find
 
@@ -59,7 +59,7 @@ def group_finder(spark: SparkSession, words: list[tuple[str, str]]) -> Callable[
         for texts in batches:
             out = []
             for text in texts:
-                met = {word: owners for _, (word, owners) in automaton.iter(text)}
+                met = {word: owners for _, (word, owners) in automaton.iter(text or "")}
                 out.append(sorted(set().union(*met.values())))
             yield pd.Series(out)
 

@@ -51,8 +51,7 @@ def contains_any_join(texts: DataFrame, text: str, words: DataFrame, word: str,
     if route == "finder" or (route is None and fits):
         pairs = [(r[0], r[1]) for r in words.distinct().collect()]  # bounded by MAX_FINDER_*
         find = group_finder(texts.sparkSession, pairs)
-        return (texts.filter(F.char_length(F.col(text)) > 0)
-                .withColumn(group, F.explode(find(F.col(text)))).select(*texts.columns, group))
+        return texts.withColumn(group, F.explode(find(F.col(text)))).select(*texts.columns, group)
     hits = _by_grams(texts, text, words.select(word).distinct(), word, "_pos", key or [c for c in texts.columns if c != text])
     return hits.join(words, word).select(*texts.columns, group).distinct()
 
@@ -60,8 +59,7 @@ def contains_any_join(texts: DataFrame, text: str, words: DataFrame, word: str,
 def _by_finder(texts: DataFrame, text: str, terms: DataFrame, term: str, pos: str) -> DataFrame:
     words = [r[0] for r in terms.select(term).distinct().collect()]  # bounded by MAX_FINDER_*
     find = term_finder(texts.sparkSession, words)
-    hits = (texts.filter(F.char_length(F.col(text)) > 0)
-            .withColumn("_hit", F.explode(find(F.col(text))))
+    hits = (texts.withColumn("_hit", F.explode(find(F.col(text))))
             .select(*texts.columns, F.col("_hit.term").alias(term), F.col("_hit.pos").alias(pos)))
     if terms.columns != [term]:
         hits = hits.join(F.broadcast(terms), term)
@@ -94,8 +92,7 @@ def _by_grams(texts: DataFrame, text: str, terms: DataFrame, term: str, pos: str
                 .withColumn("_gram", F.col("_a.gram")).withColumn("_off", F.col("_a.off")).drop("_a"))
     t = F.col(text)
     starts = F.sequence(F.lit(1), F.greatest(F.char_length(t), F.lit(1)), F.lit(CHUNK))
-    chunked = (texts.filter(F.char_length(t) > 0)
-               .withColumn("_start", F.explode(starts))
+    chunked = (texts.withColumn("_start", F.explode(starts))
                .withColumn("_chunk", F.when(F.char_length(t) <= CHUNK, t)
                            .otherwise(F.substr(t, F.col("_start"), F.lit(CHUNK + TIERS[0] - 1)))))
     grams = F.array_distinct(F.concat(*[ngrams(F.col("_chunk"), n) for n in TIERS]))

@@ -141,7 +141,9 @@ class Scopes:
         """Give each row of ``df`` (with layer, scope_key) one copy per product that selects it."""
         parts = []
         if self.has_open:
-            parts.append(df.withColumn("scope", F.lit("")))
+            # Always '', but an expression of the row: a literal would be folded into the joins on
+            # scope and turn them into nested loops.
+            parts.append(df.withColumn("scope", F.substring("layer", 1, 0)))
         if self.has_named:
             parts.append(df.join(self.members(rows), ["layer", "scope_key"]).select(*df.columns, "scope"))
         if not parts:
@@ -269,19 +271,19 @@ def search_fuzzy(rows: DataFrame, terms: DataFrame, queries: DataFrame, cutoff:
     each pack once: the texts cross to Python once per pack instead of once per query."""
     scoped = cut_lineage(terms.filter(F.char_length("term") >= 2)
                          .join(queries.select("query_id", norm(F.col("product")).alias("scope")), "query_id"))
+    few = is_small(measure(scoped))
     distinct_terms = scoped.select("scope", "term").distinct()
+    slots = max(1, distinct_terms.count() // pack_size)
     bucket = F.floor((F.row_number().over(W.partitionBy("scope", "slot").orderBy("term")) - 1) / pack_size)
-    packs = (distinct_terms.withColumn("slot", F.pmod(F.xxhash64("term"), F.lit(16)))
+    packs = (distinct_terms.withColumn("slot", F.pmod(F.xxhash64("term"), F.lit(slots)))
              .withColumn("pack_no", bucket).groupBy("scope", "slot", "pack_no")
              .agg(F.array_sort(F.collect_set("term")).alias("pack")).drop("slot", "pack_no"))
 
     text = F.col("blob") if text_chars is None else F.substring("blob", 1, text_chars)
-    base = (rows.withColumn("scope_key", scope_key())
-            .select("layer", "row_ord", "scope_key", text.alias("_text")).filter("_text <> ''"))
+    base = rows.withColumn("scope_key", scope_key()).select("layer", "row_ord", "scope_key", text.alias("_text"))
     scopes = Scopes(queries)
     in_scope = scopes.apply(base, rows)
-    size = measure(packs)
-    if is_small(size):
+    if few:
         met = in_scope.join(F.broadcast(packs), "scope")
     else:
         # One product may hold most rows: spread it, and repeat its packs on every spread part.
@@ -290,13 +292,16 @@ def search_fuzzy(rows: DataFrame, terms: DataFrame, queries: DataFrame, cutoff:
         met = spread.join(repeated, ["scope", "_salt"]).drop("_salt")
     scored = (met.select("scope", "layer", "row_ord",
                          F.explode(partial_ratio_hits(F.col("_text"), F.col("pack"), cutoff)).alias("h"))
-              .select("scope", "layer", "row_ord", "h.term", F.round("h.score", 6).alias("score")))
-    best = F.max_by(F.col("term"), F.struct("score", (-F.col("ord")).alias("o")))
-    per_row = (scored.join(broadcast_if_small(scoped), ["scope", "term"])
-               .groupBy("query_id", "layer", "row_ord")
-               .agg(F.max("score").alias("score"), best.alias("term")))
+              .select("scope", "layer", "row_ord", "h.term", F.round(F.col("h.score") * 1_000_000).cast("long").alias("_s")))
+    # Best score, then earliest term, as one number: a hash aggregate that combines before the shuffle.
+    per_row = (scored.join(broadcast_if(scoped, few), ["scope", "term"])
+               .groupBy("query_id", "layer", "row_ord").agg(F.max(F.col("_s") * _PLACES - F.col("ord")).alias("_code"))
+               .withColumn("_s", F.shiftright(F.col("_code") + (_PLACES - 1), 31))
+               .withColumn("ord", (F.col("_s") * _PLACES - F.col("_code")).cast("int"))
+               .withColumn("score", F.col("_s") / 1_000_000))
     rn = F.row_number().over(W.partitionBy("query_id", "layer").orderBy(F.desc("score"), "row_ord"))
-    ranked = per_row.withColumn("rank", rn).filter(F.col("rank") <= top)
+    ranked = (per_row.withColumn("rank", rn).filter(F.col("rank") <= top)
+              .join(scoped.select("query_id", "ord", "term"), ["query_id", "ord"]))
     return _with_row_text(ranked, rows, scopes.few_hits(top),
                           ["query_id", "layer", "rank", "row_ord", "score", "term"])
 
