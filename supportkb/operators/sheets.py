@@ -134,20 +134,22 @@ def decode_cells(cells: DataFrame, strings: DataFrame) -> DataFrame:
 
 
 def cells_to_rows(cells: DataFrame, strings: DataFrame) -> DataFrame:
-    """Cells to tab-joined text rows: gaps filled, line ends to spaces, trailing tabs stripped,
-    empty rows dropped. Returns sheet, row, line. A group is one sheet row, at most 16384 cells."""
+    """Cells to tab-joined text rows: gaps filled, line ends to spaces, trailing tabs stripped. A row
+    of empty cells is an empty line; a row without cells does not exist. Returns sheet, row, line.
+    A group is one sheet row, at most 16384 cells."""
     entry = F.struct("col", F.translate("value", "\t\r\n", "   ").alias("value"))
     grouped = decode_cells(cells, strings).groupBy("sheet", "row").agg(F.array_sort(F.collect_list(entry)).alias("m"))
     at = lambda i: F.filter("m", lambda e: e["col"] == i)
     line = F.array_join(F.transform(
         F.sequence(F.lit(0), F.element_at("m", -1)["col"]),
         lambda i: F.coalesce(F.get(at(i), F.size(at(i)) - 1)["value"], F.lit(""))), "\t")
-    return (grouped.select("sheet", "row", F.regexp_replace(line, r"\t+\z", "").alias("line"))
-            .filter("line <> ''"))
+    return grouped.select("sheet", "row", F.regexp_replace(line, r"\t+\z", "").alias("line"))
 
 
 def sheet_texts(rows: DataFrame) -> DataFrame:
-    """One text per sheet, rows in order, trimmed, with a final newline."""
+    """One text per sheet, rows in order, trimmed, with a final newline; blank sheets are dropped. A group is one workbook
+    sheet, at most 1,048,576 rows by its format; ``sheet`` must name the workbook too when there
+    are several."""
     ordered = F.array_sort(F.collect_list(F.struct("row", "line")))
     text = strip(F.array_join(F.transform(ordered, lambda r: r["line"]), "\n"))
     return rows.groupBy("sheet").agg(text.alias("text")).filter("text <> ''").select(

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from supportkb.functions.text import split_lines, strip
+from supportkb.functions.text import strip
 from supportkb.operators import pages as P
 from supportkb.operators import sheets as SH
 from supportkb.plans import tables as T

@@ -5,7 +5,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from supportkb import defaults as D
 from supportkb.operators import search as S

@@ -12,6 +12,7 @@ from supportkb.operators import gaps as G
 from supportkb.operators import learning as L
 from supportkb.operators import ordered as O
 from supportkb.operators import pages as P
+from supportkb.operators import search as Q
 from supportkb.operators import sheets as SH
 from supportkb.operators import vision as V
 from supportkb.sources import files as S
@@ -55,6 +56,32 @@ def test_faq_items(spark):
     assert len(got["late"]) == 11
 
 
+def test_cells_to_sheet_text(spark):
+    cells = [("S", 1, "A1", "s", "0"), ("S", 1, "C1", "inlineStr", "x\ty"), ("S", 2, "AA2", "b", "0"), ("S", 3, "A3", "", None),
+             ("S", 4, "B4", "s", "9"), ("S", 5, "A5", "", "1.5"), ("S", 5, "B5", "", ""), ("E", 1, "A1", "", "")]
+    strings = spark.createDataFrame([(0, "共有")], "idx int, text string")
+    rows = SH.cells_to_rows(spark.createDataFrame(cells, "sheet string, row int, ref string, t string, v string"), strings)
+    got = {r["row"]: r["line"] for r in rows.filter("sheet = 'S'").collect()}
+    # Rows of empty cells (a missing value, an unknown shared string) stay as empty lines.
+    assert got == {1: "共有\t\tx y", 2: "\t" * 26 + "FALSE", 3: "", 4: "", 5: "1.5"}
+    texts = [tuple(r) for r in SH.sheet_texts(rows).collect()]
+    assert texts == [("S", "共有\t\tx y\n" + "\t" * 26 + "FALSE\n\n\n1.5\n")]
+
+
+def test_one_source_with_most_rows(spark):
+    """A third and more of all rows under one name: results stay whole and in order."""
+    rows = spark.range(3000).select(
+        F.lit("OCR").alias("layer"), F.col("id").alias("row_ord"), F.when(F.col("id") % 3 != 0, "hot").otherwise(F.concat(F.lit("n"), "id")).alias("name"),
+        F.lit("").alias("page"), F.concat(F.lit("加湿器"), F.col("id").cast("string")).alias("blob"), F.lit("").alias("ref"))
+    q = spark.createDataFrame([(1, "", "加湿器"), (2, "HOT", "加湿器")], "query_id long, product string, q string")
+    terms = Q.plain_terms(q)
+    hits = Q.search_exact(rows, terms, q)
+    assert {r["query_id"]: r["n"] for r in hits.groupBy("query_id").agg(F.count("*").alias("n")).collect()} == {1: 3000, 2: 2000}
+    ranked = Q.rank_exact_hits(hits, rows, terms, q).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["name"], r["row_ord"]) for r in ranked] == [
+        (1, "n0", 0), (1, "hot", 1), (1, "n3", 3), (1, "n6", 6), (1, "n9", 9), (2, "hot", 1)]
+
+
 def test_pages_segments_markers(spark):
     m = spark.createDataFrame([("a", "pre \n===== PAGE 1 =====\n x \n===== PAGE 3 =====\n\n===== PAGE 5 =====\nz"),
                                ("b", " whole "), ("c", "===== PAGE 2 =====\nq")], "base string, text string")
@@ -137,7 +164,7 @@ def test_review_loop(spark):
                                    f"candidate_id string, device_id string, created_at int, ord int, {texts}")
     cand = L.new_candidates(drafts.withColumn("value", F.lit("high")))
     ev = lambda rows: spark.createDataFrame(rows, "candidate_id string, created_at int, action string, ord int")
-    none = ev([]) if False else spark.createDataFrame([], "candidate_id string, created_at int, action string, ord int")
+    none = spark.createDataFrame([], "candidate_id string, created_at int, action string, ord int")
     assert L.approved_cases(cand, none).count() == 0
     both = ev([("id-1", 5, "Approve", 1), ("ID-2", 5, "approve", 2), ("ID-3", 5, "approve", 3), ("ID-3", 6, "revoke", 4), ("ID-3", 6, "approve", 5)])
     got = L.approved_cases(cand, both).collect()
