@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from supportkb import defaults as D
 from supportkb.functions.text import contains_any, epoch_to_iso, fallback_id, is_blank, norm, with_fields
 from supportkb.operators.ordered import running_last
+from supportkb.operators.summary import side_by_side
 from supportkb.sizing import cut_lineage
 
 TEXT_CHARS, QUESTION_CHARS, ANSWER_CHARS = 6000, 1000, 4000
@@ -337,14 +338,12 @@ def top_phrases(work: DataFrame, phrases: list[str] | None = None, top: int = 10
 def corpus_summary(files: DataFrame, classified: DataFrame, work: DataFrame, pairs: DataFrame) -> DataFrame:
     """raw_files, work_conversations, feedback_cases, template_pairs, irrelevant_skipped, total_messages."""
     is_feedback = F.startswith("id", F.lit("feedback_"))
-    one = lambda df, *aggs: df.agg(*aggs).withColumn("_k", F.lit(1))
-    return (one(files, F.count(F.lit(1)).alias("raw_files"))
-            .join(one(work, F.count_if(~is_feedback).alias("work_conversations"),
-                      F.count_if(is_feedback).alias("feedback_cases"),
-                      F.coalesce(F.sum(F.size("messages")), F.lit(0)).alias("total_messages")), "_k")
-            .join(one(pairs, F.count(F.lit(1)).alias("template_pairs")), "_k")
-            .join(one(classified, F.count_if((F.col("relevance") == 0) & (F.size("messages") > 0))
-                      .alias("irrelevant_skipped")), "_k").drop("_k"))
+    return side_by_side(
+        files.agg(F.count(F.lit(1)).alias("raw_files")),
+        work.agg(F.count_if(~is_feedback).alias("work_conversations"), F.count_if(is_feedback).alias("feedback_cases"),
+                 F.coalesce(F.sum(F.size("messages")), F.lit(0)).alias("total_messages")),
+        pairs.agg(F.count(F.lit(1)).alias("template_pairs")),
+        classified.agg(F.count_if((F.col("relevance") == 0) & (F.size("messages") > 0)).alias("irrelevant_skipped")))
 
 
 # --- import state ------------------------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from supportkb.functions.text import fingerprint, norm, redact_pii
+from supportkb.operators.summary import side_by_side
 
 CASE_TEXTS = ["product", "issue", "chinese_logic", "japanese_reply"]
 
@@ -53,9 +54,8 @@ def approved_cases(candidates: DataFrame, events: DataFrame, order: str = "ord")
 def learning_summary(candidates: DataFrame, approved: DataFrame, events: DataFrame) -> DataFrame:
     """candidates, approved_cases, deduplicated (all others), undecided."""
     undecided = pending(candidates, events)
-    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name)).withColumn("_k", F.lit(1))
-    return (one(first_candidate(candidates), "candidates").join(one(approved, "approved_cases"), "_k")
-            .join(one(undecided, "undecided"), "_k")
+    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return (side_by_side(one(first_candidate(candidates), "candidates"), one(approved, "approved_cases"), one(undecided, "undecided"))
             .select("candidates", "approved_cases",
                     (F.col("candidates") - F.col("approved_cases")).alias("deduplicated"), "undecided"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from supportkb import defaults as D
 from supportkb.functions.text import (BLANKS, contains_any, json_text, norm, norm_keep_case, preview, split_lines, strip, with_fields)
 from supportkb.operators.ordered import running_sums
+from supportkb.operators.summary import side_by_side
 
 # The page marker as search sees it, and as segments see it (alone on its line).
 PAGE_MARKER = r"===== PAGE (\d+) ====="
@@ -218,9 +219,9 @@ def image_alignment_summary(aligned: DataFrame, unparsed: DataFrame) -> DataFram
     total = manual_image_counts(aligned).agg(
         F.count(F.lit(1)).alias("manuals"), F.sum("page_count").alias("pages"), F.sum("images").alias("_images"),
         F.sum("matched").alias("matched"), F.sum(F.col("images") - F.col("matched")).alias("_left"),
-        F.sum(F.col("segments") - F.col("matched")).alias("unmatched_segments")).withColumn("_k", F.lit(1))
-    extra = unparsed.agg(F.count(F.lit(1)).alias("_x")).withColumn("_k", F.lit(1))
-    return total.join(extra, "_k").select(
+        F.sum(F.col("segments") - F.col("matched")).alias("unmatched_segments"))
+    extra = unparsed.agg(F.count(F.lit(1)).alias("_x"))
+    return side_by_side(total, extra).select(
         "manuals", "pages", (F.col("_images") + F.col("_x")).alias("images"), "matched",
         (F.col("_left") + F.col("_x")).alias("unmatched_images"), "unmatched_segments")
 

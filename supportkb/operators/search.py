@@ -97,6 +97,12 @@ def scope_key() -> Column:
     return F.when(F.col("layer") == CHAT, F.col("row_ord").cast("string")).otherwise(F.col("name"))
 
 
+def empty_text(of: Column) -> Column:
+    """Always '', but an expression of the row: a literal would be folded out of an equi-join on it
+    and leave a nested loop."""
+    return F.coalesce(F.substring(of.cast("string"), 1, 0), F.lit(""))
+
+
 class Scopes:
     """The distinct products of a query batch, and which rows each one selects.
 
@@ -141,9 +147,7 @@ class Scopes:
         """Give each row of ``df`` (with layer, scope_key) one copy per product that selects it."""
         parts = []
         if self.has_open:
-            # Always '', but an expression of the row: a literal would be folded into the joins on
-            # scope and turn them into nested loops.
-            parts.append(df.withColumn("scope", F.substring("layer", 1, 0)))
+            parts.append(df.withColumn("scope", empty_text(F.col(df.columns[-1]))))
         if self.has_named:
             parts.append(df.join(self.members(rows), ["layer", "scope_key"]).select(*df.columns, "scope"))
         if not parts:

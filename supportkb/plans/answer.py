@@ -83,7 +83,7 @@ def diagnose_not_found(queries: DataFrame, terms: DataFrame, manuals: DataFrame,
     def matched(df: DataFrame, name_col: str, key: list[str]) -> DataFrame:
         named = df.withColumn("_n", norm(F.col(name_col)))
         by_product = contains_join(named, "_n", products.filter("pn <> ''"), "pn", key=key).drop("pos", "_n")
-        everything = df.withColumn("pn", F.lit("")).join(products, "pn", "left_semi").select(*by_product.columns)
+        everything = df.withColumn("pn", S.empty_text(F.col(name_col))).join(products, "pn", "left_semi").select(*by_product.columns)
         return by_product.unionByName(everything)
 
     def section(df: DataFrame, owner: str, label: str, cap: int, *order: str) -> DataFrame:
