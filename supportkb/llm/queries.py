@@ -2,28 +2,63 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from supportkb.llm import chat_format, decontam, spotsigs
+from supportkb.llm import chat_format, decontam, html_extract, minhash, piece_bpe, quality, spotsigs, toxicity
+from supportkb.llm.common import fold
+
+#: Place of the tokenizer's vocabulary; a parameter of the operator.
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash(spark, sf_dir) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op2_chat_format(spark, sf_dir) -> DataFrame:
     rows = chat_format.with_injection(_table(spark, sf_dir, "conversations"))
     return chat_format.chat_digests(chat_format.format_conversations(rows))
 
 
+def op3_sentencepiece(spark, sf_dir) -> DataFrame:
+    return piece_bpe.round_trip_digests(_table(spark, sf_dir, "documents"), MODEL)
+
+
 def op4_decontaminate(spark, sf_dir) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_html_extract(spark, sf_dir) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
+def op6_quality(spark, sf_dir) -> DataFrame:
+    """Folds of five; the remainder 0 is held out."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"), "quality", ~held_out)
+    return quality.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op8_spotsigs(spark, sf_dir) -> DataFrame:
     return spotsigs.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op4_decontaminate, op8_spotsigs)}
+def op10_toxicity(spark, sf_dir) -> DataFrame:
+    """Folds of four; the remainder 2 is held out."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), "toxic", ~held_out)
+    return model.scored(docs).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_chat_format, op3_sentencepiece, op4_decontaminate, op5_html_extract,
+                                   op6_quality, op8_spotsigs, op10_toxicity)}
 
 ORACLE: dict[str, str] = {}
