@@ -7,7 +7,7 @@ document meets its next NEXT neighbours. Stretches cut by a partition's end are
 over the rows at the ends. Every candidate is confirmed on the full sets of both texts.
 
 Taking long stretches apart may separate linked documents that are crowded (in a long stretch in more than CROWDED
-trees; for all others the remaining trees find a link of likeness 0.75 but for a chance below 1e-4). For crowded
+tree or more; for all others the remaining trees find a link of likeness 0.75 but for a chance of 4e-6). For crowded
 documents an exact rest follows: wherever documents of different components share a first minimum, those outside the
 largest component are compared with all others, in bounded blocks of packed sets, giving links only.
 
@@ -27,7 +27,7 @@ from supportkb.llm import common
 from supportkb.llm.components import components
 
 TREES, DEPTH, LEAST = 16, 8, 2
-RUN, NEXT, CROWDED = 12, 3, 4
+RUN, NEXT, CROWDED = 12, 3, 1
 REST_TREES, REST_BLOCK = 8, 128
 TREE_ROWS = 150_000
 PIECE = 1 << 20
