@@ -171,7 +171,7 @@ def node_importance(pages: DataFrame, mix: float = 0.7) -> DataFrame:
                 [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()),
                  pa.array([k[2] for k in keys], pa.string()), pa.array([k[3] for k in keys], pa.int64()),
                  pa.array([seen[k] for k in keys], pa.int64())], ["host", "path", "kind", "what", "n"])
-    counted = (pages.select(host(F.col("url")), F.col("html").cast("string"))
+    counted = (pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
                .mapInArrow(run, "host string, path long, kind string, what long, n long")
                .groupBy("host", "path", "kind", "what").agg(F.sum("n").alias("n")))
 
