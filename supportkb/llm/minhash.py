@@ -8,8 +8,8 @@ over the rows at the ends. Every candidate is confirmed on the full sets of both
 
 Taking long stretches apart may separate linked documents that are crowded (in a long stretch in more than CROWDED
 tree or more; for all others the remaining trees find a link of likeness 0.75 but for a chance of 4e-6). For crowded
-documents an exact rest follows: wherever documents of different components share a first minimum, those outside the
-largest component are compared with all others, in bounded blocks of packed sets, giving links only.
+documents an exact rest follows: in every long stretch the documents outside its largest component are compared with
+all others of the stretch, in bounded blocks of packed sets, giving links only.
 
 Equal sets are one class before anything is compared. Components settle by star contraction.
 
@@ -28,7 +28,7 @@ from supportkb.llm.components import components
 
 TREES, DEPTH, LEAST = 16, 8, 2
 RUN, NEXT, CROWDED = 12, 3, 1
-REST_TREES, REST_BLOCK = 8, 128
+REST_BLOCK = 128
 TREE_ROWS = 150_000
 PIECE = 1 << 20
 
@@ -103,7 +103,7 @@ def features(docs: DataFrame, width: int) -> DataFrame:
                     [batch.column(0).slice(a, b - a), pa.array(np.diff(at), pa.int64()), pa.array(keys[:, 0]),
                      pa.array(keys[:, 1]), _fixed(signatures(flat, at).astype(">u4"))],
                     ["doc_id", "n_shingles", "k1", "k2", "signature"])
-    return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
             .mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, signature binary"))
 
 
@@ -174,7 +174,7 @@ def _forest_pass(rows: DataFrame, parts: int, edges: bool) -> DataFrame:
 
 
 def forest(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(candidate pairs a < b, crowded documents) of class representatives (doc_id, n_shingles, signature)."""
+    """(candidate pairs a < b, crowded documents with the trees of their long stretches) of class representatives (doc_id, n_shingles, signature)."""
     cut = [F.struct(F.lit(t).alias("tree"), F.substring("signature", 1 + t * DEPTH * 4, DEPTH * 4).alias("key"),
                     F.xxhash64("doc_id", F.lit(t)).alias("tie")) for t in range(TREES)]
     rows = reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.inline(F.array(*cut)))
@@ -188,8 +188,8 @@ def forest(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
         rows = this.filter("kind = 2")
         parts = max(1, parts // 64)
     pairs = found.filter("kind = 0").select(F.col("doc").alias("a"), F.col("other").alias("b")).distinct()
-    crowded = (found.filter("kind = 1").groupBy("doc").agg(F.countDistinct("tree").alias("trees"))
-               .filter(F.col("trees") > CROWDED).select("doc"))
+    crowded = (found.filter("kind = 1").groupBy("doc").agg(F.collect_set("tree").alias("trees"))
+               .filter(F.size("trees") > CROWDED).select("doc", F.explode("trees").alias("tree")))
     return pairs, crowded
 
 
@@ -218,50 +218,72 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
 
 
 def rest(crowded: DataFrame, reps: DataFrame, texts: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between components among crowded documents, by comparing all that a first minimum brings together but
-    the members of its largest component with each other."""
-    first = [F.struct(F.lit(t).alias("tree"), F.substring("signature", 1 + t * DEPTH * 4, 4).alias("least")) for t in range(REST_TREES)]
-    here = (reps.join(crowded.select(F.col("doc").alias("doc_id")), "doc_id")
-            .join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-            .select("doc_id", F.coalesce("component", "doc_id").alias("component"), F.inline(F.array(*first))))
+    """Links (a, b) between components: in every long stretch (tree, first LEAST values), its documents outside the largest
+    component meet all its documents, in bounded blocks. A pair is looked at in the first stretch it shares; pairs whose
+    signatures agree in less than ``percent`` by six standard deviations are left out, all others counted on full sets."""
+    spot = F.substring("signature", 1 + F.col("tree") * (DEPTH * 4), F.lit(LEAST * 4))
+    here = (crowded.join(reps.select(F.col("doc_id").alias("doc"), "signature"), "doc").withColumn("spot", spot)
+            .join(found.select(F.col("node").alias("doc"), "component"), "doc", "left")
+            .select("tree", "spot", F.col("doc").alias("doc_id"), F.coalesce("component", "doc").alias("component"), "signature"))
     here = common.written(here, "crowded")
-    spots = ["tree", "least"]
+    spots = ["tree", "spot"]
     sizes = here.groupBy(*spots, "component").agg(F.count(F.lit(1)).alias("n"))
     regions = (sizes.groupBy(*spots).agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("largest"),
                                          F.sum("n").alias("members"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
     marked = here.join(regions, spots).join(texts, "doc_id")
     block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / REST_BLOCK))
-    item = F.struct("doc_id", "component", "text")
+    item = F.struct("component", "signature", "text")
 
     def packed(rows, name):
         return rows.groupBy(*spots, block.alias(f"{name}_block")).agg(F.collect_list(item).alias(name))
     meets = packed(marked.filter("component <> largest"), "asking").join(packed(marked, "asked"), spots)
+    n = TREES * DEPTH
+    least = n * percent / 100 - 6 * (n * percent / 100 * (1 - percent / 100)) ** 0.5
+
+    def side(column, at):
+        item = column.slice(at, 1).flatten()
+        sig = common.column_bytes(item.field(1))[0].reshape(-1, n * 4).view(">u4").astype(np.uint32)
+        return item.field(0).to_numpy(), sig, item.field(2)
+
+    def sets(texts, keep):
+        data, offsets = common.column_bytes(texts.take(pa.array(keep)))
+        return shingles(data, offsets, width)
 
     def run(batches):
         for batch in batches:
-            for asking, asked in zip(batch.column(0), batch.column(1)):
-                q, m = asking.as_py(), asked.as_py()
-                links = {}
-                sets = []
-                for side in (q, m):
-                    data, offsets = common.column_bytes(pa.array([x["text"] or "" for x in side], pa.string()))
-                    flat, at = shingles(data, offsets, width)
-                    sets.append((flat, at))
-                (qf, qa), (mf, ma) = sets
-                size = np.diff(ma)
-                for i, x in enumerate(q):
-                    mine = qf[qa[i]:qa[i + 1]]
-                    spot = np.searchsorted(mine, mf)
-                    spot[spot == len(mine)] = 0
-                    total = np.concatenate([[0], np.cumsum(mine[spot] == mf)])
-                    shared = total[ma[1:]] - total[ma[:-1]]
-                    for j in np.flatnonzero(100 * shared >= percent * (len(mine) + size - shared)).tolist():
-                        if m[j]["component"] != x["component"]:
-                            links[(x["component"], m[j]["component"])] = None     # components are nodes themselves
-                if links:
-                    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in links], pa.int64()),
-                                                      pa.array([k[1] for k in links], pa.int64())], ["a", "b"])
-    return meets.select("asking", "asked").mapInArrow(run, "a long, b long")
+            links = set()
+            for at in range(batch.num_rows):
+                tree = batch.column(0)[at].as_py()
+                (cq, sq, tq), (cm, sm, tm) = side(batch.column(1), at), side(batch.column(2), at)
+                agree = np.zeros((len(sq), len(sm)), np.uint8)
+                for k in range(n):
+                    agree += sq[:, k, None] == sm[None, :, k]
+                maybe = (agree >= least) & (cq[:, None] != cm[None, :])
+                for t in range(tree):
+                    shared = np.ones(maybe.shape, bool)
+                    for k in range(t * DEPTH, t * DEPTH + LEAST):
+                        shared &= sq[:, k, None] == sm[None, :, k]
+                    maybe &= ~shared
+                q, m = np.flatnonzero(maybe.any(1)), np.flatnonzero(maybe.any(0))
+                if not len(q):
+                    continue
+                (qf, qa), (mf, ma) = sets(tq, q), sets(tm, m)
+                both = np.intersect1d(qf, mf)
+                grids = []
+                for flat, cut in ((qf, qa), (mf, ma)):
+                    place = np.minimum(np.searchsorted(both, flat), max(len(both) - 1, 0))
+                    hit = both[place] == flat if len(both) else np.zeros(len(flat), bool)
+                    grid = np.zeros((len(cut) - 1, len(both)), np.float32)
+                    grid[np.repeat(np.arange(len(cut) - 1), np.diff(cut))[hit], place[hit]] = 1
+                    grids.append(grid)
+                common_n = (grids[0] @ grids[1].T).astype(np.int64)
+                union = np.diff(qa)[:, None] + np.diff(ma)[None, :] - common_n
+                i, j = np.nonzero((100 * common_n >= percent * union) & maybe[np.ix_(q, m)])
+                links.update(zip(cq[q[i]].tolist(), cm[m[j]].tolist()))      # components are nodes themselves
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()),
+                                                  pa.array([b for _, b in links], pa.int64())], ["a", "b"])
+    return meets.select("tree", "asking", "asked").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
