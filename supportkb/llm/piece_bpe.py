@@ -22,6 +22,7 @@ import struct
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -329,10 +330,12 @@ def decode(encoded: DataFrame, model_path: str, key: str = "doc_id") -> DataFram
     return encoded.select(key, "ids").mapInArrow(run, f"`{key}` {kind}, text string")
 
 
-def round_trip_digests(docs: DataFrame, model_path: str) -> DataFrame:
-    """Per row: doc_id, number of ids with the end id, digest of the ids, digest of the text decoded from them."""
+def round_trip_digests(docs: DataFrame, model_path: str, with_ids: bool = False) -> DataFrame:
+    """Per row: doc_id, number of ids with the end id, digest of the ids, digest of the text decoded from them, and on
+    request the ids."""
     vocabulary = Vocabulary(model_path)
     decimal = [str(i) for i in range(len(vocabulary.pieces))]
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
     def run(batches):
         encoder, decoder = _tools(vocabulary)
@@ -345,10 +348,11 @@ def round_trip_digests(docs: DataFrame, model_path: str) -> DataFrame:
                     ids = flat[a:b].tolist()
                     said.append(hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
                     back.append(hashlib.sha256(decoder.decode(ids).encode("utf-8")).hexdigest())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(done, len(part)), pa.array(np.diff(offsets), pa.int64()),
-                     pa.array(said, pa.string()), pa.array(back, pa.string())],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                columns = [batch.column(0).slice(done, len(part)), pa.array(np.diff(offsets), pa.int64()),
+                           pa.array(said, pa.string()), pa.array(back, pa.string())]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names)
                 done += len(part)
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return ids.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

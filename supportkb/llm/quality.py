@@ -14,6 +14,7 @@ that are null are not learned from; without any label all scores are 0.5; repeat
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,7 +123,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", learn=None,
     rows = labelled_sample(docs, labels, label, F.lit(True) if learn is None else learn, sample)
 
     def counted(batches):
-        import pyarrow as pa
         for batch in batches:
             data, offsets = common.column_bytes(batch.column(2))
             for a, b in common.pieces(data, offsets, PIECE):
@@ -142,20 +142,36 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", learn=None,
     return NeighbourVote(counts, np.array([r[1] for r in got], np.float32), **model)
 
 
+def _by_blocks(column, held) -> np.ndarray:
+    """Scores of a column of texts, block by block."""
+    data, offsets = common.column_bytes(column)
+    out = np.zeros(len(column))
+    for a, b in common.pieces(data, offsets, PIECE):
+        for c in range(a, b, 512):
+            d = min(c + 512, b)
+            out[c:d] = held.value.score(term_counts(data[offsets[c]:offsets[d]], offsets[c:d + 1] - offsets[c]))
+    return out
+
+
 def scored(docs: DataFrame, model: NeighbourVote, threshold: float = 0.3) -> DataFrame:
     """(doc_id, score, predicted) of every row."""
     held = docs.sparkSession.sparkContext.broadcast(model)     # bounded by the sample
 
     def run(batches):
-        import pyarrow as pa
         for batch in batches:
-            data, offsets = common.column_bytes(batch.column(1))
-            for a, b in common.pieces(data, offsets, PIECE):
-                for c in range(a, b, 512):
-                    d = min(c + 512, b)
-                    part = term_counts(data[offsets[c]:offsets[d]], offsets[c:d + 1] - offsets[c])
-                    score = held.value.score(part)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(c, d - c), pa.array(score, pa.float64()),
-                         pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, "doc_id long, score double, predicted int")
+            score = _by_blocks(batch.column(1), held)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()),
+                                              pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return ids.mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def accepted(docs: DataFrame, model: NeighbourVote, threshold: float = 0.3) -> DataFrame:
+    """The rows, with all their columns, that score at least ``threshold``."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_by_blocks(batch.column(at), held) >= threshold))
+    return docs.mapInArrow(run, docs.schema)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supportkb.llm import chat_format, decontam, html_extract, minhash, piece_bpe, quality, spotsigs, suffix_dedup, toxicity
+from supportkb.llm import chat_format, decontam, html_extract, interp_lm, minhash, piece_bpe, quality, spotsigs, suffix_dedup, toxicity
 from supportkb.llm.common import fold
 
 #: Place of the tokenizer's vocabulary; a parameter of the operator.
@@ -47,13 +47,21 @@ def op6_quality(spark, sf_dir) -> DataFrame:
 
 
 def op7_suffix_dedup(spark, sf_dir) -> DataFrame:
-    return suffix_dedup.without_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup.removed(_table(spark, sf_dir, "documents"))
 
 
 def op8_spotsigs(spark, sf_dir) -> DataFrame:
     return spotsigs.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op9_interpolated_lm(spark, sf_dir) -> DataFrame:
+    """Folds of seven; the remainder 2 is held out."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 7) == 2
+    return interp_lm.scores(docs, ~held_out).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                                                    "base_score", "score")
+
+
 def op10_toxicity(spark, sf_dir) -> DataFrame:
     """Folds of four; the remainder 2 is held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -63,6 +71,6 @@ def op10_toxicity(spark, sf_dir) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_minhash, op2_chat_format, op3_sentencepiece, op4_decontaminate, op5_html_extract,
-                                   op6_quality, op7_suffix_dedup, op8_spotsigs, op10_toxicity)}
+                                   op6_quality, op7_suffix_dedup, op8_spotsigs, op9_interpolated_lm, op10_toxicity)}
 
 ORACLE: dict[str, str] = {}

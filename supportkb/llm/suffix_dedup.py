@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from supportkb.llm import common
 
@@ -266,28 +267,54 @@ def _merge(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], reach[np.r_[first[1:] - 1, len(spans) - 1]]], 1)
 
 
-def without_repeats(documents: DataFrame, hot: int = HOT) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept: what is left as text (a character that was cut
-    in part is left out of the text, not of the digest)."""
-    docs = _ids(documents).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
+def _cut_rows(documents: DataFrame, hot: int, row, finish, schema: T.StructType) -> DataFrame:
+    """Meet each document with its spans; ``finish(carried, raw, cuts)`` makes one output batch of lists. ``row`` is what is
+    carried along."""
+    docs = documents.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), common.as_text(F.col("text")).alias("text"))
+    docs = docs.withColumns({"th": F.xxhash64("text"), "key": F.coalesce("doc_id", F.lit(-(1 << 63)))})
     spans = common.written(repeated_spans(documents, hot), "spans")
-    joined = docs.join(spans, ["key", "th"], "left").select("doc_id", "text", "spans")
+    joined = docs.join(spans, ["key", "th"], "left").select("row", "text", "spans")
 
     def run(batches):
         for batch in batches:
-            out = [[], [], [], [], []]
+            raws, cuts = [], []
             for text, spans in zip(batch.column(1), batch.column(2)):
-                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
                 pairs = spans.as_py() or []
-                kept, cuts = raw, np.zeros((0, 2), np.int64)
-                if pairs:
-                    cuts = _merge(np.array([(p["begin"], p["end"]) for p in pairs], np.int64))
-                    edges = [0, *cuts.ravel().tolist(), len(raw)]
-                    kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                for column, value in zip(out, (len(raw), len(raw) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(),
-                                               kept.decode("utf-8", "ignore"))):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, pa.int64()) for x in out[:3]), *(pa.array(x, pa.string()) for x in out[3:])],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+                raws.append(text.as_buffer().to_pybytes())
+                cuts.append(_merge(np.array([(p["begin"], p["end"]) for p in pairs], np.int64)) if pairs else np.zeros((0, 2), np.int64))
+            yield finish(batch.column(0), raws, cuts)
+    return joined.mapInArrow(run, schema)
+
+
+def _left(raw: bytes, cuts: np.ndarray) -> bytes:
+    edges = [0, *cuts.ravel().tolist(), len(raw)]
+    return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
+
+
+def removed(documents: DataFrame, hot: int = HOT) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()),
+                           T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()),
+                           T.StructField("kept_sha256", T.StringType())])
+
+    def finish(ids, raws, cuts):
+        left = [_left(r, c) for r, c in zip(raws, cuts)]
+        return pa.RecordBatch.from_arrays(
+            [ids, pa.array(map(len, raws), pa.int64()), pa.array([len(r) - len(x) for r, x in zip(raws, left)], pa.int64()),
+             pa.array(map(len, cuts), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())],
+            schema.fieldNames())
+    return _cut_rows(documents, hot, F.col("doc_id").cast("long"), finish, schema)
+
+
+def without_repeats(documents: DataFrame, hot: int = HOT) -> DataFrame:
+    """The documents with what is left of their texts; all columns stay. A character that was cut in part goes as a whole."""
+    others = [c for c in documents.columns if c != "text"]
+    carried = F.struct(*[F.col(f"`{c}`") for c in others])
+    schema = T.StructType([T.StructField("row", T.StructType([documents.schema[c] for c in others])),
+                           T.StructField("left_text", T.StringType())])
+
+    def finish(rows, raws, cuts):
+        left = [_left(r, c).decode("utf-8", "ignore") for r, c in zip(raws, cuts)]
+        return pa.RecordBatch.from_arrays([rows, pa.array(left, pa.string())], ["row", "left_text"])
+    out = _cut_rows(documents, hot, carried, finish, schema)
+    return out.select(*[F.col("left_text").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in documents.columns])
