@@ -47,7 +47,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     with _cleanup(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_at = path
+    return back
+
+
+def forget(df: DataFrame) -> None:
+    """Remove the files behind a step of ``written`` that nothing will read again."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(df._written_at)
+    path.getFileSystem(conf).delete(path, True)
 
 
 @contextlib.contextmanager

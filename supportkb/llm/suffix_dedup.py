@@ -235,13 +235,14 @@ def _decided(suffixes: DataFrame) -> DataFrame:
 
 
 def repeated_spans(documents: DataFrame, hot: int = HOT) -> DataFrame:
-    """(doc_id, th, spans) of the documents that have repeated bytes; spans are (begin, end), not yet merged."""
+    """(key, th, spans) of the documents that have repeated bytes; spans are (begin, end), not yet merged."""
     docs = _ids(documents)
     anchors = common.written(_anchor_rows(docs), "anchors")
     often = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     hits = (anchors.join(often, "gram").groupBy("doc_id", "th")
             .agg(F.collect_set("at").alias("at"), F.collect_set(F.when(F.col("n") > hot, F.col("at"))).alias("hot")))
     hits = common.written(hits, "repeated-anchors")
+    common.forget(anchors)
     keys = docs.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
     asked = keys.join(hits.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), "th", "at", "hot"), ["key", "th"])
     suffixes = common.written(_suffix_rows(asked.withColumn("doc_id", F.col("key"))), "suffixes")
@@ -254,7 +255,10 @@ def repeated_spans(documents: DataFrame, hot: int = HOT) -> DataFrame:
     firsts = windows.groupBy("lead").agg(F.min(F.struct("doc_id", "th", "begin")).alias("one"))
     spans = spans.unionByName(windows.join(firsts, "lead").filter(F.struct("doc_id", "th", "begin") != F.col("one"))
                               .select("doc_id", "th", "begin", "end"))
-    return spans.groupBy(F.col("doc_id").alias("key"), "th").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    spans = spans.groupBy(F.col("doc_id").alias("key"), "th").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    spans = common.written(spans, "spans")
+    common.forget(suffixes)
+    return spans
 
 
 def _merge(spans: np.ndarray) -> np.ndarray:
@@ -272,7 +276,7 @@ def _cut_rows(documents: DataFrame, hot: int, row, finish, schema: T.StructType)
     carried along."""
     docs = documents.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), common.as_text(F.col("text")).alias("text"))
     docs = docs.withColumns({"th": F.xxhash64("text"), "key": F.coalesce("doc_id", F.lit(-(1 << 63)))})
-    spans = common.written(repeated_spans(documents, hot), "spans")
+    spans = repeated_spans(documents, hot)
     joined = docs.join(spans, ["key", "th"], "left").select("row", "text", "spans")
 
     def run(batches):
