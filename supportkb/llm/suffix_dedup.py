@@ -238,11 +238,13 @@ def repeated_spans(documents: DataFrame, hot: int = HOT) -> DataFrame:
     """(key, th, spans) of the documents that have repeated bytes; spans are (begin, end), not yet merged."""
     docs = _ids(documents)
     anchors = common.written(_anchor_rows(docs), "anchors")
-    often = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # written first, so that the join has plain exchanges on both sides and Spark may split a hot gram
+    often = common.written(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated-grams")
     hits = (anchors.join(often, "gram").groupBy("doc_id", "th")
             .agg(F.collect_set("at").alias("at"), F.collect_set(F.when(F.col("n") > hot, F.col("at"))).alias("hot")))
     hits = common.written(hits, "repeated-anchors")
     common.forget(anchors)
+    common.forget(often)
     keys = docs.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
     asked = keys.join(hits.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), "th", "at", "hot"), ["key", "th"])
     suffixes = common.written(_suffix_rows(asked.withColumn("doc_id", F.col("key"))), "suffixes")
@@ -252,7 +254,7 @@ def repeated_spans(documents: DataFrame, hot: int = HOT) -> DataFrame:
     parted = plain.repartitionByRange(buckets, F.expr(f"substring(bytes, at - begin + 1, {GRAM})"))
     spans = _decided(parted).unionByName(suffixes.filter("kind = 1").select("doc_id", "th", "begin", "end"))
     windows = suffixes.filter("kind = 2").select("lead", "doc_id", "th", "begin", "end")
-    firsts = windows.groupBy("lead").agg(F.min(F.struct("doc_id", "th", "begin")).alias("one"))
+    firsts = common.written(windows.groupBy("lead").agg(F.min(F.struct("doc_id", "th", "begin")).alias("one")), "first-windows")
     spans = spans.unionByName(windows.join(firsts, "lead").filter(F.struct("doc_id", "th", "begin") != F.col("one"))
                               .select("doc_id", "th", "begin", "end"))
     spans = spans.groupBy(F.col("doc_id").alias("key"), "th").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
