@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from supportkb.llm import common
 from supportkb.llm.components import components
+from supportkb.sizing import broadcast_if_small
 
 TREES, DEPTH, LEAST = 16, 8, 2
 RUN, NEXT, CROWDED = 12, 3, 1
@@ -289,20 +290,27 @@ def rest(crowded: DataFrame, reps: DataFrame, texts: DataFrame, found: DataFrame
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    every = common.written(features(docs, width), "signatures")
+    signed = common.written(features(docs, width), "signatures")
     classes = ["n_shingles", "k1", "k2"]
-    reps = common.written(every.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*classes)
+    reps = common.written(signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*classes)
                           .agg(F.min(F.struct("doc_id", "signature")).alias("one")).select(*classes, "one.*"), "classes")
+    every = common.written(signed.select("doc_id", *classes), "set-keys")
+    common.forget(signed)
     pairs, crowded = forest(reps)
     pairs, crowded = common.written(pairs, "candidates"), common.written(crowded, "crowded-docs")
-    asked = (pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-             .unionByName(crowded.select(F.col("doc").alias("doc_id"))).distinct())
+    asked = common.written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+                           .unionByName(crowded.select(F.col("doc").alias("doc_id"))).distinct(), "asked")
     # of rows that share an id, the least text stands for the document in comparisons
-    texts = common.written(docs.join(asked, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "candidate-texts")
+    texts = docs.join(broadcast_if_small(asked), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    texts = common.written(texts, "candidate-texts")
     found = common.written(components(confirm(pairs, texts, width, percent)), "components")
     if not crowded.isEmpty():
-        more = rest(crowded, reps, texts, found, width, percent)
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        # links between components are few: they settle among themselves
+        merged = components(rest(crowded, reps, texts, found, width, percent)).select(F.col("node").alias("component"), F.col("component").alias("into"))
+        merged = common.written(merged, "merged")
+        alone = merged.join(found.select("component"), "component", "left_anti").select(F.col("component").alias("node"), "into")
+        found = (found.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+                 .unionByName(alone.select("node", F.col("into").alias("component"))))
     of_class = (reps.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
                 .select(*classes, F.coalesce("component", "doc_id").alias("component_id")))
     rows = every.select("doc_id", *classes).join(of_class, classes, "left")
