@@ -4,11 +4,11 @@ P(w | h) = l2[b] c(h w) / c(h) + l1[b] c(w) / N + l0[b] / (V + 1), where b is th
 (powers of two). The weights of each bucket are learned by expectation-maximisation on held-out counts: every training
 token is left out of the counts it is predicted with. Statistics are taken over all training tokens.
 
-The corpus is counted by chunks of text. A chunk gives its distinct words and word pairs with their training counts,
-as packed keys per range of keys; per range the counts of all chunks are added up and each chunk gets the totals of
-its own keys back. So a very common word is one entry per chunk, no table of n-grams is ever broadcast, and what is
-shuffled is each chunk's distinct n-grams instead of its tokens. The chunks keep their token sequences as compressed
-ranks for the two passes that need them (statistics for the weights, then scores).
+Texts are written once as chunks: a vocabulary and the token sequence as compressed ranks in it. A chunk gives its
+distinct words and word pairs with their training counts, as packed keys per range of keys; per range the counts of
+all chunks are added up and each chunk gets the totals of its own keys back. So a very common word is one entry per
+chunk, no table of n-grams is ever broadcast, and what is shuffled is each chunk's distinct n-grams instead of its
+tokens. Two passes join chunks and totals: statistics for the weights, then scores.
 
 Defined cases: null and empty texts have the end token only; a null id is trained on or held out like empty text; without
 training text every estimate but the uniform one is 0; repeated rows count and are scored as often as they stand."""
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from supportkb.llm import common
 
-CHUNK = 8 << 20              # bytes of text
+CHUNK = 4 << 20              # bytes of text
 RANGE_CHARS = 6 << 20        # characters of text per range of keys
 ROUNDS = 40
 
@@ -44,6 +44,17 @@ def _unpacked(raw: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, byte planes apart, compressed."""
+    steps = np.diff(keys, prepend=np.zeros(1, np.uint64)).astype("<u8")
+    return pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked_keys(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def _pairs(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Context key of each token and key of the pair."""
     before = np.empty_like(tokens)
@@ -60,12 +71,11 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.insert(keys, first[1:], _END), first + np.arange(len(first))
 
 
-_COUNTED = "kind int, chunk long, part int, n int, a binary, b binary, c binary, d binary"
+_CHUNK = "chunk long, n int, a binary, b binary, c binary, d binary"
 
 
-def _count_chunks(docs: DataFrame, ranges: int) -> DataFrame:
-    """kind 0: a chunk (doc ids, flags and lengths; vocabulary; token ranks); kinds 1 and 2: its words or pairs in one range
-    of keys with their training counts."""
+def _chunks(docs: DataFrame) -> DataFrame:
+    """Chunks of whole texts: doc ids, token numbers and training flags, vocabulary (most frequent first), token ranks."""
     def run(batches):
         seq = 0
         base = np.int64(TaskContext.get().partitionId()) << np.int64(24)
@@ -74,36 +84,62 @@ def _count_chunks(docs: DataFrame, ranges: int) -> DataFrame:
             ids = batch.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
             train = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for a, b in common.pieces(data, offsets, CHUNK):
-                chunk, seq = int(base + seq), seq + 1
                 tokens, cut = _tokens(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
-                learn = np.repeat(train[a:b], np.diff(cut))
                 vocabulary, place, count = np.unique(tokens, return_inverse=True, return_counts=True)
+                order = np.argsort(-count, kind="stable")
                 rank = np.empty(len(count), np.int64)
-                rank[np.argsort(-count, kind="stable")] = np.arange(len(count))
-                _, pairs = _pairs(tokens, cut[:-1])
-                pair_keys, pair_place = np.unique(pairs, return_inverse=True)
-                rows = [[0], [chunk], [-1], [b - a], [ids[a:b].tobytes()],
-                        [np.concatenate([np.diff(cut), train[a:b]]).astype("<i8").tobytes()],
-                        [vocabulary[np.argsort(rank)].tobytes()], [_packed(rank[place])]]
-                for kind, keys, where in ((1, vocabulary, place), (2, pair_keys, pair_place)):
-                    counts = np.bincount(where[learn], minlength=len(keys))
+                rank[order] = np.arange(len(count))
+                row = [int(base + seq), b - a, ids[a:b].tobytes(), np.concatenate([np.diff(cut), train[a:b]]).astype("<i8").tobytes(),
+                       vocabulary[order].tobytes(), _packed(rank[place])]
+                seq += 1
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int64(), pa.int32()] + [pa.binary()] * 4)],
+                                                 ["chunk", "n", "a", "b", "c", "d"])
+    return docs.mapInArrow(run, _CHUNK)
+
+
+class _Sequence:
+    """The texts of a chunk row."""
+
+    def __init__(self, row: dict):
+        docs = row["n"]
+        self.ids = np.frombuffer(row["a"], np.int64)
+        flags = np.frombuffer(row["b"], "<i8")
+        self.lengths, self.train = flags[:docs], flags[docs:].astype(bool)
+        self.vocabulary = np.frombuffer(row["c"], np.uint64)
+        self.ranks = _unpacked(row["d"], int(self.lengths.sum()))
+        self.first = np.cumsum(self.lengths) - self.lengths
+        _, pairs = _pairs(self.vocabulary[self.ranks], self.first)
+        self.pair_keys, self.pair_place = np.unique(pairs, return_inverse=True)
+
+
+def _requests(chunks: DataFrame, ranges: int) -> DataFrame:
+    """The words (kind 1) and pairs (kind 2) of each chunk in each range of keys, with their training counts."""
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                c = _Sequence(row)
+                learn = np.repeat(c.train, c.lengths)
+                order = np.argsort(c.vocabulary)
+                words = np.bincount(c.ranks[learn], minlength=len(order))[order]
+                pairs = np.bincount(c.pair_place[learn], minlength=len(c.pair_keys))
+                out = [[], [], [], [], [], []]
+                for kind, keys, counts in ((1, c.vocabulary[order], words), (2, c.pair_keys, pairs)):
                     part = ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
                     edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
-                    for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                        for column, value in zip(rows, (kind, chunk, int(part[i]), j - i, keys[i:j].tobytes(),
-                                                        _packed(counts[i:j]), None, None)):
+                    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                        for column, value in zip(out, (kind, row["chunk"], int(part[lo]), hi - lo, _packed_keys(keys[lo:hi]), _packed(counts[lo:hi]))):
                             column.append(value)
-                kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32()] + [pa.binary()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds)],
-                                                 ["kind", "chunk", "part", "n", "a", "b", "c", "d"])
-    return docs.mapInArrow(run, _COUNTED)
+                kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], ["kind", "chunk", "part", "n", "a", "b"])
+    return chunks.mapInArrow(run, "kind int, chunk long, part int, n int, a binary, b binary")
 
 
 def _totals(requests: DataFrame) -> DataFrame:
     """Totals for each request, and per range (in its first row) the training tokens and the known words."""
     def run(table: pa.Table) -> pa.Table:
         n = table.column("n").to_pylist()
-        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("a").to_pylist()])
+        keys = np.concatenate([_unpacked_keys(x, k) for x, k in zip(table.column("a").to_pylist(), n)])
         counts = np.concatenate([_unpacked(x, k) for x, k in zip(table.column("b").to_pylist(), n)])
         _, place = np.unique(keys, return_inverse=True)
         total = np.bincount(place, weights=counts).astype(np.int64)
@@ -119,36 +155,23 @@ def _totals(requests: DataFrame) -> DataFrame:
         run, "kind int, chunk long, part int, n int, totals binary, tokens long, known long")
 
 
-class _Chunk:
+class _Chunk(_Sequence):
     """Counts of every token of a chunk, put together from its sequence and the replies."""
 
     def __init__(self, own: pa.Table, replies: pa.Table):
-        row = {c: own.column(c)[0].as_py() for c in ("n", "a", "b", "c", "d")}
-        docs = row["n"]
-        self.ids = np.frombuffer(row["a"], np.int64)
-        flags = np.frombuffer(row["b"], "<i8")
-        self.lengths, self.train = flags[:docs], flags[docs:].astype(bool)
-        vocabulary = np.frombuffer(row["c"], np.uint64)
-        ranks = _unpacked(row["d"], int(self.lengths.sum()))
-        first = np.cumsum(self.lengths) - self.lengths
+        super().__init__({c: own.column(c)[0].as_py() for c in ("n", "a", "b", "c", "d")})
         order = np.lexsort((replies.column("part").to_numpy(), replies.column("kind").to_numpy()))
         kinds, sizes, raw = (replies.column(c).to_pylist() for c in ("kind", "n", "totals"))
 
         def totals(kind):
-            got = [_unpacked(raw[i], sizes[i]) for i in order.tolist() if kinds[i] == kind]
-            return np.concatenate(got).astype(np.float64)
-        by_key = np.empty(len(vocabulary))
-        by_key[np.argsort(vocabulary)] = totals(1)
-        self.word = by_key[ranks]
-        end = by_key[vocabulary == _END]
+            return np.concatenate([_unpacked(raw[i], sizes[i]) for i in order.tolist() if kinds[i] == kind]).astype(np.float64)
+        by_rank = np.empty(len(self.vocabulary))
+        by_rank[np.argsort(self.vocabulary)] = totals(1)
+        self.word = by_rank[self.ranks]
         self.context = np.empty_like(self.word)
         self.context[1:] = self.word[:-1]
-        self.context[first] = end[0] if len(end) else 0      # texts that begin are as many as texts that end
-        _, pairs = _pairs(vocabulary[ranks], first)
-        del ranks
-        _, place = np.unique(pairs, return_inverse=True)
-        self.pair = totals(2)[place]
-        self.first = first
+        self.context[self.first] = by_rank[self.vocabulary == _END]      # texts that begin are as many as texts that end
+        self.pair = totals(2)[self.pair_place]
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
@@ -211,10 +234,9 @@ def scores(documents: DataFrame, train) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), common.as_text(F.col("text")).alias("text"),
                             F.coalesce(train, F.lit(False)).alias("train"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    counted = common.written(_count_chunks(docs, max(4, int(chars // RANGE_CHARS))), "chunks")
-    totals = common.written(_totals(counted.filter("kind > 0").select("kind", "chunk", "part", "n", "a", "b")), "totals")
+    own = common.written(_chunks(docs), "chunks")
+    totals = common.written(_totals(_requests(own, max(4, int(chars // RANGE_CHARS)))), "totals")
     tokens, known = (int(x or 0) for x in totals.agg(F.sum("tokens"), F.sum("known")).first())
-    own = counted.filter("kind = 0").select("chunk", "n", "a", "b", "c", "d")
     replies = totals.select("chunk", "kind", "part", "n", "totals")
 
     def joined():
