@@ -18,7 +18,6 @@ from supportkb.operators.ordered import running_last
 from supportkb.operators.summary import side_by_side
 from supportkb.sizing import cut_lineage
 
-TEXT_CHARS, QUESTION_CHARS, ANSWER_CHARS = 6000, 1000, 4000
 MESSAGES = "array<struct<role: string, text: string>>"
 
 
@@ -34,13 +33,17 @@ def reply_turns(turns: DataFrame) -> DataFrame:
     return users.join(replies, ["conv_id", "turn"]).select("conv_id", "turn", "question", "answer")
 
 
-def opening_text(turns: DataFrame, chars: int = TEXT_CHARS) -> DataFrame:
-    """First ``chars`` characters of all turns joined by blanks: conv_id, blob. Every turn adds at
-    least its separator, so turns numbered beyond ``chars`` cannot reach the result and the group
-    that is collected stays bounded."""
-    near = turns.filter(F.col("turn") <= chars).select("conv_id", "turn", F.substring("text", 1, chars).alias("text"))
+def head(text: Column, chars: int | None) -> Column:
+    """The first ``chars`` characters, or the whole text."""
+    return text if chars is None else F.substring(text, 1, chars)
+
+
+def opening_text(turns: DataFrame, chars: int | None = None) -> DataFrame:
+    """All turns in order joined by blanks, or the first ``chars`` characters of that: conv_id, blob. Turn numbers
+    need not be dense."""
+    near = turns.select("conv_id", "turn", head(F.col("text"), chars).alias("text"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ")
-    return near.groupBy("conv_id").agg(F.substring(F.translate(joined, "\t\n", "  "), 1, chars).alias("blob"))
+    return near.groupBy("conv_id").agg(head(F.translate(joined, "\t\n", "  "), chars).alias("blob"))
 
 
 # --- export payloads ---------------------------------------------------------------------------
@@ -68,9 +71,16 @@ def _is_object(v: Column) -> Column:
     return F.startswith(_kind(v), F.lit("OBJECT"))
 
 
-def scan_chat_exports(files: DataFrame, text: str = "text") -> DataFrame:
+def scan_chat_exports(files: DataFrame, text: str = "text", name: str | None = None) -> DataFrame:
     """Export files to one payload per conversation. A file is a list, an object, or an object that
-    wraps a list as conversations, items or data; other columns (project folder, order) are kept."""
+    wraps a list as conversations, items or data; other columns (project folder, order) are kept.
+
+    ``name`` is the column of file names: files named .jsonl hold one such document per line, and
+    .meta.json files are no exports."""
+    if name is not None:
+        lines = F.filter(F.split(F.col(text), r"\r?\n"), lambda line: ~is_blank(line))
+        parts = F.when(F.lower(F.col(name)).endswith(".jsonl"), lines).otherwise(F.array(F.col(text)))
+        files = files.filter(~F.lower(F.col(name)).endswith(".meta.json")).withColumn(text, F.explode(parts))
     doc = files.withColumn("_doc", unwrap_json(F.col(text))).filter("_doc IS NOT NULL")
     wrapped = F.coalesce(*[F.when(_is_list(_get(F.col("_doc"), f"$.{k}", "variant")), _get(F.col("_doc"), f"$.{k}", "variant"))
                            for k in ("conversations", "items", "data")])
@@ -241,7 +251,8 @@ def relevance_report(files: DataFrame, classified: DataFrame) -> DataFrame:
 
 # --- pairs and corpus --------------------------------------------------------------------------
 
-def reply_pairs(conversations: DataFrame, reply_pattern: str = D.PAIR_REPLY) -> DataFrame:
+def reply_pairs(conversations: DataFrame, reply_pattern: str = D.PAIR_REPLY, question_chars: int | None = None,
+                answer_chars: int | None = None) -> DataFrame:
     """Polite assistant message with the user message right before it: question, answer, conv_id,
     title, place."""
     m = F.col("messages")
@@ -252,8 +263,8 @@ def reply_pairs(conversations: DataFrame, reply_pattern: str = D.PAIR_REPLY) ->
                     & (x["before"]["role"] == "user") & ~is_blank(x["before"]["text"]))
     return (conversations.select(F.col("id").alias("conv_id"), "title", F.explode(hits).alias("h"))
             .select("conv_id", "title", F.col("h.i").alias("place"),
-                    F.substring(F.translate("h.before.text", "\t\n", "  "), 1, QUESTION_CHARS).alias("question"),
-                    F.substring(F.translate("h.text", "\t\n", "  "), 1, ANSWER_CHARS).alias("answer")))
+                    head(F.translate("h.before.text", "\t\n", "  "), question_chars).alias("question"),
+                    head(F.translate("h.text", "\t\n", "  "), answer_chars).alias("answer")))
 
 
 def feedback_conversations(feedback: DataFrame) -> DataFrame:
@@ -271,13 +282,13 @@ def feedback_conversations(feedback: DataFrame) -> DataFrame:
                 F.struct(F.lit("assistant").alias("role"), c("japanese_reply").alias("text"))).alias("messages"))
 
 
-def feedback_pairs(feedback_convs: DataFrame) -> DataFrame:
+def feedback_pairs(feedback_convs: DataFrame, question_chars: int | None = None, answer_chars: int | None = None) -> DataFrame:
     """Feedback replies always make a pair."""
     text = lambda i: F.translate(F.get("messages", F.lit(i))["text"], "\t\n", "  ")
     return (feedback_convs.filter(F.get("messages", F.lit(1))["text"] != "")
             .select(F.col("id").alias("conv_id"), "title", F.lit(1).alias("place"),
-                    F.substring(text(0), 1, QUESTION_CHARS).alias("question"),
-                    F.substring(text(1), 1, ANSWER_CHARS).alias("answer")))
+                    head(text(0), question_chars).alias("question"),
+                    head(text(1), answer_chars).alias("answer")))
 
 
 def work_conversations(classified: DataFrame, feedback_convs: DataFrame | None = None,
@@ -289,12 +300,12 @@ def work_conversations(classified: DataFrame, feedback_convs: DataFrame | None =
     return kept if feedback_convs is None else kept.unionByName(feedback_convs, allowMissingColumns=True)
 
 
-def corpus_rows(work: DataFrame) -> DataFrame:
-    """Search rows: id, title, project, text of all messages cut at 6000 characters."""
+def corpus_rows(work: DataFrame, text_chars: int | None = None) -> DataFrame:
+    """Search rows: id, title, project, text of all messages."""
     clean = lambda c: F.translate(F.coalesce(F.col(c), F.lit("")), "\t", " ")
     text = F.translate(joined_text(F.col("messages")), "\t\n", "  ")
     return work.select("id", clean("title").alias("title"), clean("project_title").alias("project"),
-                       F.substring(text, 1, TEXT_CHARS).alias("text"))
+                       head(text, text_chars).alias("text"))
 
 
 # --- numbers -----------------------------------------------------------------------------------

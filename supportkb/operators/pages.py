@@ -86,11 +86,11 @@ def page_text_status(chosen: DataFrame) -> DataFrame:
 
 # --- extraction --------------------------------------------------------------------------------
 
-def param_lines(text: Column, hints: list[str] | None = None, max_rows: int = 400) -> Column:
-    """Normalized lines that name a parameter, first occurrences, at most 400, joined by blanks."""
+def param_lines(text: Column, hints: list[str] | None = None, max_rows: int | None = None) -> Column:
+    """Normalized lines that name a parameter, first occurrences (at most ``max_rows``), joined by blanks."""
     found = F.filter(split_lines(text), lambda x: contains_any(x, D.PARAM_HINTS if hints is None else hints))
     lines = F.filter(F.array_distinct(F.transform(found, norm)), lambda x: x != "")
-    return F.array_join(F.slice(lines, 1, max_rows), " ")
+    return F.array_join(lines if max_rows is None else F.slice(lines, 1, max_rows), " ")
 
 
 def fact_snippet_array(n: Column, keyword: str, window: int = 140, most: int = 6) -> Column:

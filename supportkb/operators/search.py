@@ -209,14 +209,17 @@ def rank_exact_hits(hits: DataFrame, rows: DataFrame, terms: DataFrame, queries:
 
 
 def enrich_faq_hits(hits: DataFrame, faq_items: DataFrame, rows: DataFrame | None = None, per_sheet: int = 3) -> DataFrame:
-    """The first items of each hit sheet that contain any of the query's terms, with their original
-    texts; the hit's snippet stands in where the item table has no such row.
+    """The first items of each hit sheet that exist and contain any of the query's terms, with their original
+    texts; only where the item table has none of a sheet's hits do the first hits' snippets stand in.
 
     Items carrying any term are exactly the exact hits of the FAQ layer, so no second scan runs.
     ``faq_items``: sheet, item_ord, question, answer, template."""
     faq = hits.filter(F.col("layer") == "FAQ")
-    rn = F.row_number().over(W.partitionBy("query_id", "name").orderBy("row_ord"))
-    first = faq.withColumn("pick", rn).filter(F.col("pick") <= per_sheet)
+    known = faq_items.select(F.col("sheet").alias("name"), F.col("item_ord").alias("row_ord"), F.lit(1).alias("_known"))
+    sheet = W.partitionBy("query_id", "name")
+    first = (faq.join(known, ["name", "row_ord"], "left").withColumn("_known", F.coalesce("_known", F.lit(0)))
+             .withColumns({"pick": F.row_number().over(sheet.orderBy(F.desc("_known"), "row_ord")), "_any": F.max("_known").over(sheet)})
+             .filter((F.col("pick") <= per_sheet) & (F.col("_known") == F.col("_any"))).drop("_known", "_any"))
     items = faq_items.select(F.col("sheet").alias("name"), F.col("item_ord").alias("row_ord"),
                              "question", "answer", "template")
     empty = F.lit("")
@@ -266,7 +269,7 @@ def lookup_fast(lookup: DataFrame, terms: DataFrame, queries: DataFrame, top: in
 # --- fuzzy -------------------------------------------------------------------------------------
 
 def search_fuzzy(rows: DataFrame, terms: DataFrame, queries: DataFrame, cutoff: float = 62.0,
-                 top: int = 15, text_chars: int | None = 2000, pack_size: int = 64,
+                 top: int = 15, text_chars: int | None = None, pack_size: int = 64,
                  salts: int = 64) -> DataFrame:
     """Best partial ratio of a query's terms (two characters or more) per row, at least ``cutoff``,
     top 15 per query and layer. ``text_chars`` is the length of text the score looks at.

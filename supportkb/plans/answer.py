@@ -20,7 +20,8 @@ def hybrid_search(queries: DataFrame, rows: DataFrame, faq_items: DataFrame, syn
     written to the checkpoint folder, because it is read twice: as output and as the anti join
     that narrows the next stage.
 
-    Returns query_id, stage, rank, score, layer, name, page, term, snippet."""
+    Returns query_id, stage, rank, score, layer, name, page, term, snippet, and of hits in the FAQ layer the item's
+    question, answer and template."""
     terms = cut_lineage(S.expand_terms(queries, synonyms))
     found = cut_lineage(_lookup_stage(queries, terms, faq_items, synonyms))
     open_q = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
@@ -35,15 +36,23 @@ def hybrid_search(queries: DataFrame, rows: DataFrame, faq_items: DataFrame, syn
     missing = (open_q2.join(recall.select("query_id").distinct(), "query_id", "left_anti")
                .select("query_id", F.lit("not_found").alias("stage"), F.lit(0).alias("rank"),
                        F.lit(0.0).alias("score"), *[F.lit("").alias(c) for c in _TEXTS]))
-    return (found.unionByName(_staged(exact, "exact")).unionByName(_staged(recall, "recall"))
-            .unionByName(missing))
+    hits = _with_items(_staged(exact, "exact").unionByName(_staged(recall, "recall")), faq_items)
+    return found.unionByName(hits).unionByName(missing.withColumns({c: F.lit("") for c in _ITEM}))
 
 
 _TEXTS = ["layer", "name", "page", "term", "snippet"]
+_ITEM = ["question", "answer", "template"]
 
 
 def _staged(hits: DataFrame, stage: str) -> DataFrame:
-    return hits.select("query_id", F.lit(stage).alias("stage"), "rank", "score", *_TEXTS)
+    return hits.select("query_id", F.lit(stage).alias("stage"), "rank", "score", *_TEXTS, "row_ord")
+
+
+def _with_items(hits: DataFrame, faq_items: DataFrame) -> DataFrame:
+    """The full item behind each hit of the FAQ layer; the ranked hits are few, so only they are joined."""
+    item = faq_items.select(F.lit("FAQ").alias("layer"), F.col("sheet").alias("name"), F.col("item_ord").alias("row_ord"), *_ITEM)
+    return (hits.join(item, ["layer", "name", "row_ord"], "left")
+            .select("query_id", "stage", "rank", "score", *_TEXTS, *[F.coalesce(c, F.lit("")).alias(c) for c in _ITEM]))
 
 
 def _of(terms: DataFrame, queries: DataFrame) -> DataFrame:
@@ -57,7 +66,7 @@ def _lookup_stage(queries: DataFrame, terms: DataFrame, faq_items: DataFrame, sy
     hits = S.lookup_fast(S.build_faq_lookup(items, synonyms), terms, queries)
     return hits.select("query_id", F.lit("lookup").alias("stage"), "rank", F.lit(0.0).alias("score"),
                        F.lit("FAQ").alias("layer"), F.col("sheet").alias("name"), F.lit("").alias("page"),
-                       F.lit("").alias("term"), F.col("question").alias("snippet"))
+                       F.lit("").alias("term"), F.col("question").alias("snippet"), *_ITEM)
 
 
 def misses_from_search(queries: DataFrame, results: DataFrame, reason: str = "NOT_FOUND") -> DataFrame:

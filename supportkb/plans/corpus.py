@@ -106,8 +106,8 @@ def reply_pairs(spark, sf_dir):
 
 
 QUERIES["reply_pairs"] = reply_pairs
-_SQL_PAIRS = f"""pairs AS (SELECT a.id AS conv_id, a.title, a.i AS place, substr(translate(u.text, chr(9) || {_NL}, '  '), 1, 1000) AS question,
-  substr(translate(a.text, chr(9) || {_NL}, '  '), 1, 4000) AS answer FROM m a JOIN m u ON u.id = a.id AND u.i = a.i - 1
+_SQL_PAIRS = f"""pairs AS (SELECT a.id AS conv_id, a.title, a.i AS place, translate(u.text, chr(9) || {_NL}, '  ') AS question,
+  translate(a.text, chr(9) || {_NL}, '  ') AS answer FROM m a JOIN m u ON u.id = a.id AND u.i = a.i - 1
   WHERE a.role = 'assistant' AND regexp_matches(a.text, '{REPLY}'))"""
 ORACLE["reply_pairs"] = f"WITH {_SQL_MSGS}, {_SQL_PAIRS} SELECT * FROM pairs"
 
@@ -121,11 +121,11 @@ ORACLE["reply_turns"] = T.SQL_TURN_PAIRS
 
 
 def opening_text(spark, sf_dir):
-    return C.opening_text(T.table(spark, sf_dir, "conversations"), 500)
+    return C.opening_text(T.table(spark, sf_dir, "conversations"))
 
 
 QUERIES["opening_text"] = opening_text
-ORACLE["opening_text"] = f"""SELECT conv_id, substr(translate(string_agg(text, ' ' ORDER BY turn), chr(9) || {_NL}, '  '), 1, 500) AS blob
+ORACLE["opening_text"] = f"""SELECT conv_id, translate(string_agg(text, ' ' ORDER BY turn), chr(9) || {_NL}, '  ') AS blob
 FROM conversations GROUP BY conv_id"""
 
 
@@ -143,8 +143,8 @@ _SQL_FEEDBACK = f"""fb AS (SELECT item_id, 'item' || item_id AS title,
 QUERIES["corpus_rows"] = corpus_rows
 ORACLE["corpus_rows"] = f"""WITH {_SQL_MSGS}, {_SQL_JUDGED}, {_SQL_FEEDBACK}
 SELECT id, title, CASE WHEN CAST(id AS BIGINT) % 6 = 0 THEN '' ELSE 'p' || (CAST(id AS BIGINT) % 17) END AS project,
-  substr(translate(all_text, chr(9) || {_NL}, '  '), 1, 6000) AS text FROM judged WHERE relevance = 1
-UNION ALL SELECT 'feedback', title, '人工反馈', substr(translate(q || {_NL} || a, chr(9) || {_NL}, '  '), 1, 6000) FROM fb"""
+  translate(all_text, chr(9) || {_NL}, '  ') AS text FROM judged WHERE relevance = 1
+UNION ALL SELECT 'feedback', title, '人工反馈', translate(q || {_NL} || a, chr(9) || {_NL}, '  ') FROM fb"""
 
 
 def feedback_pairs(spark, sf_dir):
@@ -152,8 +152,8 @@ def feedback_pairs(spark, sf_dir):
 
 
 QUERIES["feedback_pairs"] = feedback_pairs
-ORACLE["feedback_pairs"] = f"""WITH {_SQL_FEEDBACK} SELECT title, substr(translate(q, chr(9) || {_NL}, '  '), 1, 1000) AS question,
-  substr(translate(a, chr(9) || {_NL}, '  '), 1, 4000) AS answer FROM fb WHERE a <> ''"""
+ORACLE["feedback_pairs"] = f"""WITH {_SQL_FEEDBACK} SELECT title, translate(q, chr(9) || {_NL}, '  ') AS question,
+  translate(a, chr(9) || {_NL}, '  ') AS answer FROM fb WHERE a <> ''"""
 
 
 def corpus_stats(spark, sf_dir):

@@ -134,11 +134,11 @@ def _sql_params(rows: str) -> str:
     """base-keyed parameter text of rows(key, text)."""
     hint = " OR ".join(f"contains(l, '{h}')" for h in HINTS)
     return f"""SELECT key, string_agg(nl, ' ' ORDER BY i) AS params FROM (
-  SELECT key, nl, min(i) AS i, row_number() OVER (PARTITION BY key ORDER BY min(i)) AS r FROM (
+  SELECT key, nl, min(i) AS i FROM (
     SELECT key, {T.sql_norm('l')} AS nl, i FROM (
       SELECT key, unnest(string_split_regex(text, '{_SQL_BREAK}')) AS l,
         generate_subscripts(string_split_regex(text, '{_SQL_BREAK}'), 1) AS i FROM ({rows})) WHERE {hint})
-  WHERE nl <> '' GROUP BY key, nl) WHERE r <= 400 GROUP BY key"""
+  WHERE nl <> '' GROUP BY key, nl) GROUP BY key"""
 
 
 QUERIES["param_lines"] = param_lines

@@ -118,18 +118,21 @@ def enrich_faq_hits(spark, sf_dir):
     q = T.word_queries(spark, sf_dir).withColumn("product", F.lit(""))
     terms = cut_lineage(S.expand_terms(q, T.word_synonyms(spark, sf_dir)))
     rows = T.faq_rows(items)
-    # Items of even ordinal are missing from the item table, so their snippets stand in.
-    return S.enrich_faq_hits(S.search_exact(rows, terms, q), items.filter("item_ord % 2 = 1"), rows)
+    # Whole sheets and, in the others, every item of a third of the conversations are missing from the item table.
+    return S.enrich_faq_hits(S.search_exact(rows, terms, q), items.filter("sheet <> 'sheet3' AND item_ord DIV 1000000 % 3 <> 0"), rows)
 
 
 QUERIES["enrich_faq_hits"] = enrich_faq_hits
+_SQL_KNOWN = "(i.sheet <> 'sheet3' AND i.item_ord // 1000000 % 3 <> 0)"
 ORACLE["enrich_faq_hits"] = f"""WITH {T.sql_terms(f"SELECT query_id, '' AS product, q FROM ({T.SQL_WORD_QUERIES})",
                                                   T.SQL_WORD_SYNONYMS)},
-{_sql_hits(T.SQL_FAQ_ROWS)}, items AS ({T.SQL_FAQ_ITEMS})
-SELECT query_id, h.name AS sheet, row_number() OVER (PARTITION BY query_id, h.name ORDER BY row_ord) AS pick,
-  row_ord, term, CASE WHEN item_ord % 2 = 1 THEN question ELSE snippet END AS question,
-  CASE WHEN item_ord % 2 = 1 THEN answer ELSE '' END AS answer, CASE WHEN item_ord % 2 = 1 THEN template ELSE '' END AS template
-FROM hits h JOIN items i ON i.sheet = h.name AND i.item_ord = h.row_ord QUALIFY pick <= 3"""
+{_sql_hits(T.SQL_FAQ_ROWS)}, items AS ({T.SQL_FAQ_ITEMS}),
+paired AS (SELECT *, {_SQL_KNOWN} AS known, bool_or({_SQL_KNOWN}) OVER (PARTITION BY query_id, h.name) AS any_known
+  FROM hits h JOIN items i ON i.sheet = h.name AND i.item_ord = h.row_ord)
+SELECT query_id, name AS sheet, row_number() OVER (PARTITION BY query_id, name ORDER BY row_ord) AS pick,
+  row_ord, term, CASE WHEN known THEN question ELSE snippet END AS question,
+  CASE WHEN known THEN answer ELSE '' END AS answer, CASE WHEN known THEN template ELSE '' END AS template
+FROM paired WHERE known = any_known QUALIFY pick <= 3"""
 
 
 def _lookup_queries(spark, sf_dir):
@@ -289,7 +292,7 @@ _SQL_HYBRID = f"""{T.sql_terms(_SQL_MIXED, T.SQL_WORD_SYNONYMS).replace('q AS ('
 {_SQL_LOOKUP},
 lhit AS (SELECT DISTINCT t.query_id, k.sheet, k.item_ord FROM all_terms t JOIN all_q USING (query_id)
          JOIN keys k ON k.key = t.term AND k.sheet = all_q.product),
-looked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY item_ord) AS rank, sheet, question
+looked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY item_ord) AS rank, sheet, question, answer, template
            FROM lhit JOIN blobs USING (sheet, item_ord) QUALIFY rank <= 3),
 open1 AS (SELECT * FROM all_q WHERE query_id NOT IN (SELECT query_id FROM looked)),
 ex AS (WITH q AS (SELECT * FROM open1), terms AS (SELECT * FROM all_terms WHERE query_id IN (SELECT query_id FROM open1)),
@@ -298,16 +301,18 @@ open2 AS (SELECT * FROM open1 WHERE query_id NOT IN (SELECT query_id FROM ex)),
 bm AS (WITH q AS (SELECT * FROM open2), terms AS (SELECT * FROM all_terms WHERE query_id IN (SELECT query_id FROM open2)),
        rows_ AS ({T.SQL_ALL_ROWS}), {_sql_bm25('cjk')} SELECT * FROM bm25),
 rc AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place, rank, name, page) AS rank,
-         round(score, 6) AS score, layer, name, page, '' AS term, snippet
+         round(score, 6) AS score, layer, name, page, row_ord, '' AS term, snippet
        FROM (SELECT *, {_SQL_PLACE} AS place FROM bm
              QUALIFY row_number() OVER (PARTITION BY query_id, layer, name, page
                                         ORDER BY score DESC, {_SQL_PLACE}, rank) = 1) u
        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place, u.rank, name, page) <= 15),
 res AS (SELECT query_id, 'lookup' AS stage, rank, CAST(0 AS DOUBLE) AS score, 'FAQ' AS layer, sheet AS name, '' AS page,
-          '' AS term, question AS snippet FROM looked
-        UNION ALL SELECT query_id, 'exact', rank, score, layer, name, page, term, snippet FROM ex
-        UNION ALL SELECT query_id, 'recall', rank, score, layer, name, page, term, snippet FROM rc
-        UNION ALL SELECT query_id, 'not_found', 0, 0, '', '', '', '', '' FROM open2
+          '' AS term, question AS snippet, question, answer, template FROM looked
+        UNION ALL SELECT query_id, stage, rank, score, layer, name, page, term, snippet, coalesce(question, ''),
+          coalesce(answer, ''), coalesce(template, '') FROM (
+            SELECT *, 'exact' AS stage FROM ex UNION ALL BY NAME SELECT *, 'recall' AS stage FROM rc) h
+          LEFT JOIN ({T.SQL_FAQ_ITEMS}) i ON h.layer = 'FAQ' AND i.sheet = h.name AND i.item_ord = h.row_ord
+        UNION ALL SELECT query_id, 'not_found', 0, 0, '', '', '', '', '', '', '', '' FROM open2
                   WHERE query_id NOT IN (SELECT query_id FROM rc))"""
 QUERIES["hybrid_search"] = hybrid_search
 ORACLE["hybrid_search"] = f"WITH {_SQL_HYBRID} SELECT * FROM res"

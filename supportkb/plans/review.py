@@ -372,15 +372,6 @@ ORACLE["repair_summary"] = "SELECT count_if(toxic <> 1) AS repaired_pages, count
 
 # --- sources and sinks -------------------------------------------------------------------------
 
-def asset_inventory(spark, sf_dir):
-    """The table files themselves; sizes and names only, contents are never read."""
-    a = S.asset_inventory(spark, sf_dir, ["parquet"])
-    return a.select(S.base_name(F.col("path")).alias("name"), "length")
-
-
-QUERIES["asset_inventory"] = asset_inventory
-
-
 def _assets(spark, sf_dir):
     """Pages as files: path from url, size of the html."""
     p = T.table(spark, sf_dir, "pages")

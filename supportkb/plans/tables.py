@@ -127,11 +127,11 @@ SQL_TURN_PAIRS = """SELECT conv_id, turn, question, text AS answer FROM (
 def faq_items(spark, sf_dir) -> DataFrame:
     return turn_pairs(spark, sf_dir).select(
         F.concat(F.lit("sheet"), (F.col("conv_id") % 10).cast("string")).alias("sheet"),
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("item_ord"),
+        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("item_ord"),
         "question", "answer", F.lit("").alias("template"))
 
 
-SQL_FAQ_ITEMS = f"""SELECT 'sheet' || (conv_id % 10) AS sheet, conv_id * 1000 + turn AS item_ord,
+SQL_FAQ_ITEMS = f"""SELECT 'sheet' || (conv_id % 10) AS sheet, conv_id * 1000000 + turn AS item_ord,
   question, answer, '' AS template FROM ({SQL_TURN_PAIRS})"""
 
 
@@ -148,7 +148,7 @@ SQL_FAQ_ROWS = f"""SELECT 'FAQ' AS layer, item_ord AS row_ord, sheet AS name, ''
 
 
 def chat_rows(spark, sf_dir) -> DataFrame:
-    """Chat layer: raw text of all user and assistant turns of a conversation, up to 6000 characters."""
+    """Chat layer: raw text of all user and assistant turns of a conversation."""
     c = table(spark, sf_dir, "conversations").filter("role IN ('user', 'assistant')")
     return (opening_text(c).select(
         F.lit("CHATGPT").alias("layer"), F.col("conv_id").alias("row_ord"),
@@ -159,7 +159,7 @@ def chat_rows(spark, sf_dir) -> DataFrame:
 
 SQL_CHAT_ROWS = """SELECT 'CHATGPT' AS layer, conv_id AS row_ord, 'title ' || (conv_id % 7) AS name,
   'project' || (conv_id % 3) AS page,
-  substr(translate(string_agg(text, chr(10) ORDER BY turn), chr(9) || chr(10), '  '), 1, 6000) AS blob,
+  translate(string_agg(text, chr(10) ORDER BY turn), chr(9) || chr(10), '  ') AS blob,
   CAST(conv_id AS VARCHAR) AS ref
   FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id"""
 

@@ -39,9 +39,14 @@ def broadcast_if(df: DataFrame, proven_small: bool) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set (tests)."""
+    """The shared folder the cluster names in spark.checkpoint.dir. Only a local master, where all tasks see one
+    disk, gets a folder of its own when none is named; anywhere else a missing one is an error."""
     current = spark.sparkContext.getCheckpointDir()
-    found = spark.conf.get("spark.checkpoint.dir", None) or current or tempfile.mkdtemp(prefix="supportkb-cp-")
+    found = spark.conf.get("spark.checkpoint.dir", None) or current
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("name a folder all executors share in spark.checkpoint.dir")
+        found = tempfile.mkdtemp(prefix="supportkb-cp-")
     if not current:
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -53,6 +58,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder so that later branches read it instead of redoing it."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as Parquet below the shared folder so that later branches read it instead of redoing it;
+    the scan keeps column pruning and its size, which join choices rest on."""
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

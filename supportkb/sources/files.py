@@ -12,6 +12,7 @@ from supportkb.functions.text import split_lines
 CAPTURE_LOG = "_capture_log.txt"
 VIDEO_TYPES = ["mp4", "mov", "avi", "mkv", "webm"]
 IMAGE_TYPES = ["jpg", "jpeg", "png"]
+SMALL_SCAN = 8
 SPEC_FOLDER_WORDS = ["规格书", "规格", "spec", "Spec"]
 WORKBOOK_NAME = "(?i)售后.*(方案|对应)|日本站售后"
 SHEET_TEXT_NAME = r"(?i)^kdocs_.*\.txt$"
@@ -22,10 +23,10 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """Spread a scan that yields fewer partitions than there are cores, such as one file with one
-    row group. A scan of real size has more partitions than that and is left as it is."""
+    """Spread a scan of a few partitions, such as one file with one row group. ``SMALL_SCAN`` partitions of the scan
+    split size bound what is moved; larger scans are left as they are, whatever the number of cores."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < min(cores, SMALL_SCAN) else scan
 
 
 def scan_text_files(spark: SparkSession, path: str) -> DataFrame:

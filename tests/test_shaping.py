@@ -234,3 +234,29 @@ def test_files_and_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "jsonl")).count() == 2
     assert sinks.index_health(idx.filter("layer = 'CHATGPT'")).first()["state"] == "EMPTY"
     assert S.asset_inventory(spark, str(tmp_path / "t"), ["tsv"]).count() == 1
+
+
+def test_exports_by_line_and_without_meta_files(spark):
+    lines = '{"id":"a","title":"x"}\n\n"{\\"id\\":\\"b\\"}"\n{"id":"c"}\n'
+    files = spark.createDataFrame([("all.jsonl", lines), ("x.meta.json", '{"id":"m"}'), ("one.json", '[{"id":"d"}]')], "file string, text string")
+    got = C.payload_header(C.scan_chat_exports(files, name="file"))
+    assert sorted(r["id"] for r in got.select("id").collect()) == ["a", "b", "c", "d"]
+
+
+def test_texts_are_whole_and_turns_need_not_be_dense(spark):
+    turns = spark.createDataFrame([(1, 7001, "b"), (1, 7000, "a" * 9000), (2, 3, "c\td")], "conv_id long, turn long, text string")
+    assert {r["conv_id"]: r["blob"] for r in C.opening_text(turns).collect()} == {1: "a" * 9000 + " b", 2: "c d"}
+    assert C.opening_text(turns, 3).filter("conv_id = 1").first()["blob"] == "aaa"
+    lines = "\n".join(f"長さ {i}" for i in range(401))
+    text = spark.createDataFrame([(lines,)], "t string")
+    assert len(text.select(P.param_lines(F.col("t"))).first()[0].split(" ")) == 401
+
+
+def test_existing_items_of_a_sheet_come_first(spark):
+    hits = spark.createDataFrame([(1, "FAQ", "s", i, "t") for i in range(6)] + [(1, "FAQ", "none", i, "t") for i in range(5)],
+                                 "query_id long, layer string, name string, row_ord long, term string")
+    items = spark.createDataFrame([("s", i, f"q{i}", f"a{i}", "") for i in (3, 4, 5)], "sheet string, item_ord long, question string, answer string, template string")
+    rows = spark.createDataFrame([("FAQ", i, n, "", f"blob{i} t", "") for i in range(6) for n in ("s",)],
+                                 "layer string, row_ord long, name string, page string, blob string, ref string")
+    got = {(r["sheet"], r["row_ord"]): (r["pick"], r["answer"]) for r in Q.enrich_faq_hits(hits, items, rows).collect()}
+    assert {k: v for k, v in got.items() if k[0] == "s"} == {("s", 3): (1, "a3"), ("s", 4): (2, "a4"), ("s", 5): (3, "a5")}
