@@ -111,17 +111,33 @@ def payload_header(payloads: DataFrame, folder: str | None = None) -> DataFrame:
     return out.withColumn("id", F.coalesce(given, fallback_id(F.col("title"), F.col("create_time"))))
 
 
-def _part_text(part: Column, depth: int = 2) -> Column:
-    """Text of a content part: a string, a list of parts, or an object with text, content or value."""
+NESTING = 12
+
+
+def _opened(part: Column) -> Column:
+    """One level of a content part opened: the parts of a list, the first of text, content and value of an object that is
+    not empty, or the part itself. An empty list or object stands for one empty text."""
     kind = _kind(part)
-    out = F.when(kind == "STRING", _get(part, "$"))
-    if depth:
-        listed = F.array_join(F.transform(F.try_variant_get(part, "$", "array<variant>"),
-                                          lambda x: _part_text(x, depth - 1)), " ")
-        field = lambda k: F.nullif(_part_text(_get(part, f"$.{k}", "variant"), depth - 1), F.lit(""))
-        out = out.when(F.startswith(kind, F.lit("ARRAY")), listed).when(
-            F.startswith(kind, F.lit("OBJECT")), F.coalesce(*[field(k) for k in ("text", "content", "value")]))
-    return F.coalesce(out, F.lit(""))
+    empty = F.array(F.try_parse_json(F.lit('""')))
+    def field(k):
+        v = _get(part, f"$.{k}", "variant")
+        return F.when(F.coalesce(F.to_json(v), F.lit("null")).isin("null", '""', "[]", "{}", '[""]'), F.lit(None)).otherwise(v)
+    listed = F.try_variant_get(part, "$", "array<variant>")
+    chosen = F.coalesce(*[field(k) for k in ("text", "content", "value")])
+    return (F.when(F.startswith(kind, F.lit("ARRAY")), F.when(F.size(listed) == 0, empty).otherwise(listed))
+            .when(F.startswith(kind, F.lit("OBJECT")), F.when(chosen.isNull(), empty).otherwise(F.array(chosen)))
+            .otherwise(F.array(part)))
+
+
+def _part_text(part: Column) -> Column:
+    """Text of a content part: a string, a list of parts, or an object with text, content or value, nested up to NESTING
+    levels; what lies deeper is an error, never lost."""
+    levels = F.aggregate(F.sequence(F.lit(1), F.lit(NESTING)), F.array(part),
+                         lambda parts, _: F.flatten(F.transform(parts, _opened)))
+    deep = F.raise_error(F.lit(f"a message is nested deeper than {NESTING} levels")).cast("string")
+    texts = F.transform(levels, lambda p: F.when(F.startswith(_kind(p), F.lit("ARRAY")) | F.startswith(_kind(p), F.lit("OBJECT")), deep)
+                        .otherwise(F.coalesce(F.when(_kind(p) == "STRING", _get(p, "$")), F.lit(""))))
+    return F.when(part.isNull(), F.lit("")).otherwise(F.array_join(texts, " "))
 
 
 def message_text(msg: Column) -> Column:

@@ -139,10 +139,11 @@ def cells_to_rows(cells: DataFrame, strings: DataFrame) -> DataFrame:
     A group is one sheet row, at most 16384 cells."""
     entry = F.struct("col", F.translate("value", "\t\r\n", "   ").alias("value"))
     grouped = decode_cells(cells, strings).groupBy("sheet", "row").agg(F.array_sort(F.collect_list(entry)).alias("m"))
-    at = lambda i: F.filter("m", lambda e: e["col"] == i)
-    line = F.array_join(F.transform(
-        F.sequence(F.lit(0), F.element_at("m", -1)["col"]),
-        lambda i: F.coalesce(F.get(at(i), F.size(at(i)) - 1)["value"], F.lit(""))), "\t")
+    # of cells in one place the last; each cell brings the tabs since the cell before it
+    last = F.filter("m", lambda e, i: F.coalesce(F.get("m", i + 1)["col"] != e["col"], F.lit(True)))
+    line = F.get(F.transform(F.array(last), lambda cells: F.array_join(F.transform(cells, lambda e, i: F.concat(
+        F.repeat(F.lit("\t"), (e["col"] - F.when(i > 0, F.get(cells, i - 1)["col"]).otherwise(F.lit(0))).cast("int")),
+        F.coalesce(e["value"], F.lit("")))), "")), F.lit(0))
     return grouped.select("sheet", "row", F.regexp_replace(line, r"\t+\z", "").alias("line"))
 
 

@@ -61,14 +61,17 @@ def miss_alerts(stream: DataFrame, threshold: int = 3) -> DataFrame:
     """Counter state after every action, per product: records since the last close, sticky reminder,
     closed cycles, last reminder. The state is three numbers per product.
 
-    Input: product, ord, micros, action, in order per product - one product comes from one source
-    partition, as with a log keyed by product."""
+    Input: product, ord, micros, action. A trigger's actions of a product are put in order as a whole, from however many
+    files they come; across triggers they must arrive in order. What is held is one product's actions of one trigger, which
+    maxFilesPerTrigger bounds."""
 
     def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         records, cycles, last = state.get if state.exists else (0, 0, None)
-        for pdf in frames:
+        held = pd.concat(list(frames)).sort_values(["ord", "micros", "action"])
+        for at_row in range(0, len(held), 10_000):
+            pdf = held.iloc[at_row:at_row + 10_000]
             out = []
-            for ord_, at, action in sorted(zip(pdf["ord"], pdf["micros"], pdf["action"])):
+            for ord_, at, action in zip(pdf["ord"], pdf["micros"], pdf["action"]):
                 if action == RECORD:
                     records += 1
                 elif action in ACKNOWLEDGE:

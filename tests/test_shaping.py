@@ -17,6 +17,7 @@ from supportkb.operators import sheets as SH
 from supportkb.operators import vision as V
 from supportkb.sources import files as S
 from supportkb.sources import sinks
+from supportkb.streaming import flows
 
 
 def brute_rows(text):
@@ -260,3 +261,37 @@ def test_existing_items_of_a_sheet_come_first(spark):
                                  "layer string, row_ord long, name string, page string, blob string, ref string")
     got = {(r["sheet"], r["row_ord"]): (r["pick"], r["answer"]) for r in Q.enrich_faq_hits(hits, items, rows).collect()}
     assert {k: v for k, v in got.items() if k[0] == "s"} == {("s", 3): (1, "a3"), ("s", 4): (2, "a4"), ("s", 5): (3, "a5")}
+
+
+def test_text_at_four_levels_and_beyond_the_bound(spark):
+    deep = {"content": {"parts": [{"content": {"text": [{"value": "deep"}]}}, {"text": "flat"}, ["a", ["b"]]]}, "role": "user"}
+    v = spark.createDataFrame([(json.dumps(deep),)], "t string").select(F.parse_json("t").alias("v"))
+    assert v.select(C.message_text(F.col("v"))).first()[0] == "deep flat a b"
+    nested = "x"
+    for _ in range(C.NESTING + 2):
+        nested = [nested]
+    over = spark.createDataFrame([(json.dumps({"content": nested}),)], "t string").select(F.parse_json("t").alias("v"))
+    try:
+        over.select(C.message_text(F.col("v"))).first()
+    except Exception as e:
+        assert "nested deeper" in str(e)
+    else:
+        raise AssertionError("text was lost without an error")
+
+
+def test_miss_alerts_of_one_product_from_two_files(spark, tmp_path):
+    rows = [("p", i, i, "record" if i % 4 else "acknowledge") for i in range(4000)]
+    kinds = "product string, ord long, micros long, action string"
+    for half in (0, 1):
+        spark.createDataFrame(rows[half::2], kinds).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kinds).parquet(str(tmp_path / "in"))
+    q = (flows.miss_alerts(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp"))
+         .trigger(availableNow=True).start(str(tmp_path / "out")))
+    q.awaitTermination()
+    got = {r["ord"]: r["records"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    closes = set(flows.ACKNOWLEDGE)
+    want, n = {}, 0
+    for _, i, _, action in rows:
+        n = n + 1 if action == flows.RECORD else 0 if action in closes else n
+        want[i] = n
+    assert got == want
