@@ -39,9 +39,9 @@ def is_header_row(cells: Column) -> Column:
     return contains_any(joined, D.HEADER_DATE) & contains_any(joined, D.HEADER_COLUMNS)
 
 
-def find_header(rows: Column, within: int = 10) -> Column:
-    """Index of the first header among the first ten non-blank rows, NULL without one."""
-    return F.array_min(F.transform(F.slice(rows, 1, within), lambda r, i: F.when(is_header_row(r), i)))
+def find_header(rows: Column, within: int | None = None) -> Column:
+    """Index of the first header among the non-blank rows (or the first ``within`` of them), NULL without one."""
+    return F.array_min(F.transform(rows if within is None else F.slice(rows, 1, within), lambda r, i: F.when(is_header_row(r), i)))
 
 
 def _field_of(cell: Column) -> Column:
@@ -91,11 +91,11 @@ def fallback_row(cells: Column) -> Column:
     return F.struct(*[value.get(f, F.lit("")).alias(f) for f in FIELDS], _empty_media().alias("media"))
 
 
-def faq_items(sheets: DataFrame) -> DataFrame:
+def faq_items(sheets: DataFrame, header_within: int | None = None) -> DataFrame:
     """Sheets to FAQ items: sheet, item_ord, the eight fields, media. The header row is dropped
     (rows before it stay), as are rows of media references only. A sheet is one row until its
-    items are exploded, so nothing is shuffled."""
-    found = sheet_rows(sheets).withColumn("_h", find_header(F.col("rows")))
+    items are exploded, so nothing is shuffled. ``header_within`` looks for the header in the first rows only."""
+    found = sheet_rows(sheets).withColumn("_h", find_header(F.col("rows"), header_within))
     mapped = found.withColumn("_map", column_map(F.coalesce(F.get("rows", F.col("_h")), _empty_media())))
     # A header may name no known field at all; such a sheet reads like one without header.
     usable = F.coalesce(*[F.col(f"_map.{f}") for f in FIELDS]).isNotNull()

@@ -376,12 +376,12 @@ def _assets(spark, sf_dir):
     """Pages as files: path from url, size of the html."""
     p = T.table(spark, sf_dir, "pages")
     kind = F.element_at(F.array(*[F.lit(x) for x in ("_p-1.jpg", "_p-x.jpg", ".PDF", "_P-22.PNG", ".xlsx", ".txt")]), (F.col("page_id") % 6 + 1).cast("int"))
-    folder = F.when(F.col("page_id") % 4 == 0, "manuals/规格书").otherwise("manuals/other")
+    folder = (F.when(F.col("page_id") % 8 == 0, "说明书/m1/规格书").when(F.col("page_id") % 4 == 0, "manuals/规格书").otherwise("manuals/other"))
     name = F.concat(F.element_at(F.array(F.lit("kdocs_"), F.lit("售后方案"), F.lit("Doc")), (F.col("page_id") % 3 + 1).cast("int")), (F.col("page_id") % 40).cast("string"))
     return p.select(F.concat_ws("/", folder, F.concat(name, kind)).alias("path"), F.length("html").cast("long").alias("length"), F.col("page_id").alias("modificationTime"))
 
 
-_SQL_ASSETS = """files AS (SELECT CASE WHEN page_id % 4 = 0 THEN 'manuals/规格书' ELSE 'manuals/other' END AS folder,
+_SQL_ASSETS = """files AS (SELECT CASE WHEN page_id % 8 = 0 THEN '说明书/m1/规格书' WHEN page_id % 4 = 0 THEN 'manuals/规格书' ELSE 'manuals/other' END AS folder,
   CASE page_id % 3 WHEN 0 THEN 'kdocs_' WHEN 1 THEN '售后方案' ELSE 'Doc' END || (page_id % 40) ||
   CASE page_id % 6 WHEN 0 THEN '_p-1.jpg' WHEN 1 THEN '_p-x.jpg' WHEN 2 THEN '.PDF' WHEN 3 THEN '_P-22.PNG' WHEN 4 THEN '.xlsx' ELSE '.txt' END AS name,
   length(html) AS length, page_id AS mt FROM pages),
@@ -423,7 +423,7 @@ def spec_file_filter(spark, sf_dir):
 
 
 QUERIES["spec_file_filter"] = spec_file_filter
-ORACLE["spec_file_filter"] = rf"""WITH {_SQL_ASSETS} SELECT path, mt AS "modificationTime" FROM assets WHERE folder = 'manuals/规格书' AND regexp_matches(name, '(?i)\.(xlsx|pdf)$')"""
+ORACLE["spec_file_filter"] = rf"""WITH {_SQL_ASSETS} SELECT path, mt AS "modificationTime" FROM assets WHERE folder = '说明书/m1/规格书' AND regexp_matches(name, '(?i)\.(xlsx|pdf)$')"""
 
 
 def scan_text_files(spark, sf_dir):

@@ -13,6 +13,7 @@ CAPTURE_LOG = "_capture_log.txt"
 VIDEO_TYPES = ["mp4", "mov", "avi", "mkv", "webm"]
 IMAGE_TYPES = ["jpg", "jpeg", "png"]
 SMALL_SCAN = 8
+MANUAL_FOLDER = "说明书"
 SPEC_FOLDER_WORDS = ["规格书", "规格", "spec", "Spec"]
 WORKBOOK_NAME = "(?i)售后.*(方案|对应)|日本站售后"
 SHEET_TEXT_NAME = r"(?i)^kdocs_.*\.txt$"
@@ -135,12 +136,14 @@ def select_source_files(assets: DataFrame, cache_prefix: str, path: str = "path"
 
 
 def spec_file_filter(assets: DataFrame, path: str = "path", words: list[str] | None = None,
-                     types: tuple = ("xlsx", "pdf")) -> DataFrame:
-    """Files of the given types whose parent folder name holds a spec word."""
+                     types: tuple = ("xlsx", "pdf"), root: str | None = MANUAL_FOLDER) -> DataFrame:
+    """Files of the given types whose parent folder name holds a spec word, below a folder of ``root`` (anywhere when None)."""
     parent = F.get(F.reverse(F.split(F.col(path), r"[/\\]")), F.lit(1))
     hit = F.lit(False)
     for w in words or SPEC_FOLDER_WORDS:
         hit = hit | F.contains(parent, F.lit(w))
+    if root is not None:
+        hit = hit & F.col(path).rlike(rf"(^|[/\\])\Q{root}\E[/\\][^/\\]+[/\\]")
     return assets.filter(extension(F.col(path)).isin(*types) & hit)
 
 

@@ -48,13 +48,15 @@ def test_quoted_rows(spark):
 def test_faq_items(spark):
     sheets = [("headed", 'note\t\n日期\t问题\t回复模板\t图\n2026-08-09\t"无法\t充\n电"\t別の"USB"\tID_1\nID_9\t\n\t=DISPIMG(1)\t\tID_2\n'),
               ("plain", "2026/8/9\tq\ta\tb\nonly\n"), ("late", "x\n" * 10 + "日期\t问题\n")]
+    df = spark.createDataFrame(sheets, "sheet string, text string")
     got = {}
-    for r in SH.faq_items(spark.createDataFrame(sheets, "sheet string, text string")).orderBy("sheet", "item_ord").collect():
+    for r in SH.faq_items(df).orderBy("sheet", "item_ord").collect():
         got.setdefault(r["sheet"], []).append((r["date"], r["question"], r["answer"], r["template"], r["media"]))
     # The row before the header stays; rows of media references only are dropped.
     assert got["headed"] == [("note", "", "", "", []), ("2026-08-09", "无法 充 电", "", '別の"USB"', ["ID_1"])]
     assert got["plain"] == [("2026/8/9", "q", "a | b", "", []), ("", "only", "", "", [])]
-    assert len(got["late"]) == 11
+    assert len(got["late"]) == 10       # the header is found wherever it stands
+    assert SH.faq_items(df, header_within=10).filter("sheet = 'late'").count() == 11
 
 
 def test_cells_to_sheet_text(spark):
