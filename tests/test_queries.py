@@ -15,6 +15,8 @@ CORE = ["norm", "tokenize", "expand_terms", "exact_search", "rank_exact_hits", "
         "extract_messages", "upsert_conversations", "linearize_tree", "alias_join", "redact_pii",
         "approved_cases", "miss_cycles", "gap_counts", "shard_jobs", "pending_jobs", "stream_decisions",
         "stream_miss_alerts", "miss_rate_windows"]
+# Partial ratios, and operators that SQL cannot express; each is tested against brute force elsewhere.
+NO_TWIN = {"fuzzy_topk", "hybrid_search_fuzzy", "pipeline"} | {n for n in entry.queries() if n[:2] == "op" and n[2].isdigit()}
 NAMES = list(entry.queries()) if os.environ.get("SUPPORTKB_ALL") else CORE
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not mounted")
@@ -23,7 +25,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not
 @pytest.mark.parametrize("name", NAMES)
 def test_against_duckdb(spark, name):
     result = compare(spark, SF, name, entry.queries()[name], entry.oracle_sql().get(name))
-    assert result["status"] in ("ok", "rows-only"), result
+    assert result["status"] == "ok" or (result["status"] == "rows-only" and name in NO_TWIN), result
 
 
 def test_every_oracle_has_a_query():
