@@ -90,9 +90,10 @@ def match_products(sheets: DataFrame, keywords: DataFrame, manuals: DataFrame, i
     videos. ``manuals``: manual, stem; ``images``: image_rel; ``videos``: video."""
     keywords = cut_lineage(keywords)  # matched against four tables
     by_name = match_items(keywords, manuals.select("manual", "stem"), "stem").select("product", "manual")
-    ocr = by_name.unionByName(manuals_by_images(keywords, images, manuals)).distinct()
-    pages = match_items(keywords, images.select("image_rel"), "image_rel")
-    vids = match_items(keywords, videos.select("video"), "video")
+    # counted and ranked from the written pairs, so that each matcher runs once
+    ocr = cut_lineage(by_name.unionByName(manuals_by_images(keywords, images, manuals)).distinct())
+    pages = cut_lineage(match_items(keywords, images.select("image_rel"), "image_rel"))
+    vids = cut_lineage(match_items(keywords, videos.select("video"), "video"))
     out = sheets.select(F.col("sheet").alias("product"), F.concat("sheet", F.lit(".json")).alias("faq")).distinct()
     words = keywords.groupBy("product").agg(F.array_sort(F.collect_set("keyword")).alias("keywords"))  # a name's own words
     out = (out.join(words, "product", "left")

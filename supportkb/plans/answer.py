@@ -63,7 +63,7 @@ def _lookup_stage(queries: DataFrame, terms: DataFrame, faq_items: DataFrame, sy
     asked = queries.filter("product <> ''")
     # Only the sheets that some query names can answer it: an equality, so it narrows the items.
     items = faq_items.join(asked.select(F.col("product").alias("sheet")).distinct(), "sheet", "left_semi")
-    hits = S.lookup_fast(S.build_faq_lookup(items, synonyms), terms, queries)
+    hits = S.lookup_fast(cut_lineage(S.build_faq_lookup(items, synonyms)), terms, queries)
     return hits.select("query_id", F.lit("lookup").alias("stage"), "rank", F.lit(0.0).alias("score"),
                        F.lit("FAQ").alias("layer"), F.col("sheet").alias("name"), F.lit("").alias("page"),
                        F.lit("").alias("term"), F.col("question").alias("snippet"), *_ITEM)

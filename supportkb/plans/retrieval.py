@@ -168,7 +168,7 @@ FROM blobs b LEFT JOIN keys k ON k.sheet = b.sheet AND k.item_ord = b.item_ord G
 def lookup_fast(spark, sf_dir):
     q = _lookup_queries(spark, sf_dir)
     syn = T.word_synonyms(spark, sf_dir)
-    lookup = S.build_faq_lookup(T.faq_items(spark, sf_dir), syn)
+    lookup = cut_lineage(S.build_faq_lookup(T.faq_items(spark, sf_dir), syn))
     return S.lookup_fast(lookup, S.expand_terms(q, syn), q)
 
 
