@@ -29,7 +29,7 @@ from supportkb.sizing import broadcast_if_small
 
 TREES, DEPTH, LEAST = 16, 8, 2
 RUN, NEXT, CROWDED = 12, 3, 1
-REST_BLOCK = 128
+REST_BLOCK, REST_COLUMNS = 256, 4096
 TREE_ROWS = 150_000
 PIECE = 1 << 20
 
@@ -250,6 +250,14 @@ def rest(crowded: DataFrame, reps: DataFrame, texts: DataFrame, found: DataFrame
         data, offsets = common.column_bytes(texts.take(pa.array(keep)))
         return shingles(data, offsets, width)
 
+    def grid(flat, cut, some):
+        """Which of some (sorted) shingles each set holds."""
+        place = np.minimum(np.searchsorted(some, flat), len(some) - 1)
+        hit = some[place] == flat
+        out = np.zeros((len(cut) - 1, len(some)), np.float32)
+        out[np.repeat(np.arange(len(cut) - 1), np.diff(cut))[hit], place[hit]] = 1
+        return out
+
     def run(batches):
         for batch in batches:
             links = set()
@@ -270,14 +278,12 @@ def rest(crowded: DataFrame, reps: DataFrame, texts: DataFrame, found: DataFrame
                     continue
                 (qf, qa), (mf, ma) = sets(tq, q), sets(tm, m)
                 both = np.intersect1d(qf, mf)
-                grids = []
-                for flat, cut in ((qf, qa), (mf, ma)):
-                    place = np.minimum(np.searchsorted(both, flat), max(len(both) - 1, 0))
-                    hit = both[place] == flat if len(both) else np.zeros(len(flat), bool)
-                    grid = np.zeros((len(cut) - 1, len(both)), np.float32)
-                    grid[np.repeat(np.arange(len(cut) - 1), np.diff(cut))[hit], place[hit]] = 1
-                    grids.append(grid)
-                common_n = (grids[0] @ grids[1].T).astype(np.int64)
+                common_n = np.zeros((len(q), len(m)), np.float32)
+                for lo in range(0, len(both), REST_COLUMNS):
+                    some = both[lo:lo + REST_COLUMNS]
+                    one, other = grid(qf, qa, some), grid(mf, ma, some)
+                    common_n += one @ other.T
+                common_n = common_n.astype(np.int64)
                 union = np.diff(qa)[:, None] + np.diff(ma)[None, :] - common_n
                 i, j = np.nonzero((100 * common_n >= percent * union) & maybe[np.ix_(q, m)])
                 links.update(zip(cq[q[i]].tolist(), cm[m[j]].tolist()))      # components are nodes themselves
