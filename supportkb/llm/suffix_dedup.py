@@ -148,15 +148,25 @@ def _suffix_rows(docs: DataFrame) -> DataFrame:
                          pa.array((end - base[i]).astype(np.int32)), raw],
                         ["kind", "lead", "doc_id", "th", "at", "begin", "end", "bytes"])
                 k, d = np.flatnonzero(kept), np.flatnonzero(done)
-                wk, wd = which[w_keep], which[w_done]
+                wk = which[w_keep]
+                # neighbouring windows that are decided go on as one span
+                da, dz = _runs(w_done, which)
                 none = (lambda n: pa.array([b""] * n, pa.binary()))
                 yield rows(0, gram[k], k, first[k], last[k] + LENGTH, _cut(part, first[k], last[k] + LENGTH))
                 yield rows(1, gram[d], d, first[d], last[d] + LENGTH, none(len(d)))
                 yield rows(2, window[w_keep], wk, start[w_keep], start[w_keep] + LENGTH, none(len(wk)))
-                yield rows(1, window[w_done], wd, start[w_done], start[w_done] + LENGTH, none(len(wd)))
+                yield rows(1, window[da], which[da], start[da], start[dz] + LENGTH, none(len(da)))
     return docs.select("doc_id", "th", "text", "at", "hot").mapInArrow(run, _SUFFIX)
 
 
+def _runs(marked: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of each run of marked windows of one owner; the windows of an owner stand in order."""
+    edge = np.ones(len(marked) + 1, bool)
+    edge[1:-1] = owner[1:] != owner[:-1]
+    before, after = np.r_[False, marked[:-1]], np.r_[marked[1:], False]
+    return np.flatnonzero(marked & (edge[:-1] | ~before)), np.flatnonzero(marked & (edge[1:] | ~after))
+
+
 def _later(content, doc, th, place):
     """Per row: does an equal content stand earlier; is it the very same place again (a repeated row)."""
     order = np.lexsort((place, th, doc, content))
@@ -222,12 +232,7 @@ def _decided(suffixes: DataFrame) -> DataFrame:
         same = (doc[which[by]] == doc[which[first]]) & (th[which[by]] == th[which[first]]) & (place[by] == place[first])
         repeat = np.zeros(len(by), bool)
         repeat[by] = equal & ~same
-        edge = np.ones(len(repeat), bool)
-        edge[1:] = (which[1:] != which[:-1]) | ~repeat[:-1]
-        a = np.flatnonzero(repeat & edge)
-        stop = np.ones(len(repeat), bool)
-        stop[:-1] = (which[1:] != which[:-1]) | ~repeat[1:]
-        z = np.flatnonzero(repeat & stop)
+        a, z = _runs(repeat, which)
         yield pa.RecordBatch.from_arrays(
             [pa.array(doc[which[a]]), pa.array(th[which[a]]), pa.array(place[a].astype(np.int32)),
              pa.array((place[z] + LENGTH).astype(np.int32))], ["doc_id", "th", "begin", "end"])
