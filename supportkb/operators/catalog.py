@@ -10,10 +10,9 @@ from supportkb.functions.text import norm, strip
 from supportkb.operators.containment import contains_any_join, contains_join
 from supportkb.sizing import cut_lineage
 
-# How many manuals, page images and videos a catalog row lists, and how many page
-# images the graph draws.
+# How many manuals, page images and videos a catalog row lists (display only: counts, graph and facts
+# take all pairs).
 CAPS = {"ocr": 8, "pages": 8, "videos": 6}
-GRAPH_PAGES = 20
 _BRACKETS = "[（(].*?[）)]"
 
 
@@ -84,16 +83,19 @@ def manuals_by_images(keywords: DataFrame, images: DataFrame, manuals: DataFrame
     return hit.join(manuals, "stem").select("product", "manual")
 
 
-def match_products(sheets: DataFrame, keywords: DataFrame, manuals: DataFrame, images: DataFrame,
-                   videos: DataFrame) -> DataFrame:
-    """The catalog: product, keywords, faq, and count plus first entries of manuals, page images and
-    videos. ``manuals``: manual, stem; ``images``: image_rel; ``videos``: video."""
-    keywords = cut_lineage(keywords)  # matched against four tables
+def product_items(keywords: DataFrame, manuals: DataFrame, images: DataFrame,
+                  videos: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All pairs (product, manual), (product, image_rel) and (product, video), distinct and written once.
+    ``manuals``: manual, stem; ``images``: image_rel; ``videos``: video."""
     by_name = match_items(keywords, manuals.select("manual", "stem"), "stem").select("product", "manual")
-    # counted and ranked from the written pairs, so that each matcher runs once
-    ocr = cut_lineage(by_name.unionByName(manuals_by_images(keywords, images, manuals)).distinct())
-    pages = cut_lineage(match_items(keywords, images.select("image_rel"), "image_rel"))
-    vids = cut_lineage(match_items(keywords, videos.select("video"), "video"))
+    return (cut_lineage(by_name.unionByName(manuals_by_images(keywords, images, manuals)).distinct()),
+            cut_lineage(match_items(keywords, images.select("image_rel"), "image_rel")),
+            cut_lineage(match_items(keywords, videos.select("video"), "video")))
+
+
+def match_products(sheets: DataFrame, keywords: DataFrame, ocr: DataFrame, pages: DataFrame, vids: DataFrame) -> DataFrame:
+    """The catalog: product, keywords, faq, and count plus first entries of manuals, page images and
+    videos. ``ocr``, ``pages``, ``vids``: the pairs of ``product_items``."""
     out = sheets.select(F.col("sheet").alias("product"), F.concat("sheet", F.lit(".json")).alias("faq")).distinct()
     words = keywords.groupBy("product").agg(F.array_sort(F.collect_set("keyword")).alias("keywords"))  # a name's own words
     out = (out.join(words, "product", "left")
@@ -130,24 +132,25 @@ def related_tables(keywords: DataFrame, tables: DataFrame) -> DataFrame:
     return match_items(kw, tables.select("table"), "table", fold=norm(F.col("table")))
 
 
-def graph_nodes_edges(catalog: DataFrame, tables: DataFrame, specs: DataFrame, params: DataFrame,
-                      related: DataFrame) -> tuple[DataFrame, DataFrame]:
+def graph_nodes_edges(catalog: DataFrame, tables: DataFrame, specs: DataFrame, params: DataFrame, related: DataFrame,
+                      ocr: DataFrame, pages: DataFrame, vids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes (id, kind, label, path) and edges (src, dst, rel).
 
-    ``specs``/``params``: product, file links; ``related``: product, table; ``tables``: table."""
+    ``specs``/``params``: product, file links; ``related``: product, table; ``tables``: table; ``ocr``, ``pages``,
+    ``vids``: the pairs of ``product_items``. The catalog's lists are for display and are not read."""
     catalog = cut_lineage(catalog)  # read once per kind of link
     last = lambda c: F.element_at(F.split(c, r"\\"), -1)
     pid = F.concat(F.lit("product:"), F.col("product"))
     link = lambda df, rel, kind, key, label, path: df.select(
         pid.alias("src"), F.concat(F.lit(kind + ":"), key).alias("dst"), F.lit(rel).alias("rel"),
         F.lit(kind).alias("kind"), label.alias("label"), path.alias("path"))
-    listed = lambda c, cap: catalog.select("product", F.explode(F.slice(c, 1, cap)).alias("x"))
+    pairs = lambda df, item: df.select("product", F.col(item).alias("x"))
     x = F.col("x")
     links = [
         link(catalog.filter("faq <> ''"), "has_faq", "faq", F.col("faq"), F.col("faq"), F.concat(F.lit("faq/"), F.col("faq"))),
-        link(listed("ocr_files", CAPS["ocr"]), "has_manual", "ocr", x, x, F.concat(F.lit("pdf_ocr/"), x)),
-        link(listed("pages", GRAPH_PAGES), "has_page", "page", x, last(x), F.concat(F.lit("pdf_pages/"), x)),
-        link(listed("videos", CAPS["videos"]), "has_video", "video", x, last(x), x),
+        link(pairs(ocr, "manual"), "has_manual", "ocr", x, x, F.concat(F.lit("pdf_ocr/"), x)),
+        link(pairs(pages, "image_rel"), "has_page", "page", x, last(x), F.concat(F.lit("pdf_pages/"), x)),
+        link(pairs(vids, "video"), "has_video", "video", x, last(x), x),
         link(specs.withColumnRenamed("file", "x"), "has_spec", "spec", x, last(x), x),
         link(params.withColumnRenamed("file", "x"), "has_params", "params", x, x, F.lit("quick_index/params_norm.tsv")),
         link(related, "related_table", "table", F.col("table"), F.col("table"),

@@ -103,9 +103,15 @@ def _videos(spark, sf_dir):
 _SQL_VIDEOS = "SELECT regexp_replace(url, '^[a-z]+://', '') || '/' || p_brand || '.mp4' AS video FROM pages JOIN part ON page_id = p_partkey"
 
 
+def _catalog_items(spark, sf_dir):
+    """The catalog and all its (product, item) pairs."""
+    keywords = cut_lineage(_keywords(spark, sf_dir))
+    items = C.product_items(keywords, _manuals(spark, sf_dir), _images(spark, sf_dir), _videos(spark, sf_dir))
+    return C.match_products(sheets(spark, sf_dir), keywords, *items), items
+
+
 def catalog(spark, sf_dir):
-    return C.match_products(sheets(spark, sf_dir), _keywords(spark, sf_dir), _manuals(spark, sf_dir),
-                            _images(spark, sf_dir), _videos(spark, sf_dir))
+    return _catalog_items(spark, sf_dir)[0]
 
 
 def match_products(spark, sf_dir):
@@ -184,9 +190,10 @@ ORACLE["related_tables"] = f"WITH kw AS ({_SQL_PRODUCT_KEYWORDS}) {_SQL_RELATED}
 
 
 def _graph(spark, sf_dir):
-    cat, tables = cut_lineage(catalog(spark, sf_dir)), _tables(spark, sf_dir)
+    cat, items = _catalog_items(spark, sf_dir)
+    cat, tables = cut_lineage(cat), _tables(spark, sf_dir)
     links = cut_lineage(link_specs_params(spark, sf_dir))
-    return cat, *C.graph_nodes_edges(cat, tables, links, links, related_tables(spark, sf_dir))
+    return cat, *C.graph_nodes_edges(cat, tables, links, links, related_tables(spark, sf_dir), *items)
 
 
 _SQL_GRAPH = rf"""{_SQL_CATALOG}, rel_ AS ({_SQL_RELATED}), lk AS ({_SQL_LINKS}),
