@@ -184,9 +184,8 @@ def missing_sources(catalog: DataFrame) -> DataFrame:
     return catalog.select("product", F.explode(lacks).alias("missing"))
 
 
-def product_facts(catalog: DataFrame, snippets: DataFrame) -> DataFrame:
-    """Facts of every product over the manuals its catalog row lists. ``snippets``: base, grp, kw,
+def product_facts(ocr: DataFrame, snippets: DataFrame) -> DataFrame:
+    """Facts of every product over all its manuals. ``ocr``: product, manual; ``snippets``: base, grp, kw,
     pick, snippet."""
-    listed = catalog.select("product", F.explode("ocr_files").alias("manual"))
-    return (listed.join(snippets.withColumn("manual", F.concat("base", F.lit(".txt"))), "manual")
+    return (ocr.join(snippets.withColumn("manual", F.concat("base", F.lit(".txt"))), "manual")
             .select("product", "manual", "grp", "kw", "pick", "snippet"))

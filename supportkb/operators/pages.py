@@ -93,29 +93,31 @@ def param_lines(text: Column, hints: list[str] | None = None, max_rows: int | No
     return F.array_join(lines if max_rows is None else F.slice(lines, 1, max_rows), " ")
 
 
-def fact_snippet_array(n: Column, keyword: str, window: int = 140, most: int = 6) -> Column:
-    """Distinct windows around the non-overlapping occurrences of a keyword in a text without blanks,
-    at most six. The text is split at the keyword and walked once; the state is the offset and the
-    windows found so far. Pass a plain column: inside the walk an expression is computed each time."""
+def fact_snippet_array(n: Column, keyword: str, window: int = 140, most: int | None = None) -> Column:
+    """Distinct windows around the non-overlapping occurrences of a keyword in a text without blanks
+    (the first ``most``). The text is split at the keyword and walked once; the state is the offset and the
+    places found so far. Pass a plain column: for each window an expression is computed again."""
     k = "".join(keyword.split())
     pieces = F.split(n, "\\Q" + k + "\\E", -1)
 
     def step(acc: Column, piece: Column) -> Column:
         at = acc["at"] + F.char_length(piece)
+        return F.struct((at + len(k)).alias("at"), F.array_append(acc["out"], at).alias("out"))
+
+    def cut(at: Column) -> Column:
         start = F.greatest(at - 60, F.lit(0))
-        cut = F.substr(n, start + 1, at + len(k) + window - start)
-        out = F.when(F.size(acc["out"]) >= most, acc["out"]).when(
-            F.array_contains(acc["out"], cut), acc["out"]).otherwise(F.array_append(acc["out"], cut))
-        return F.struct((at + len(k)).alias("at"), out.alias("out"))
+        return F.substr(n, start + 1, at + len(k) + window - start)
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), start, step)["out"]
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    places = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), start, step)["out"]
+    found = F.array_distinct(F.transform(places, cut))
+    return found if most is None else F.slice(found, 1, most)
 
 
-def fact_snippets(manuals: DataFrame, groups: dict[str, list[str]] | None = None) -> DataFrame:
-    """base, grp, kw, pick, snippet for every keyword of every group."""
+def fact_snippets(manuals: DataFrame, groups: dict[str, list[str]] | None = None, most: int | None = None) -> DataFrame:
+    """base, grp, kw, pick, snippet for every keyword of every group (the first ``most`` per keyword and manual)."""
     def tagged(grp: str, kw: str) -> Column:
-        return F.transform(fact_snippet_array(F.col("_n"), kw), lambda s, i: F.struct(
+        return F.transform(fact_snippet_array(F.col("_n"), kw, most=most), lambda s, i: F.struct(
             F.lit(grp).alias("grp"), F.lit(kw).alias("kw"), (i + 1).alias("pick"), s.alias("snippet")))
 
     found = [tagged(g, w) for g, words in (D.FACT_KEYWORDS if groups is None else groups).items() for w in words]

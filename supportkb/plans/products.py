@@ -242,11 +242,10 @@ UNION ALL SELECT product, 'no_video' FROM cat WHERE len(videos) = 0"""
 
 
 def product_facts(spark, sf_dir):
-    """Sources as products: facts over the first eight documents of each source."""
+    """Sources as products: facts over all documents of each source."""
     d = T.table(spark, sf_dir, "documents").withColumn("base", F.concat_ws("-", "source", F.col("doc_id").cast("string")))
     pairs = d.select(F.col("source").alias("product"), F.concat("base", F.lit(".txt")).alias("manual"))
-    listed = C._first_few(pairs, "manual", 8, "ocr_count", "ocr_files")
-    return C.product_facts(listed, P.fact_snippets(d, GROUPS))
+    return C.product_facts(pairs, P.fact_snippets(d, GROUPS))
 
 
 QUERIES["product_facts"] = product_facts

@@ -1,6 +1,7 @@
 """Registered queries on small made tables whose groups are longer than any display list."""
 
 import __spark_entry__ as entry
+from supportkb.plans.manuals import GROUPS
 
 
 def _write(spark, folder, **tables):
@@ -20,3 +21,14 @@ def test_graph_has_every_pair(spark, tmp_path):
     assert [nodes.count(x) for x in ("ocr", "page", "video")] == [30, 20, 30]
     summary = {r["measure"]: r["n"] for r in entry.queries()["graph_summary"](spark, d).collect()}
     assert [summary[f"nodes:{x}"] for x in ("ocr", "page", "video")] == [30, 20, 30] and summary["no_ocr"] == summary["no_video"] == 0
+
+
+def test_facts_of_every_document_and_place(spark, tmp_path):
+    group, word = next((g, w) for g, words in GROUPS.items() for w in words)
+    text = "".join(f"{i:03d}" + "x" * 300 + word for i in range(9))
+    d = _write(spark, tmp_path, documents=([(i, text, "en", "src", len(text)) for i in range(12)],
+                                           "doc_id long, text string, lang string, source string, n_chars long"))
+    for name, key in (("product_facts", "manual"), ("fact_snippets", "base")):
+        rows = [r for r in entry.queries()[name](spark, d).collect() if r["kw"] == word and r["grp"] == group]
+        assert len({r[key] for r in rows}) == 12 and len(rows) == 12 * 9, name
+        assert {r["pick"] for r in rows} == set(range(1, 10))
