@@ -80,11 +80,11 @@ def misses_from_search(queries: DataFrame, results: DataFrame, reason: str = "NO
 def diagnose_not_found(queries: DataFrame, terms: DataFrame, manuals: DataFrame, files: DataFrame,
                        images: DataFrame, pairs: DataFrame) -> DataFrame:
     """Where a query's content may have been lost: matching manuals with page count and length
-    (10), source files (5), page images (8) and candidate images whose preview holds a term (10).
+    (10), source files (5), page images (8) and candidate images whose text holds a term (10).
 
     ``manuals``: name, pages, norm_len; ``files``/``images``: path, stem; ``pairs``: pdf_base,
-    page_seq, preview, image_rel. The first three depend on the product only, so they are found
-    once per distinct product and then handed to its queries.
+    page_seq, preview (searched as it is, so pass the whole text), image_rel. The first three depend on
+    the product only, so they are found once per distinct product and then handed to its queries.
     Returns query_id, section, place, subject, detail, total."""
     asked = queries.select("query_id", norm(F.col("product")).alias("pn"))
     products = asked.select("pn").distinct()

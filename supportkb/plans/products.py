@@ -268,7 +268,7 @@ def diagnose_not_found(spark, sf_dir):
                      F.concat_ws("-", "source", F.col("doc_id").cast("string")).alias("stem"))
     images = T.table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.concat(F.lit("SRC "), (F.col("page_id") % 30).cast("string")).alias("stem"))
     pairs = d.select(F.col("source").alias("pdf_base"), F.col("doc_id").cast("string").alias("page_seq"),
-                     F.substring("text", 1, 80).alias("preview"),
+                     F.col("text").alias("preview"),
                      F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.concat(F.lit("img"), F.col("doc_id").cast("string"))).alias("image_rel"))
     return answer.diagnose_not_found(q, terms, manuals, files, images, pairs)
 

@@ -193,7 +193,7 @@ def resolve_sources(spark, sf_dir):
     kind = F.element_at(F.array(*[F.lit(k) for k in L.SOURCE_PRIORITY]), (F.col("doc_id") % 4 + 1).cast("int"))
     return L.resolve_sources(d.select(
         F.col("source").alias("product"), F.col("lang").alias("issue"), kind.alias("kind"), F.coalesce("quality", F.lit(0)).alias("specificity"),
-        F.floor(F.col("doc_id") / 40).alias("updated"), F.substring("text", 1, 50).alias("answer")))
+        F.floor(F.col("doc_id") / 40).alias("updated"), F.col("text").alias("answer")))
 
 
 QUERIES["resolve_sources"] = resolve_sources
@@ -291,7 +291,7 @@ def _results(spark, sf_dir):
     status = F.element_at(F.array(F.lit("ok"), F.lit("fail:timeout"), F.lit(""), F.lit("ok")), (F.col("page_id") % 4 + 1).cast("int"))
     shard = lambda i, keep: p.filter(keep).select(
         F.lit("manual").alias("source"), F.col("url").alias("image_rel"), F.lit(i).alias("shard"), "page_id",
-        status.alias("status"), F.concat(F.lit(f"d{i}-"), F.substring("html", 1, 20)).alias("description"))
+        status.alias("status"), F.concat(F.lit(f"d{i}-"), "html").alias("description"))
     return shard(0, "page_id % 2 = 0").unionByName(shard(1, "page_id % 3 = 0")).unionByName(shard(2, "page_id % 5 <> 1"))
 
 

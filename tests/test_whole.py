@@ -32,3 +32,22 @@ def test_facts_of_every_document_and_place(spark, tmp_path):
         rows = [r for r in entry.queries()[name](spark, d).collect() if r["kw"] == word and r["grp"] == group]
         assert len({r[key] for r in rows}) == 12 and len(rows) == 12 * 9, name
         assert {r["pick"] for r in rows} == set(range(1, 10))
+
+
+_DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_texts_differ_after_a_shared_start(spark, tmp_path):
+    same = "license head " * 20
+    docs = [(i, same + tail, "en", "SRC 1", 300) for i, tail in ((1, "alpha beta"), (5, "gamma"))]
+    html = "<html><body>" + "x" * 100 + "end"
+    d = _write(spark, tmp_path, documents=(docs, _DOCS), labels=([(1, 1, 0)], "doc_id long, quality int, toxic int"),
+               benchmark=([(i, "alpha beta one two three four") for i in (1, 2)], "item_id long, text string"),
+               pages=([(2, "https://h/2", html)], "page_id long, url string, html string"))
+    run = entry.queries()
+    row, = run["resolve_sources"](spark, d).collect()
+    assert row["conflict"] and row["answer"] == same + "alpha beta"
+    found = [r["detail"] for r in run["diagnose_not_found"](spark, d).collect() if r["section"] == "CANDIDATE_IMAGES"]
+    assert found == ["page=1 -> img1"] * 2
+    merged, = run["merge_shards_first_wins"](spark, d).collect()
+    assert merged["description"] == "d0-" + html
