@@ -148,21 +148,15 @@ def spec_file_filter(assets: DataFrame, path: str = "path", words: list[str] | N
 
 
 def representative_query(faq: DataFrame, rows: DataFrame) -> DataFrame:
-    """A question that must be answerable: the first non-empty one among the first 20 FAQ items,
-    else the first 12 characters of the first text of four or more among the first 10 rows of the
-    sheet, manual or spec layer, in that order. One row: product, q."""
-    asked = (faq.orderBy("sheet", "item_ord").limit(20).filter("question <> ''")
-             .select(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.col("sheet").alias("s"),
-                              F.col("item_ord").cast("long").alias("o")).alias("place"),
-                     F.col("sheet").alias("product"), F.col("question").alias("q")))
-    parts = [asked]
-    for i, layer in enumerate(["KDOCS", "OCR", "SPEC"]):
-        parts.append(rows.filter(F.col("layer") == layer).orderBy("row_ord").limit(10)
-                     .filter(F.char_length("blob") >= 4)
-                     .select(F.struct(F.lit(1).alias("a"), F.lit(i).alias("b"), F.lit("").alias("s"),
-                                      F.col("row_ord").cast("long").alias("o")).alias("place"),
-                             F.lit("").alias("product"), F.substring("blob", 1, 12).alias("q")))
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    return both.agg(F.min_by(F.struct("product", "q"), "place").alias("b")).filter("b IS NOT NULL").select("b.*")
+    """A question that must be answerable: the first non-empty one of the FAQ items, else the first 12 characters of the
+    first text of four or more of the sheet, manual or spec layer, in that order; ties by product and text. One minimum
+    over all rows, which combines before the exchange. One row: product, q."""
+    empty, first = F.lit(""), F.lit(0)
+    asked = faq.filter("question <> ''").select(first.alias("a"), F.col("sheet").alias("s"), F.col("item_ord").cast("long").alias("o"),
+                                                F.col("sheet").alias("product"), F.col("question").alias("q"))
+    layer = F.array_position(F.array(*[F.lit(x) for x in ("KDOCS", "OCR", "SPEC")]), F.col("layer")).cast("int")
+    shown = rows.filter((layer > 0) & (F.char_length("blob") >= 4)).select(
+        layer.alias("a"), empty.alias("s"), F.col("row_ord").cast("long").alias("o"), empty.alias("product"),
+        F.substring("blob", 1, 12).alias("q"))
+    best = asked.unionByName(shown).agg(F.min(F.struct("a", "s", "o", "product", "q")).alias("b"))
+    return best.filter("b IS NOT NULL").select("b.product", "b.q")

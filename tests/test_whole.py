@@ -2,6 +2,7 @@
 
 import __spark_entry__ as entry
 from supportkb.plans.manuals import GROUPS
+from supportkb.sources.files import representative_query
 
 
 def _write(spark, folder, **tables):
@@ -51,3 +52,13 @@ def test_texts_differ_after_a_shared_start(spark, tmp_path):
     assert found == ["page=1 -> img1"] * 2
     merged, = run["merge_shards_first_wins"](spark, d).collect()
     assert merged["description"] == "d0-" + html
+
+
+def test_representative_query_looks_at_every_row(spark):
+    items = "sheet string, item_ord long, question string"
+    lines = "layer string, row_ord long, blob string"
+    faq = spark.createDataFrame([("a", i, "") for i in range(25)] + [("a", 30, "late"), ("b", 1, "later")], items)
+    rows = spark.createDataFrame([("KDOCS", i, "abc") for i in range(12)] + [("KDOCS", 20, "long enough text"), ("OCR", 1, "other text")], lines)
+    assert [tuple(r) for r in representative_query(faq, rows).collect()] == [("a", "late")]
+    assert [tuple(r) for r in representative_query(faq.filter("question = ''"), rows).collect()] == [("", "long enough ")]
+    assert representative_query(faq.limit(0), rows.filter("blob = 'abc'")).collect() == []
