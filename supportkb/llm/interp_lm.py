@@ -33,15 +33,16 @@ _STEP = 4.0                  # cells per power of two of a probability
 _NEVER = -1000               # cell of probability 0
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """Small integers, byte planes apart, compressed."""
-    planes = np.ascontiguousarray(values.astype("<u4")).view(np.uint8).reshape(-1, 4).T
+def _packed(values: np.ndarray, width: int = 4) -> bytes:
+    """Integers below 2^(8 width), byte planes apart, compressed. Four bytes hold what a chunk counts, as it has ``CHUNK``
+    bytes of text or is one text; totals of the corpus take eight."""
+    planes = np.ascontiguousarray(values.astype(f"<u{width}")).view(np.uint8).reshape(-1, width).T
     return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
 
 
-def _unpacked(raw: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(raw, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+def _unpacked(raw: bytes, n: int, width: int = 4) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, width * n, codec="zstd", asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
 
 
 def _packed_keys(keys: np.ndarray) -> bytes:
@@ -144,7 +145,7 @@ def _totals(requests: DataFrame) -> DataFrame:
         _, place = np.unique(keys, return_inverse=True)
         total = np.bincount(place, weights=counts).astype(np.int64)
         edges = np.concatenate([[0], np.cumsum(n)])
-        replies = [_packed(total[place[i:j]]) for i, j in zip(edges[:-1], edges[1:])]
+        replies = [_packed(total[place[i:j]], 8) for i, j in zip(edges[:-1], edges[1:])]
         kind = table.column("kind")[0].as_py()
         rest = [0] * (len(n) - 1)
         return pa.table({"kind": table.column("kind"), "chunk": table.column("chunk"), "part": table.column("part"),
@@ -164,7 +165,7 @@ class _Chunk(_Sequence):
         kinds, sizes, raw = (replies.column(c).to_pylist() for c in ("kind", "n", "totals"))
 
         def totals(kind):
-            return np.concatenate([_unpacked(raw[i], sizes[i]) for i in order.tolist() if kinds[i] == kind]).astype(np.float64)
+            return np.concatenate([_unpacked(raw[i], sizes[i], 8) for i in order.tolist() if kinds[i] == kind]).astype(np.float64)
         by_rank = np.empty(len(self.vocabulary))
         by_rank[np.argsort(self.vocabulary)] = totals(1)
         self.word = by_rank[self.ranks]
