@@ -6,7 +6,8 @@ its contents mixed with that of its presentations; what all pages of a host repe
 as a branch, where at least ``min_pages`` pages of the host show it. Two priors stand above the entropy, because
 random per-page menus and adverts are as varied as articles: elements that are furniture by kind (menus, headers,
 footers, asides, forms, hidden parts, or so named by class, id or role) have importance 0, and where a page marks its
-article (``article``, ``main``, role main) only blocks inside it are text, and these are not judged by entropy.
+article (``article``, ``main``, role main) only blocks inside it are text, and of these a block goes only if its own
+node (not a node above it) is to be removed. An article of which nothing would be left stays whole.
 
 The tree is never in one place: each task counts (node, content) pairs of its pages, the counts are added by key, the
 entropy is one sum per node, and only nodes to be removed go back to the pages (broadcast when measured small,
@@ -158,8 +159,8 @@ def node_importance(pages: DataFrame, mix: float = 0.7) -> DataFrame:
             for h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found, shapes = blocks(page or "")
                 shown = set()
-                for text, path, furniture, article, _ in found:
-                    if not furniture and not article and path:
+                for text, path, furniture, _, _ in found:
+                    if not furniture and path:
                         seen[(h, path[-1], "text", zlib.crc32(text.encode("utf-8", "surrogatepass")))] += 1
                         shown.update(path)
                 for (path, shape), n in shapes.items():
@@ -198,8 +199,9 @@ def extract(pages: DataFrame, threshold: float = 0.35, min_pages: int = 8, link_
 
     def main_text(page: str, dropped: set) -> str:
         found, _ = blocks(page)
-        if any(b[3] and not b[2] for b in found):
-            kept = [b[0] for b in found if b[3] and not b[2]]
+        marked = [b for b in found if b[3] and not b[2]]
+        if marked:
+            kept = [b[0] for b in marked if not b[1] or b[1][-1] not in dropped] or [b[0] for b in marked]
         else:
             kept = [b[0] for b in found if not b[2] and not dropped.intersection(b[1]) and b[4] <= link_share * len(b[0])]
         return "\n".join(kept)
