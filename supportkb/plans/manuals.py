@@ -158,7 +158,7 @@ offs AS (SELECT base, grp, kw, n, i, cnt, sum(length(p)) OVER (PARTITION BY base
 cuts AS (SELECT base, grp, kw, i, substr(n, CAST(greatest(at_ - 60, 0) + 1 AS BIGINT),
     CAST(at_ + length(kw) + 140 - greatest(at_ - 60, 0) AS BIGINT)) AS snippet FROM offs WHERE i < cnt),
 snips AS (SELECT base, grp, kw, snippet, CAST(row_number() OVER (PARTITION BY base, kw ORDER BY min(i)) AS INTEGER) AS pick
-  FROM cuts GROUP BY base, grp, kw, snippet QUALIFY pick <= 6)"""
+  FROM cuts GROUP BY base, grp, kw, snippet)"""
 QUERIES["fact_snippets"] = fact_snippets
 ORACLE["fact_snippets"] = f"WITH {_SQL_SNIPPETS} SELECT base, grp, kw, pick, snippet FROM snips"
 

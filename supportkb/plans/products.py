@@ -133,7 +133,8 @@ agg AS (SELECT s.sheet AS product, s.sheet || '.json' AS faq,
   (SELECT list(item ORDER BY item) FROM m1 WHERE m1.product = s.sheet) AS l1, (SELECT list(item ORDER BY item) FROM m2 WHERE m2.product = s.sheet) AS l2,
   (SELECT list(item ORDER BY item) FROM m3 WHERE m3.product = s.sheet) AS l3 FROM ({_SQL_SHEETS}) s),
 cat AS (SELECT product, faq, coalesce(keywords, '') AS keywords, coalesce(len(l1), 0) AS ocr_count, coalesce(l1[1:8], []) AS ocr_files,
-  coalesce(len(l2), 0) AS page_count, coalesce(l2[1:8], []) AS pages, coalesce(len(l3), 0) AS video_count, coalesce(l3[1:6], []) AS videos FROM agg)"""
+  coalesce(len(l2), 0) AS page_count, coalesce(l2[1:8], []) AS pages, coalesce(len(l3), 0) AS video_count, coalesce(l3[1:6], []) AS videos,
+  coalesce(l1, []) AS all_ocr, coalesce(l2, []) AS all_pages, coalesce(l3, []) AS all_videos FROM agg)"""
 QUERIES["match_products"] = match_products
 ORACLE["match_products"] = f"""WITH {_SQL_CATALOG} SELECT product, faq, ocr_count, page_count, video_count, keywords,
 array_to_string(ocr_files, '|') AS ocr_files, array_to_string(pages, '|') AS pages, array_to_string(videos, '|') AS videos FROM cat"""
@@ -198,9 +199,9 @@ def _graph(spark, sf_dir):
 
 _SQL_GRAPH = rf"""{_SQL_CATALOG}, rel_ AS ({_SQL_RELATED}), lk AS ({_SQL_LINKS}),
 links AS (SELECT product, 'faq:' || faq AS dst, 'has_faq' AS rel, 'faq' AS kind, faq AS label, 'faq/' || faq AS path FROM cat
-  UNION ALL SELECT product, 'ocr:' || x, 'has_manual', 'ocr', x, 'pdf_ocr/' || x FROM (SELECT product, unnest(ocr_files) AS x FROM cat)
-  UNION ALL SELECT product, 'page:' || x, 'has_page', 'page', x, 'pdf_pages/' || x FROM (SELECT product, unnest(pages) AS x FROM cat)
-  UNION ALL SELECT product, 'video:' || x, 'has_video', 'video', x, x FROM (SELECT product, unnest(videos) AS x FROM cat)
+  UNION ALL SELECT product, 'ocr:' || x, 'has_manual', 'ocr', x, 'pdf_ocr/' || x FROM (SELECT product, unnest(all_ocr) AS x FROM cat)
+  UNION ALL SELECT product, 'page:' || x, 'has_page', 'page', x, 'pdf_pages/' || x FROM (SELECT product, unnest(all_pages) AS x FROM cat)
+  UNION ALL SELECT product, 'video:' || x, 'has_video', 'video', x, x FROM (SELECT product, unnest(all_videos) AS x FROM cat)
   UNION ALL SELECT product, 'spec:' || file, 'has_spec', 'spec', string_split(file, '\')[-1], file FROM lk
   UNION ALL SELECT product, 'params:' || file, 'has_params', 'params', file, 'quick_index/params_norm.tsv' FROM lk
   UNION ALL SELECT product, 'table:' || "table", 'related_table', 'table', "table", 'kdocs/' || "table" || '.txt' FROM rel_),
@@ -249,8 +250,7 @@ def product_facts(spark, sf_dir):
 
 
 QUERIES["product_facts"] = product_facts
-ORACLE["product_facts"] = f"""WITH {_SQL_SNIPPETS}, listed AS (SELECT source AS product, source || '-' || doc_id || '.txt' AS manual FROM documents
-  QUALIFY row_number() OVER (PARTITION BY source ORDER BY source || '-' || doc_id || '.txt') <= 8)
+ORACLE["product_facts"] = f"""WITH {_SQL_SNIPPETS}, listed AS (SELECT source AS product, source || '-' || doc_id || '.txt' AS manual FROM documents)
 SELECT product, manual, grp, kw, pick, snippet FROM listed JOIN snips ON base || '.txt' = manual"""
 
 
@@ -291,7 +291,7 @@ man AS (SELECT query_id, {_STEM} AS subject, 'pages=' || len(string_split(text,
 fil AS (SELECT query_id, 'f/' || lang || '/' || {_STEM} || '.pdf' AS subject, '' AS detail FROM asked JOIN documents ON {_pn(_STEM)}),
 im AS (SELECT query_id, url AS subject, '' AS detail FROM asked JOIN pages ON {_pn("'SRC ' || (page_id % 30)")}),
 cand AS (SELECT DISTINCT query_id, source AS subject, CAST(doc_id AS VARCHAR) AS page_seq, 'page=' || doc_id || ' -> img' || doc_id AS detail
-  FROM asked JOIN terms USING (query_id) JOIN documents ON doc_id % 4 <> 0 AND length(term) >= 2 AND contains({T.sql_norm('substr(text, 1, 80)')}, term) AND {_pn('source')})
+  FROM asked JOIN terms USING (query_id) JOIN documents ON doc_id % 4 <> 0 AND length(term) >= 2 AND contains({T.sql_norm('text')}, term) AND {_pn('source')})
 SELECT * FROM ({_sql_section('SELECT * FROM man', 'MANUALS', 10, 'subject')})
 UNION ALL SELECT * FROM ({_sql_section('SELECT * FROM fil', 'FILES', 5, 'subject')})
 UNION ALL SELECT * FROM ({_sql_section('SELECT * FROM im', 'PAGE_IMAGES', 8, 'subject')})

@@ -197,7 +197,7 @@ def resolve_sources(spark, sf_dir):
 
 
 QUERIES["resolve_sources"] = resolve_sources
-ORACLE["resolve_sources"] = """WITH s AS (SELECT source AS product, lang AS issue, doc_id % 4 AS p, coalesce(quality, 0) AS sp, doc_id // 40 AS u, substr(text, 1, 50) AS answer
+ORACLE["resolve_sources"] = """WITH s AS (SELECT source AS product, lang AS issue, doc_id % 4 AS p, coalesce(quality, 0) AS sp, doc_id // 40 AS u, text AS answer
   FROM documents LEFT JOIN labels USING (doc_id)),
 b AS (SELECT *, min(answer) OVER w <> max(answer) OVER w AS conflict, count(*) OVER w AS sources FROM s WINDOW w AS (PARTITION BY product, issue)
   QUALIFY row_number() OVER (PARTITION BY product, issue ORDER BY sp DESC, u DESC, p, answer DESC) = 1)
@@ -296,7 +296,7 @@ def _results(spark, sf_dir):
 
 
 _SQL_RESULTS = """res AS (SELECT 'manual' AS source, url AS image_rel, i AS shard, page_id, CASE page_id % 4 WHEN 1 THEN 'fail:timeout' WHEN 2 THEN '' ELSE 'ok' END AS status,
-  'd' || i || '-' || substr(html, 1, 20) AS description FROM pages, (VALUES (0), (1), (2)) AS v(i)
+  'd' || i || '-' || html AS description FROM pages, (VALUES (0), (1), (2)) AS v(i)
   WHERE (i = 0 AND page_id % 2 = 0) OR (i = 1 AND page_id % 3 = 0) OR (i = 2 AND page_id % 5 <> 1)),
 merged AS (SELECT * FROM res QUALIFY row_number() OVER (PARTITION BY source, image_rel ORDER BY shard, page_id) = 1)"""
 
@@ -536,7 +536,7 @@ def representative_query(spark, sf_dir):
 
 
 QUERIES["representative_query"] = representative_query
-ORACLE["representative_query"] = f"""SELECT sheet AS product, question AS q FROM (SELECT * FROM ({T.SQL_FAQ_ITEMS}) ORDER BY sheet, item_ord LIMIT 20)
+ORACLE["representative_query"] = f"""SELECT sheet AS product, question AS q FROM ({T.SQL_FAQ_ITEMS})
 WHERE question <> '' ORDER BY sheet, item_ord LIMIT 1"""
 
 
