@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from supportkb.llm import decontam, minhash, piece_bpe, quality, suffix_dedup
 from supportkb.llm.common import fold, written
-from supportkb.llm.queries import MODEL
+from supportkb.llm.queries import model_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +43,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document with the digests of its ids and of the text they decode to."""
-    return piece_bpe.round_trip_digests(docs, MODEL, with_ids=True)
+    return piece_bpe.round_trip_digests(docs, model_path(), with_ids=True)
 
 
 STAGES = [("quality", keep_quality), ("near_duplicates", keep_first_of_group), ("repeats", cut_repeats),
