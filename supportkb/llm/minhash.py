@@ -9,12 +9,13 @@ over the rows at the ends. Every candidate is confirmed on the full sets of both
 Taking long stretches apart may separate linked documents that are crowded (in a long stretch in more than CROWDED
 tree or more; for all others the remaining trees find a link of likeness 0.75 but for a chance of 4e-6). For crowded
 documents an exact rest follows: in every long stretch the documents outside its largest component are compared with
-all others of the stretch, in bounded blocks of packed sets, giving links only.
+all others of the stretch, in pairs of bounded blocks: signatures first, full sets of what these leave, giving links only.
 
 Equal sets are one class before anything is compared. Components settle by star contraction.
 
 Defined cases: null or wordless texts have an empty set and are linked with nothing; fewer words than a shingle are one
-shingle; rows that share an id are one document, each going by its own text; an empty table gives no row."""
+shingle; rows that share an id are one document, each going by its own text, of which links are confirmed with the least;
+rows without an id take the class of equal sets that have one and are always kept; an empty table gives no row."""
 
 from __future__ import annotations
 
@@ -29,7 +30,7 @@ from supportkb.sizing import broadcast_if_small
 
 TREES, DEPTH, LEAST = 16, 8, 2
 RUN, NEXT, CROWDED = 12, 3, 1
-REST_BLOCK, REST_COLUMNS = 256, 4096
+REST_BLOCK, REST_SHINGLES, REST_COLUMNS = 256, 1 << 17, 4096
 TREE_ROWS = 150_000
 PIECE = 1 << 20
 
@@ -218,52 +219,59 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def rest(crowded: DataFrame, reps: DataFrame, texts: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between components: in every long stretch (tree, first LEAST values), its documents outside the largest
-    component meet all its documents, in bounded blocks. A pair is looked at in the first stretch it shares; pairs whose
-    signatures agree in less than ``percent`` by six standard deviations are left out, all others counted on full sets."""
+def _by_size(docs: np.ndarray, size: np.ndarray, most: int):
+    """Runs of documents of at most ``most`` shingles together, one document at least."""
+    total, at = np.cumsum(size[docs]), 0
+    while at < len(docs):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        yield docs[at:end]
+        at = end
+
+
+def meetings(crowded: DataFrame, reps: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """(asking, asked): arrays of (doc_id, component) whose documents may be linked across components. In every long stretch (tree,
+    first LEAST values), blocks of its documents outside the largest component meet blocks of all its documents, by their
+    signatures alone; a pair of blocks is a row of its own, so a stretch of any length is many tasks. A pair of documents is looked at
+    in the first stretch it shares, and left out where their signatures agree in less than ``percent`` by six standard
+    deviations."""
+    n = TREES * DEPTH
+    least = n * percent / 100 - 6 * (n * percent / 100 * (1 - percent / 100)) ** 0.5
     spot = F.substring("signature", 1 + F.col("tree") * (DEPTH * 4), F.lit(LEAST * 4))
-    here = (crowded.join(reps.select(F.col("doc_id").alias("doc"), "signature"), "doc").withColumn("spot", spot)
+    here = (crowded.join(reps.select(F.col("doc_id").alias("doc"), "n_shingles", "signature"), "doc").withColumn("spot", spot)
             .join(found.select(F.col("node").alias("doc"), "component"), "doc", "left")
-            .select("tree", "spot", F.col("doc").alias("doc_id"), F.coalesce("component", "doc").alias("component"), "signature"))
+            .select("tree", "spot", F.col("doc").alias("doc_id"), F.coalesce("component", "doc").alias("component"), "n_shingles", "signature"))
     here = common.written(here, "crowded")
     spots = ["tree", "spot"]
     sizes = here.groupBy(*spots, "component").agg(F.count(F.lit(1)).alias("n"))
-    regions = (sizes.groupBy(*spots).agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("largest"),
-                                         F.sum("n").alias("members"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
-    marked = here.join(regions, spots).join(texts, "doc_id")
-    block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / REST_BLOCK))
-    item = F.struct("component", "signature", "text")
+    blocks = lambda count: F.ceil(count / REST_BLOCK).cast("int")
+    regions = (sizes.groupBy(*spots).agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("largest"), F.max("n").alias("n"),
+                                         F.sum("n").alias("members"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+               .select(*spots, "largest", blocks(F.col("members") - F.col("n")).alias("askers"), blocks(F.col("members")).alias("askeds")))
+    regions = common.written(regions, "regions")
+    marked = here.join(broadcast_if_small(regions), spots)
+    item = F.struct("doc_id", "component", "n_shingles", "signature")
 
     def packed(rows, name):
+        block = F.pmod(F.xxhash64("doc_id"), F.col(f"{name}s")).cast("int")
         return rows.groupBy(*spots, block.alias(f"{name}_block")).agg(F.collect_list(item).alias(name))
-    meets = packed(marked.filter("component <> largest"), "asking").join(packed(marked, "asked"), spots)
-    n = TREES * DEPTH
-    least = n * percent / 100 - 6 * (n * percent / 100 * (1 - percent / 100)) ** 0.5
+    numbers = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    pairs = (regions.select(*spots, numbers("askers").alias("asker_block"), "askeds")
+             .select(*spots, "asker_block", numbers("askeds").alias("asked_block")))
+    meets = (pairs.join(packed(marked.filter("component <> largest"), "asker"), [*spots, "asker_block"])
+             .join(packed(marked, "asked"), [*spots, "asked_block"]))
 
     def side(column, at):
         item = column.slice(at, 1).flatten()
-        sig = common.column_bytes(item.field(1))[0].reshape(-1, n * 4).view(">u4").astype(np.uint32)
-        return item.field(0).to_numpy(), sig, item.field(2)
-
-    def sets(texts, keep):
-        data, offsets = common.column_bytes(texts.take(pa.array(keep)))
-        return shingles(data, offsets, width)
-
-    def grid(flat, cut, some):
-        """Which of some (sorted) shingles each set holds."""
-        place = np.minimum(np.searchsorted(some, flat), len(some) - 1)
-        hit = some[place] == flat
-        out = np.zeros((len(cut) - 1, len(some)), np.float32)
-        out[np.repeat(np.arange(len(cut) - 1), np.diff(cut))[hit], place[hit]] = 1
-        return out
+        sig = common.column_bytes(item.field(3))[0].reshape(-1, n * 4).view(">u4").astype(np.uint32)
+        return item.field(0).to_numpy(), item.field(1).to_numpy(), item.field(2).to_numpy(), sig
 
     def run(batches):
+        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("component", pa.int64())]))
         for batch in batches:
-            links = set()
+            out: tuple[list, list] = ([], [])
             for at in range(batch.num_rows):
                 tree = batch.column(0)[at].as_py()
-                (cq, sq, tq), (cm, sm, tm) = side(batch.column(1), at), side(batch.column(2), at)
+                (iq, cq, nq, sq), (im, cm, nm, sm) = side(batch.column(1), at), side(batch.column(2), at)
                 agree = np.zeros((len(sq), len(sm)), np.uint8)
                 for k in range(n):
                     agree += sq[:, k, None] == sm[None, :, k]
@@ -273,24 +281,58 @@ def rest(crowded: DataFrame, reps: DataFrame, texts: DataFrame, found: DataFrame
                     for k in range(t * DEPTH, t * DEPTH + LEAST):
                         shared &= sq[:, k, None] == sm[None, :, k]
                     maybe &= ~shared
-                q, m = np.flatnonzero(maybe.any(1)), np.flatnonzero(maybe.any(0))
-                if not len(q):
-                    continue
-                (qf, qa), (mf, ma) = sets(tq, q), sets(tm, m)
-                both = np.intersect1d(qf, mf)
-                common_n = np.zeros((len(q), len(m)), np.float32)
-                for lo in range(0, len(both), REST_COLUMNS):
-                    some = both[lo:lo + REST_COLUMNS]
-                    one, other = grid(qf, qa, some), grid(mf, ma, some)
-                    common_n += one @ other.T
-                common_n = common_n.astype(np.int64)
-                union = np.diff(qa)[:, None] + np.diff(ma)[None, :] - common_n
-                i, j = np.nonzero((100 * common_n >= percent * union) & maybe[np.ix_(q, m)])
-                links.update(zip(cq[q[i]].tolist(), cm[m[j]].tolist()))      # components are nodes themselves
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()),
-                                                  pa.array([b for _, b in links], pa.int64())], ["a", "b"])
-    return meets.select("tree", "asking", "asked").mapInArrow(run, "a long, b long")
+                for q in _by_size(np.flatnonzero(maybe.any(1)), nq, REST_SHINGLES):
+                    for m in _by_size(np.flatnonzero(maybe[q].any(0)), nm, REST_SHINGLES):
+                        q_in = q[maybe[np.ix_(q, m)].any(1)]
+                        if len(q_in):
+                            for held, ids, comps in ((out[0], iq[q_in], cq[q_in]), (out[1], im[m], cm[m])):
+                                held.append([{"doc_id": d, "component": c} for d, c in zip(ids.tolist(), comps.tolist())])
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x in out], ["asking", "asked"])
+    side_type = "array<struct<doc_id: long, component: long>>"
+    return meets.select("tree", "asker", "asked").mapInArrow(run, f"asking {side_type}, asked {side_type}")
+
+
+def rest(crowded: DataFrame, reps: DataFrame, texts: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between components of crowded documents, counted on the full sets of what ``meetings`` leaves: one bounded group of
+    texts (REST_SHINGLES on either side, or one longer text) at a time."""
+    met = meetings(crowded, reps, found, percent).withColumn("meeting", F.monotonically_increasing_id())
+    met = common.written(met, "meetings")
+    rows = None
+    for asks, name in ((True, "asking"), (False, "asked")):
+        part = met.select("meeting", F.lit(asks).alias("asks"), F.explode(name).alias("one")).select("meeting", "asks", "one.*")
+        rows = part if rows is None else rows.unionByName(part)
+    rows = rows.join(texts, "doc_id").select("meeting", "asks", "component", "text")
+
+    def sets(column):
+        data, offsets = common.column_bytes(column)
+        return shingles(data, offsets, width)
+
+    def grid(flat, cut, some):
+        """Which of some (sorted) shingles each set holds."""
+        place = np.minimum(np.searchsorted(some, flat), len(some) - 1)
+        hit = some[place] == flat
+        out = np.zeros((len(cut) - 1, len(some)), np.float32)
+        out[np.repeat(np.arange(len(cut) - 1), np.diff(cut))[hit], place[hit]] = 1
+        return out
+
+    def links(table):
+        table = table.combine_chunks()
+        asks = table.column("asks").to_numpy()
+        component = table.column("component").to_numpy()
+        cq, cm = component[asks], component[~asks]
+        (qf, qa), (mf, ma) = (sets(table.column("text").filter(pa.array(x))) for x in (asks, ~asks))
+        both = np.intersect1d(qf, mf)
+        shared = np.zeros((len(cq), len(cm)), np.float32)
+        for lo in range(0, len(both), REST_COLUMNS):
+            some = both[lo:lo + REST_COLUMNS]
+            shared += grid(qf, qa, some) @ grid(mf, ma, some).T
+        shared = shared.astype(np.int64)
+        union = np.diff(qa)[:, None] + np.diff(ma)[None, :] - shared
+        i, j = np.nonzero((100 * shared >= percent * union) & (cq[:, None] != cm[None, :]))
+        ends = np.unique(np.stack([cq[i], cm[j]], 1), axis=0)              # components are nodes themselves
+        return pa.table({"a": pa.array(ends[:, 0], pa.int64()), "b": pa.array(ends[:, 1], pa.int64())})
+    return rows.groupBy("meeting").applyInArrow(links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:

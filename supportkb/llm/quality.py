@@ -22,7 +22,7 @@ from supportkb.llm import common
 
 SAMPLE = 4096
 TERMS = 4096
-PIECE = 1 << 21
+PIECE = 1 << 18
 
 # Classes of bytes.
 _CLASS = np.full(256, 0, np.uint8)
@@ -167,11 +167,10 @@ def scored(docs: DataFrame, model: NeighbourVote, threshold: float = 0.3) -> Dat
 
 
 def accepted(docs: DataFrame, model: NeighbourVote, threshold: float = 0.3) -> DataFrame:
-    """The rows, with all their columns, that score at least ``threshold``."""
+    """The rows, with all their columns, that score at least ``threshold``. Only texts go to Python and only scores come back."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
 
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(_by_blocks(batch.column(at), held) >= threshold))
-    return docs.mapInArrow(run, docs.schema)
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array(_by_blocks(text, held), pa.float64())
+    return docs.filter(score(F.coalesce(F.col("text").cast("string"), F.lit(""))) >= threshold)
