@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from supportkb.functions.text import norm, norm_keep_case, tokenize_cjk, tokenize_words
+from supportkb.operators import inverted
 from supportkb.operators import search as S
 from supportkb.plans import answer
 from supportkb.plans import tables as T
-from supportkb.sizing import cut_lineage
+from supportkb.sizing import cut_lineage, scratch_path
 
 QUERIES, ORACLE = {}, {}
 
@@ -227,6 +228,25 @@ ORACLE["bm25_topk"] = f"""WITH q AS ({T.SQL_TEXT_QUERIES}), terms AS (SELECT que
 rows_ AS ({T.sql_document_rows(raw=True)}), {_sql_bm25('word')} SELECT * FROM bm25"""
 
 
+def _kept_index(spark, sf_dir):
+    """An index of the documents in two appended segments, and the passages as terms."""
+    path = scratch_path(spark, "inverted")
+    rows = T.document_rows(spark, sf_dir, raw=True)
+    inverted.append_segment(rows.filter("row_ord % 3 <> 1"), path, "word")
+    inverted.append_segment(rows.filter("row_ord % 3 = 1"), path, "word")
+    q = T.text_queries(spark, sf_dir)
+    return path, q.select("query_id", F.lower("q").alias("term"))
+
+
+def bm25_index(spark, sf_dir):
+    """The passages against the kept index: equal to the search that reads all texts."""
+    return inverted.search_index(spark, *_kept_index(spark, sf_dir))
+
+
+QUERIES["bm25_index"] = bm25_index
+ORACLE["bm25_index"] = ORACLE["bm25_topk"]
+
+
 def bm25_by_product(spark, sf_dir):
     """Statistics per product: half of the queries see only their own source's rows."""
     q = T.word_queries(spark, sf_dir)
