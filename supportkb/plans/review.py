@@ -601,9 +601,36 @@ QUERIES["stream_ingest_exports"] = stream_ingest_exports
 ORACLE["stream_ingest_exports"] = "SELECT DISTINCT CAST(conv_id AS VARCHAR) AS id, 'v' || (turn // 2) AS update_time FROM conversations"
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _in_turns(spark, parts, build, delay_ms):
+    """Rows that each of ``parts`` appends to a folder, one run of the stream ``build`` makes of it after each, and a last row of no
+    product that moves the watermark past everything."""
+    base, provider = scratch_path(spark, "turns"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, ROCKSDB)
+    try:
+        end = parts[0].limit(1).select(*[F.timestamp_millis(F.lit(3 * delay_ms)).alias(c) if c == "ts" else F.lit(3000 * delay_ms).alias(c)
+                                         if c == "micros" else F.lit("").cast(t).alias(c) if t == "string" else F.lit(-1).cast(t).alias(c)
+                                         for c, t in parts[0].dtypes])
+        for part in [*parts, end]:
+            part.write.mode("append").parquet(f"{base}/in")
+            q = (build(spark.readStream.schema(parts[0].schema).parquet(f"{base}/in")).writeStream.format("parquet").option("path", f"{base}/out")
+                 .option("checkpointLocation", f"{base}/cp").outputMode("append").trigger(availableNow=True).start())
+            q.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.schema(flows.ALERTS).parquet(f"{base}/out")
+
+
 def stream_miss_alerts(spark, sf_dir):
-    a = _actions(_stream(spark, sf_dir, "events")).withColumn("micros", F.col("ord")).drop("ts")
-    return _drain(spark, flows.miss_alerts(a), "append")
+    """Events in three triggers that each hold a third from all over the time line; one millisecond per event number."""
+    a = (_actions(T.table(spark, sf_dir, "events")).withColumn("ts", F.timestamp_millis(F.col("ord") + 1)).withColumn("micros", (F.col("ord") + 1) * 1000))
+    parts = [a.filter(F.pmod(F.xxhash64("ord"), F.lit(3)) == i) for i in range(3)]
+    days = 4000
+    out = _in_turns(spark, parts, lambda s: flows.miss_alerts(s, delay=f"{days} days", bucket_ms=1 << 16), days * 86_400_000)
+    return out.withColumn("last_reminder", F.expr("last_reminder div 1000 - 1"))
 
 
 QUERIES["stream_miss_alerts"] = stream_miss_alerts

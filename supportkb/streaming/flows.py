@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from supportkb.operators.gaps import ACKNOWLEDGE, RECORD, RESET
 from supportkb.operators.learning import new_candidates
@@ -54,34 +55,67 @@ def miss_rates(stream: DataFrame, length: str = "1 day", slide: str | None = Non
 
 
 ALERTS = "product string, ord long, records long, reminder_due boolean, cycles long, last_reminder long"
-COUNTER = "records long, cycles long, last long"
-
-
-def miss_alerts(stream: DataFrame, threshold: int = 3) -> DataFrame:
-    """Counter state after every action, per product: records since the last close, sticky reminder,
-    closed cycles, last reminder. The state is three numbers per product.
-
-    Input: product, ord, micros, action. A trigger's actions of a product are put in order as a whole, from however many
-    files they come; across triggers they must arrive in order. What is held is one product's actions of one trigger, which
-    maxFilesPerTrigger bounds."""
-
-    def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        records, cycles, last = state.get if state.exists else (0, 0, None)
-        held = pd.concat(list(frames)).sort_values(["ord", "micros", "action"])
-        for at_row in range(0, len(held), 10_000):
-            pdf = held.iloc[at_row:at_row + 10_000]
-            out = []
-            for ord_, at, action in zip(pdf["ord"], pdf["micros"], pdf["action"]):
-                if action == RECORD:
-                    records += 1
-                elif action in ACKNOWLEDGE:
-                    records, cycles, last = 0, cycles + 1, int(at)
-                elif action == RESET:
-                    records, last = 0, None
-                out.append((key[0], int(ord_), records, records >= threshold, cycles, last))
-            frame = pd.DataFrame(out, columns=["product", "ord", "records", "reminder_due", "cycles", "last_reminder"])
+RELEASE = 10_000
+
+
+class MissCounter(StatefulProcessor):
+    """Counter state after every action, per product, in the order of time whatever the order of arrival.
+
+    Actions wait in parts, one per ``bucket_ms`` of event time and call, and a timer per bucket releases them when the watermark
+    has passed the bucket's end, so nothing earlier can still come. Timers of a key expire in the order of time, and a
+    release sorts one bucket: what is held in memory is a product's actions of one bucket of time, not those of a trigger."""
+
+    def __init__(self, threshold: int = 3, bucket_ms: int = 3_600_000):
+        self.threshold, self.bucket_ms = threshold, bucket_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counter = handle.getValueState("counter", "records long, cycles long, last long")
+        self.waiting = handle.getMapState("waiting", "bucket long, part long", "actions string")
+        self.parts = handle.getMapState("parts", "bucket long", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            for bucket, part in pdf.groupby(pdf["micros"] // (1000 * self.bucket_ms)):
+                bucket = int(bucket)
+                n = self.parts.getValue((bucket,))[0] if self.parts.containsKey((bucket,)) else 0
+                if not n:
+                    self.handle.registerTimer((bucket + 1) * self.bucket_ms)
+                actions = [part[c].tolist() for c in ("micros", "ord", "action")]
+                self.waiting.updateValue((bucket, n), (json.dumps(actions),))
+                self.parts.updateValue((bucket,), (n + 1,))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        bucket = expiredTimerInfo.getExpiryTimeInMs() // self.bucket_ms - 1
+        n = self.parts.getValue((bucket,))[0]
+        held = sorted(a for i in range(n) for a in zip(*json.loads(self.waiting.getValue((bucket, i))[0])))
+        records, cycles, last = self.counter.get() if self.counter.exists() else (0, 0, None)
+        out = []
+        for micros, ord_, action in held:
+            if action == RECORD:
+                records += 1
+            elif action in ACKNOWLEDGE:
+                records, cycles, last = 0, cycles + 1, micros
+            elif action == RESET:
+                records, last = 0, None
+            out.append((key[0], ord_, records, records >= self.threshold, cycles, last))
+        self.counter.update((records, cycles, last))
+        for i in range(n):
+            self.waiting.removeKey((bucket, i))
+        self.parts.removeKey((bucket,))
+        for at in range(0, len(out), RELEASE):
+            frame = pd.DataFrame(out[at:at + RELEASE], columns=["product", "ord", "records", "reminder_due", "cycles", "last_reminder"])
             yield frame.astype({"last_reminder": "Int64"})
-        state.update((records, cycles, last))
 
-    return stream.groupBy("product").applyInPandasWithState(
-        count, ALERTS, COUNTER, "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def miss_alerts(stream: DataFrame, threshold: int = 3, delay: str = "1 day", bucket_ms: int = 3_600_000) -> DataFrame:
+    """Counter state after every action, per product: records since the last close, sticky reminder, closed cycles, last
+    reminder. Input: product, ord, ts, micros (of ts), action. Actions may arrive in any order and in any trigger as long as they are
+    no later than ``delay``; they come out, in the order of (time, ord), once the watermark has passed them; later ones are
+    dropped. Times lie after 1970, where watermarks begin. Needs the RocksDB state store."""
+    return (stream.withWatermark("ts", delay).groupBy("product")
+            .transformWithStateInPandas(MissCounter(threshold, bucket_ms), ALERTS, "Append", "EventTime"))

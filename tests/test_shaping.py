@@ -281,19 +281,35 @@ def test_text_at_four_levels_and_beyond_the_bound(spark):
         raise AssertionError("text was lost without an error")
 
 
-def test_miss_alerts_of_one_product_from_two_files(spark, tmp_path):
-    rows = [("p", i, i, "record" if i % 4 else "acknowledge") for i in range(4000)]
-    kinds = "product string, ord long, micros long, action string"
-    for half in (0, 1):
-        spark.createDataFrame(rows[half::2], kinds).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(kinds).parquet(str(tmp_path / "in"))
-    q = (flows.miss_alerts(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp"))
-         .trigger(availableNow=True).start(str(tmp_path / "out")))
-    q.awaitTermination()
-    got = {r["ord"]: r["records"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    closes = set(flows.ACKNOWLEDGE)
-    want, n = {}, 0
-    for _, i, _, action in rows:
-        n = n + 1 if action == flows.RECORD else 0 if action in closes else n
-        want[i] = n
-    assert got == want
+def _counted(rows):
+    out, n, cycles, last = {}, 0, 0, None
+    for _, ord_, micros, action in sorted(rows, key=lambda r: (r[2], r[1])):
+        if action == flows.RECORD:
+            n += 1
+        elif action in flows.ACKNOWLEDGE:
+            n, cycles, last = 0, cycles + 1, micros
+        else:
+            n, last = 0, None
+        out[ord_] = (n, n >= 3, cycles, last)
+    return out
+
+
+def test_miss_alerts_in_any_order_of_arrival(spark):
+    """One busy product and a quiet one, shuffled over three triggers and many buckets of time; a late action is dropped."""
+    from supportkb.plans.review import _in_turns
+    rng = random.Random(8)
+    kinds = [flows.RECORD, flows.RECORD, flows.RECORD, sorted(flows.ACKNOWLEDGE)[0], flows.RESET]
+    busy = [("p", i, (i + 1) * 500_000, rng.choice(kinds)) for i in range(1500)]
+    quiet = [("q", 5000 + i, (i + 1) * 90_000_000, rng.choice(kinds)) for i in range(8)]
+    rows = busy + quiet
+    rng.shuffle(rows)
+    frame = lambda some: (spark.createDataFrame(some, "product string, ord long, micros long, action string")
+                          .withColumn("ts", F.timestamp_micros("micros")))
+    third = len(rows) // 3 + 1
+    parts = [frame(rows[i:i + third]) for i in range(0, len(rows), third)]
+    late = frame([("p", 9999, 10, flows.RECORD), ("z", 1, 4 * 86_400_000_000, flows.RECORD)])
+    out = _in_turns(spark, [*parts, frame([("z", 0, 3 * 86_400_000_000, flows.RECORD)]), late],
+                    lambda s: flows.miss_alerts(s, delay="1 day", bucket_ms=60_000), 86_400_000 * 3)
+    got = out.collect()
+    for product, some in (("p", busy), ("q", quiet)):
+        assert {r.ord: (r.records, r.reminder_due, r.cycles, r.last_reminder) for r in got if r["product"] == product} == _counted(some)
