@@ -401,6 +401,21 @@ def upsert_conversations(state: DataFrame, batch: DataFrame, order: str) -> Data
     return kept.unionByName(newest.select(*state.columns))
 
 
+def judged_imports(state: DataFrame, batch: DataFrame, order: str, project: str | None = None, force: bool = False) -> DataFrame:
+    """Adds ``outcome``: imported, skipped (its update time is the one last seen) or failed (no payload can be read). With a
+    ``project`` only payloads whose folder or title holds it count at all, with ``force`` none is skipped."""
+    if project is not None:
+        inside = F.contains(F.coalesce("folder", F.lit("")), F.lit(project)) | F.contains(F.coalesce("title", F.lit("")), F.lit(project))
+        batch = batch.filter(inside)
+    failed = batch.filter("payload IS NULL").withColumn("outcome", F.lit("failed"))
+    readable = batch.filter("payload IS NOT NULL")
+    if force:
+        return readable.withColumn("outcome", F.lit("imported")).unionByName(failed)
+    judged = import_decisions(state, readable, order)
+    outcome = F.when(F.col("imported"), "imported").otherwise("skipped")
+    return judged.withColumn("outcome", outcome).drop("imported").unionByName(failed)
+
+
 def pending_after_import(pending: DataFrame, decisions: DataFrame) -> DataFrame:
     """Imported ids leave the pending list."""
     return pending.join(decisions.filter("imported").select("id").distinct(), "id", "left_anti")

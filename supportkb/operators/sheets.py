@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from supportkb import defaults as D
 from supportkb.functions.text import clean_cell, contains_any, strip, unquote_stripped, with_fields
+from supportkb.operators.ordered import running_sums
+from supportkb.sizing import broadcast_if_small
 
 FIELDS = [name for name, _ in D.COLUMN_RULES]
+ROW_BLOCK = 100_000
 _TAB, _NEWLINE = "\ue000", "\ue001"
 
 
@@ -26,11 +29,14 @@ def split_quoted_rows(text: Column) -> Column:
         F.split(r, "\t", -1), lambda c: F.translate(c, _TAB + _NEWLINE, "\t\n")))
 
 
+def _cleaned(row: Column) -> Column:
+    # Strip and unquote in two passes: inside a lambda a repeated expression is computed each time.
+    return F.transform(F.transform(row, strip), lambda c: clean_cell(unquote_stripped(c)))
+
+
 def sheet_rows(sheets: DataFrame) -> DataFrame:
     """Cleaned, non-blank rows of each sheet as one nested array: sheet, rows."""
-    # Strip and unquote in two passes: inside a lambda a repeated expression is computed each time.
-    cleaned = F.transform(split_quoted_rows(F.col("text")), lambda r: F.transform(
-        F.transform(r, strip), lambda c: clean_cell(unquote_stripped(c))))
+    cleaned = F.transform(split_quoted_rows(F.col("text")), _cleaned)
     return sheets.select("sheet", F.filter(cleaned, lambda r: F.exists(r, lambda c: c != "")).alias("rows"))
 
 
@@ -99,11 +105,16 @@ def faq_items(sheets: DataFrame, header_within: int | None = None) -> DataFrame:
     mapped = found.withColumn("_map", column_map(F.coalesce(F.get("rows", F.col("_h")), _empty_media())))
     # A header may name no known field at all; such a sheet reads like one without header.
     usable = F.coalesce(*[F.col(f"_map.{f}") for f in FIELDS]).isNotNull()
-    cells = F.col("cells")
     # The outer form keeps the optimizer from adding a "size > 0" filter that parses the text twice.
     data = (mapped.select("sheet", "_h", "_map", usable.alias("_usable"), F.posexplode_outer("rows").alias("item_ord", "cells"))
-            .filter("item_ord IS NOT NULL")
-            .filter(~F.coalesce(F.col("item_ord") == F.col("_h"), F.lit(False)))
+            .filter("item_ord IS NOT NULL"))
+    return _items(data)
+
+
+def _items(rows: DataFrame) -> DataFrame:
+    """Items of non-blank rows: sheet, item_ord, cells, the header's place _h, its map _map and whether that is _usable."""
+    cells = F.col("cells")
+    data = (rows.filter(~F.coalesce(F.col("item_ord") == F.col("_h"), F.lit(False)))
             .filter(F.exists(cells, lambda c: (c != "") & ~_is_media(c))))
     item = F.when(F.col("_usable"), map_row(cells, F.col("_map"))).otherwise(fallback_row(cells))
     out = with_fields(data.select("sheet", "item_ord", "_usable", "_map", "cells"), item)
@@ -111,6 +122,26 @@ def faq_items(sheets: DataFrame, header_within: int | None = None) -> DataFrame:
     return out.filter(~F.col("_usable") | real).select("sheet", "item_ord", *FIELDS, "media")
 
 
+def large_sheet_rows(rows: DataFrame) -> DataFrame:
+    """sheet, item_ord, cells of the non-blank rows of sheets whose rows (sheet, row_no, text) are rows of a table, so that a sheet
+    of any size is many tasks."""
+    cells = _cleaned(F.get(split_quoted_rows(F.col("text")), F.lit(0)))
+    filled = rows.select("sheet", "row_no", cells.alias("cells")).filter(F.exists("cells", lambda c: c != ""))
+    numbered = running_sums(filled, ["sheet"], F.floor(F.col("row_no") / ROW_BLOCK), ["row_no"], _n=F.lit(1).cast("long"))
+    return numbered.select("sheet", (F.col("_n") - 1).alias("item_ord"), "cells")
+
+
+def large_faq_items(rows: DataFrame, header_within: int | None = None) -> DataFrame:
+    """``faq_items`` of such rows: the header of a sheet is a minimum over its rows, joined to them."""
+    found = large_sheet_rows(rows)
+    maybe = found if header_within is None else found.filter(F.col("item_ord") < header_within)
+    header = (maybe.filter(is_header_row(F.col("cells"))).groupBy("sheet").agg(F.min(F.struct("item_ord", "cells")).alias("h"))
+              .select("sheet", F.col("h.item_ord").alias("_h"), column_map(F.col("h.cells")).alias("_map")))
+    none = F.struct(*[F.lit(None).cast("int").alias(f) for f in FIELDS])
+    joined = found.join(broadcast_if_small(header), "sheet", "left").withColumn("_map", F.coalesce("_map", none))
+    return _items(joined.withColumn("_usable", F.coalesce(*[F.col(f"_map.{f}") for f in FIELDS]).isNotNull()))
+
+
 # --- workbook cells ----------------------------------------------------------------------------
 
 def column_index(ref: Column) -> Column:

@@ -8,14 +8,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from supportkb.functions.text import (clean_cell, epoch_to_iso, fallback_id, fingerprint, json_text, preview, redact_pii,
-                                      safe_name, snippet, unquote_cell)
+                                      safe_name, snippet, split_lines, unquote_cell)
 from supportkb.operators import gaps as G
 from supportkb.operators import learning as L
+from supportkb.operators import sheets as SH
 from supportkb.operators import vision as V
 from supportkb.plans import tables as T
 from supportkb.sources import files as S
 from supportkb.sources import sinks as K
 from supportkb.streaming import flows
+from supportkb.streaming.merge import ConversationTable
 from supportkb.sizing import scratch_path
 
 QUERIES, ORACLE = {}, {}
@@ -637,6 +639,57 @@ QUERIES["stream_miss_alerts"] = stream_miss_alerts
 ORACLE["stream_miss_alerts"] = f"WITH {_SQL_CYCLES} SELECT product, ord, records, records >= 3 AS reminder_due, cycles, last_reminder FROM cnt"
 
 
+def stream_merge_exports(spark, sf_dir):
+    """Turns as deliveries of their conversations in three runs of a stream, each merged into a kept table by id bucket; turns
+    without text can't be read, two turns share an update time."""
+    c = T.table(spark, sf_dir, "conversations")
+    rows = c.select(F.col("conv_id").cast("string").alias("id"), F.concat(F.lit("v"), F.floor(F.col("turn") / 2).cast("string")).alias("update_time"),
+                    F.nullif("text", F.lit("")).alias("payload"), F.col("turn").cast("long").alias("ord"))
+    base = scratch_path(spark, "merge")
+    table = ConversationTable(spark, f"{base}/table", rows.schema, buckets=4)
+    for part in ("ord < 2", "ord BETWEEN 2 AND 4", "ord > 4"):
+        rows.filter(part).write.mode("append").parquet(f"{base}/in")
+        flows.write_upserts(spark.readStream.schema(rows.schema).parquet(f"{base}/in"), table.merge, f"{base}/cp").awaitTermination()
+    counts = table.counts()
+    return table.read().withColumns({k: F.lit(counts[k]).cast("long") for k in sorted(counts)})
+
+
+QUERIES["stream_merge_exports"] = stream_merge_exports
+ORACLE["stream_merge_exports"] = """WITH d AS (SELECT CAST(conv_id AS VARCHAR) AS id, 'v' || (turn // 2) AS update_time, nullif(text, '') AS payload, CAST(turn AS BIGINT) AS ord FROM conversations),
+j AS (SELECT *, lag(update_time) OVER (PARTITION BY id ORDER BY ord) IS DISTINCT FROM update_time AS imported FROM d WHERE payload IS NOT NULL)
+SELECT id, update_time, payload, ord, (SELECT count_if(imported) FROM j) AS imported, (SELECT count_if(NOT imported) FROM j) AS skipped,
+  (SELECT count_if(payload IS NULL) FROM d) AS failed FROM j WHERE imported QUALIFY row_number() OVER (PARTITION BY id ORDER BY ord DESC) = 1"""
+
+
+def scan_index_files(spark, sf_dir):
+    """Documents written as index lines into a few files, read back in blocks; a line's number relative to its document's first."""
+    out = scratch_path(spark, "tsv")
+    parts = F.transform(split_lines(F.col("text")), lambda l, i: F.concat_ws("\t", F.col("doc_id").cast("string"), i.cast("string"), l))
+    T.table(spark, sf_dir, "documents").select(F.array_join(parts, "\n").alias("value")).write.text(out)
+    rows = S.scan_index_tsv(S.numbered_file_lines(spark, out, "*.txt"), "line", "params", "line_no", False)
+    first = rows.groupBy("name").agg(F.min("row_ord").alias("_first"))
+    return rows.join(first, "name").select(F.col("name").cast("long").alias("doc_id"), F.col("page").cast("long").alias("line"), "blob",
+                                           (F.col("row_ord") - F.col("_first")).alias("place"))
+
+
+QUERIES["scan_index_files"] = scan_index_files
+ORACLE["scan_index_files"] = f"""SELECT doc_id, i - 1 AS line, l AS blob, i - 1 AS place FROM (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '{_BRK}')) AS l,
+  generate_subscripts(string_split_regex(coalesce(text, ''), '{_BRK}'), 1) AS i FROM documents)"""
+
+
+def quoted_sheet_files(spark, sf_dir):
+    """Documents written as quoted cells that hold line ends, read back in blocks as cleaned cells of one row each."""
+    out = scratch_path(spark, "sheets")
+    cell = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    T.table(spark, sf_dir, "documents").select(F.concat_ws("\t", F.col("doc_id").cast("string"), cell).alias("value")).write.text(out)
+    rows = SH.large_sheet_rows(S.read_sheet_rows(spark, out))
+    return rows.select(F.col("cells")[0].cast("long").alias("doc_id"), F.col("cells")[1].alias("cell"))
+
+
+QUERIES["quoted_sheet_files"] = quoted_sheet_files
+ORACLE["quoted_sheet_files"] = rf"""SELECT doc_id, regexp_replace({T.sql_strip('text')}, '[ \t\r\n]+', ' ', 'g') AS cell FROM documents"""
+
+
 def _rates(stream, slide):
     r = flows.miss_rates(stream.withColumn("ts", F.col("ts").cast("timestamp")), "7 days" if slide else "1 day", slide, "400 days")
     first = F.unix_seconds("start")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from supportkb.functions.text import split_lines
+from supportkb.sources import lines
 
 # The capture log that lies among the sheet texts, file kinds, and name patterns.
 CAPTURE_LOG = "_capture_log.txt"
@@ -60,11 +61,11 @@ def index_columns(line: Column, kind: str) -> Column:
     return F.split(line, "\t", cells[kind]) if kind in cells else F.split(line, "\t")
 
 
-def scan_index_tsv(lines: DataFrame, line: str, kind: str, order: str, header: bool) -> DataFrame:
+def scan_index_tsv(rows: DataFrame, line: str, kind: str, order: str, header: bool) -> DataFrame:
     """Index lines to rows; lines with too few cells are skipped. ``order`` numbers the lines of a
     file from 0, so a header is the line numbered 0."""
     need = {"plain": 2, "paged": 3, "params": 3, "chat": 4}[kind]
-    cells = lines.withColumn("_c", index_columns(F.col(line), kind)).filter(F.size("_c") >= need)
+    cells = rows.withColumn("_c", index_columns(F.col(line), kind)).filter(F.size("_c") >= need)
     if header:
         cells = cells.filter(F.col(order) > 0)
     c = lambda i: F.get("_c", F.lit(i))
@@ -85,12 +86,41 @@ def numbered_lines(files: DataFrame) -> DataFrame:
         "line <> ''")
 
 
+def numbered_file_lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """stem, file, line_no, line of the non-empty lines of large files, cut into blocks."""
+    found = lines.numbered_lines(spark, path, pattern)
+    name = base_name(F.col("file"))
+    return found.select(stem(name).alias("stem"), "file", "line_no", "line")
+
+
+def read_sheet_rows(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
+    """sheet, row_no, text: the quoted rows of large sheet files, cut into blocks; sheets go by their file's stem."""
+    found = lines.quoted_rows(spark, path, pattern)
+    return found.select(stem(base_name(F.col("file"))).alias("sheet"), "row_no", "text").filter(F.col("sheet") != stem(F.lit(CAPTURE_LOG)))
+
+
+def read_export_documents(spark: SparkSession, path: str) -> DataFrame:
+    """folder, input, ord, text of the chat exports below a folder, one row per JSON document: the whole of a .json file, a
+    line of a .jsonl file, which may be of any size. ``folder`` is the project, the file's folder below ``path``, empty for
+    conversations.json and conversations.jsonl. ``input`` gives the order of files: those two names first, then other
+    .json, then other .jsonl, each by path; ``ord`` is the place in the file. Later inputs win in an import."""
+    whole = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
+             .select(F.col("_metadata.file_path").alias("file"), F.lit(0).cast("long").alias("ord"), F.regexp_replace("value", "^\ufeff", "").alias("text"))
+             .filter(~F.col("file").endswith(".meta.json")))
+    by_line = lines.numbered_lines(spark, path, "*.jsonl").select("file", F.col("line_no").alias("ord"), F.col("line").alias("text"))
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/") + "/"
+    below = F.substring_index(F.col("file"), root, -1)
+    name, lined = base_name(F.col("file")), F.col("file").endswith(".jsonl")
+    main = name.isin("conversations.json", "conversations.jsonl")
+    kind = F.when(main & ~lined, 0).when(main, 1).when(~lined, 2).otherwise(3)
+    folder = F.when(main, F.lit("")).otherwise(F.regexp_replace(below, r"/?[^/]*\z", ""))
+    return whole.unionByName(by_line).select(folder.alias("folder"), F.struct(kind.alias("kind"), below.alias("path")).alias("input"), "ord", "text")
+
+
 def read_index_tsv(spark: SparkSession, path: str, kind: str, header: bool) -> DataFrame:
     """Index rows of a TSV file. Written to Parquet once, later queries read columns and not text."""
-    raw = spark.read.option("pathGlobFilter", "*.tsv").text(path, wholetext=True)
-    files = raw.select(stem(F.col("_metadata.file_name")).alias("stem"),
-                       F.regexp_replace("value", "^﻿", "").alias("text"))
-    return scan_index_tsv(numbered_lines(files), "line", kind, "line_no", header)
+    return scan_index_tsv(numbered_file_lines(spark, path, "*.tsv"), "line", kind, "line_no", header)
 
 
 def scan_jsonl_lenient(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
