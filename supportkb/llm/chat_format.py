@@ -119,14 +119,28 @@ def read_turns(formatted):
     return F.transform(F.filter(blocks, lambda b: b != ""), one)
 
 
+SPAN_GROUP = 256
+
+
+def masked_text(formatted, spans):
+    """The text under the loss spans, unescaped, one after the other. Spans are cut from a piece that holds SPAN_GROUP of them, so a
+    conversation of very many turns is not walked from its start for each."""
+    def cut(group):
+        begin = F.get(group, F.lit(0))["start"]
+        size = F.element_at(group, -1)["end"] - begin
+        return let(F.struct(begin.alias("begin"), F.substring(formatted, begin + 1, size).alias("piece")), lambda p: F.array_join(
+            F.transform(group, lambda s: unescape(F.substring(p["piece"], s["start"] - p["begin"] + 1, s["end"] - s["start"]))), ""))
+    groups = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / SPAN_GROUP).cast("int"))
+    pieces = F.transform(groups, lambda g: let(F.slice(spans, g * SPAN_GROUP + 1, F.lit(SPAN_GROUP)), cut))
+    return F.when(F.size(spans) == 0, F.lit("")).otherwise(F.array_join(pieces, ""))
+
+
 def chat_digests(formatted: DataFrame) -> DataFrame:
-    """Digests of what a reader gets back from ``format_conversations``."""
+    """Digests of what a reader gets back from ``format_conversations``: turns from the marks, the loss text from the mask."""
     back = formatted.select(
         "conv_id", "n_turns", F.length("formatted").cast("long").alias("formatted_chars"),
-        "loss_spans", "attachments", read_turns(F.col("formatted")).alias("back"))
-    loss = let(F.col("back"), lambda turns: F.array_join(
-        F.transform("loss_spans", lambda s: F.get(turns, s["turn"].cast("int"))["text"]), ""))
-    back = back.withColumn("loss_text", loss)
+        "attachments", read_turns(F.col("formatted")).alias("back"),
+        masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss_text"))
     said = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id", F.size("back").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
