@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from supportkb.functions.text import TOKENIZERS
 from supportkb.operators.search import CHAT
-from supportkb.sizing import MAX_BROADCAST_ROWS, broadcast_if, cut_lineage, is_small, measure
+from supportkb.sizing import MAX_BROADCAST_ROWS, broadcast_if, cut_lineage, drop_cut, is_small, measure
 from supportkb.sources import versions
 
 SPAN_BITS, BUCKETS, FIRST_RANGES = 5, 16, 8
@@ -37,6 +37,15 @@ def _bucket(tok: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(tok), F.lit(buckets)).cast("int")
 
 
+def _counted(tokens: str) -> Column:
+    """array<struct<tok, tf>> of an array of tokens: sorted, then the lengths of equal runs."""
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    runs = lambda s: let(F.filter(F.transform(s, lambda t, i: F.when((i == 0) | (F.get(s, i - 1) != t), i)), lambda i: i.isNotNull()),
+                         lambda starts: F.transform(starts, lambda at, j: F.struct(
+                             F.get(s, at).alias("tok"), (F.coalesce(F.get(starts, j + 1), F.size(s)) - at).alias("tf"))))
+    return let(F.array_sort(F.col(tokens)), runs)
+
+
 def _raw_idf(n: Column, df: Column) -> Column:
     return F.ln(n - df + 0.5) - F.ln(df + 0.5)
 
@@ -59,17 +68,17 @@ the first segment."""
     docs = cut_lineage(docs.withColumn("doc_len", F.size("tokens")).withColumn("doc", F.monotonically_increasing_id()))
     docs.drop("tokens", "doc").write.mode("overwrite").parquet(f"{base}/docs")
     sizes = docs.groupBy("layer").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_len").alias("len")).collect()   # a row per layer
-    block = F.shiftright("doc", SPAN_BITS).alias("block")
-    tf = (docs.select("layer", block, "row_ord", "doc_len", F.explode("tokens").alias("tok"))
-          .groupBy("layer", "block", "row_ord", "doc_len", "tok").agg(F.count(F.lit(1)).cast("int").alias("tf")))
+    # tokens are counted inside their row, so only one entry per (row, token) is shuffled, once
+    tf = docs.select("layer", F.shiftright("doc", SPAN_BITS).alias("block"), "row_ord", "doc_len", F.inline(_counted("tokens")))
     blocks = (tf.groupBy("layer", "tok", "block")
               .agg(F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"), F.collect_list(F.struct("row_ord", "tf", "doc_len")).alias("postings")))
     order = ["bucket", "layer", "tok", "block"]
-    (blocks.withColumn("bucket", _bucket(F.col("tok"), known["buckets"])).repartitionByRange(*order).sortWithinPartitions(*order)
+    (blocks.withColumn("bucket", _bucket(F.col("tok"), known["buckets"])).sortWithinPartitions(*order)
      .write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/postings"))
     heads = spark.read.schema(PARTS["postings"]).parquet(f"{base}/postings")
     words = heads.groupBy("bucket", "layer", "tok").agg(F.sum(F.size("postings")).alias("df"))
     words.write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/vocabulary")
+    drop_cut(docs)
     layers = {layer: dict(v) for layer, v in known["layers"].items()}
     for r in sizes:
         have = layers.setdefault(r["layer"], {"n": 0, "len": 0})

@@ -18,7 +18,7 @@ from supportkb.sources import files as S
 from supportkb.sources import sinks as K
 from supportkb.streaming import flows
 from supportkb.streaming.merge import ConversationTable
-from supportkb.sizing import scratch_path
+from supportkb.sizing import cut_lineage, scratch_path
 
 QUERIES, ORACLE = {}, {}
 _NL = "chr(10)"
@@ -666,7 +666,7 @@ def scan_index_files(spark, sf_dir):
     out = scratch_path(spark, "tsv")
     parts = F.transform(split_lines(F.col("text")), lambda l, i: F.concat_ws("\t", F.col("doc_id").cast("string"), i.cast("string"), l))
     T.table(spark, sf_dir, "documents").select(F.array_join(parts, "\n").alias("value")).write.text(out)
-    rows = S.scan_index_tsv(S.numbered_file_lines(spark, out, "*.txt"), "line", "params", "line_no", False)
+    rows = cut_lineage(S.scan_index_tsv(S.numbered_file_lines(spark, out, "*.txt"), "line", "params", "line_no", False))
     first = rows.groupBy("name").agg(F.min("row_ord").alias("_first"))
     return rows.join(first, "name").select(F.col("name").cast("long").alias("doc_id"), F.col("page").cast("long").alias("line"), "blob",
                                            (F.col("row_ord") - F.col("_first")).alias("place"))

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 MAX_BROADCAST_ROWS = 500_000
 MAX_BROADCAST_CHARS = 32 * 1024 * 1024
 
@@ -60,6 +61,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder so that later branches read it instead of redoing it;
     the scan keeps column pruning and its size, which join choices rest on."""
-    path = scratch_path(df.sparkSession, "cut")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")            # the shuffle files behind it go with the write
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._cut_at = path
+    return back
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Remove the files behind a ``cut_lineage`` that nothing will read again."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df._cut_at)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
