@@ -28,13 +28,17 @@ from supportkb.llm.common import as_text
 # 1 is a token that must agree, 0 one that is ignored.
 MASKS = ["1110110", "1101011", "1011101", "1100111"]
 SPAN = 7
-UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+# Ranges of characters, which are quick to test: scripts without blanks, and punctuation and blanks beyond ASCII.
+UNSPACED = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17DF\u3041-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}]"
+BREAKS = r"[\s\p{Punct}\u00A0-\u00BF\u2000-\u206F\u3000-\u3040\uFF00-\uFF0F\uFF1A-\uFF20\uFF3B-\uFF40\uFF5B-\uFF65]+"
 BROADCAST_CHARS = 256 * 1024 * 1024
 
 
 def tokens(text):
-    spaced = F.regexp_replace(F.lower(as_text(text)), f"({UNSPACED})", " $1 ")
-    return F.filter(F.split(spaced, r"[\s\p{Punct}\p{IsPunctuation}\p{Z}]+"), lambda w: w != "")
+    low = F.lower(as_text(text))
+    ascii_only = F.octet_length(low) == F.length(low)
+    spaced = F.when(ascii_only, low).otherwise(F.regexp_replace(low, f"({UNSPACED})", " $1 "))
+    return F.filter(F.split(spaced, BREAKS), lambda w: w != "")
 
 
 def positions(docs: DataFrame, keep: list[str]) -> DataFrame:
