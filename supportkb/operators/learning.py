@@ -44,7 +44,11 @@ def approved_cases(candidates: DataFrame, events: DataFrame, order: str = "ord")
     name and text they are searched by."""
     ok = (latest_decision(events, order).filter(F.lower(F.col("action")) == "approve")
           .select(_id().alias("_id")))
-    kept = first_candidate(candidates, order).withColumn("_id", _id()).join(ok, "_id", "left_semi").drop("_id")
+    return searchable_cases(first_candidate(candidates, order).withColumn("_id", _id()).join(ok, "_id", "left_semi").drop("_id"))
+
+
+def searchable_cases(kept: DataFrame) -> DataFrame:
+    """The earliest approved candidate of each fingerprint with the name and text it is searched by."""
     one = (kept.groupBy("fingerprint")
            .agg(F.min_by(F.struct(*kept.columns), F.struct("created_at", "candidate_id")).alias("b")).select("b.*"))
     return (one.withColumn("name", F.concat_ws("|", "product", "candidate_id"))

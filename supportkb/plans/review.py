@@ -17,6 +17,7 @@ from supportkb.plans import tables as T
 from supportkb.sources import files as S
 from supportkb.sources import sinks as K
 from supportkb.streaming import flows
+from supportkb.streaming.late import MissWindows
 from supportkb.streaming.merge import ConversationTable
 from supportkb.sizing import cut_lineage, scratch_path
 
@@ -710,3 +711,53 @@ QUERIES["miss_rate_windows"] = miss_rate_windows
 ORACLE["miss_rate_windows"] = """WITH m AS (SELECT 'u' || user_id AS product, epoch_us(ts) // 86400000000 AS d FROM events WHERE event_type = 'error')
 SELECT 'day' AS span, d * 86400 AS start_sec, product, count(*) AS misses FROM m GROUP BY ALL
 UNION ALL SELECT 'week', (d - o) * 86400, product, count(*) FROM m, (SELECT unnest(range(7)) AS o) GROUP BY ALL"""
+
+
+def stream_approved_cases(spark, sf_dir):
+    """Candidates and decisions that arrive in three rounds in no order: some decisions long before their candidate."""
+    base = scratch_path(spark, "live")
+    c, e = _candidates(spark, sf_dir), _decisions(spark, sf_dir)
+    read = lambda df, name: spark.readStream.schema(df.schema).parquet(f"{base}/{name}")
+    write = lambda df, epoch: df.withColumn("_epoch", F.lit(epoch)).write.mode("append").parquet(f"{base}/out")
+    for i in range(3):
+        for df, name, key in ((c, "candidates", "candidate_id"), (e, "events", "ord")):
+            df.filter(F.pmod(F.xxhash64(key), F.lit(3)) == i).write.mode("append").parquet(f"{base}/{name}")
+        (flows.live_cases(read(c, "candidates"), read(e, "events")).writeStream.foreachBatch(write).outputMode("update")
+         .option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start().awaitTermination())
+    state = _newest_epoch(spark.read.parquet(f"{base}/out"), "_id")
+    return flows.approved_now(state).select("candidate_id", "fingerprint", "name", "blob")
+
+
+QUERIES["stream_approved_cases"] = stream_approved_cases
+ORACLE["stream_approved_cases"] = ORACLE["approved_cases"]
+
+
+def stream_late_misses(spark, sf_dir):
+    """Misses per product and day in three rounds of ten days or so, every seventh event a round late, with a delay of three
+    days: counts of the rows in time, and of the late ones kept aside."""
+    a = _actions(T.table(spark, sf_dir, "events")).select("product", "ord", "micros", "action")
+    day = 86_400_000_000
+    ends = a.agg(F.min("micros").alias("lo"), F.max("micros").alias("hi")).first()
+    lo, span = ends["lo"] or 0, (ends["hi"] or 0) - (ends["lo"] or 0) + 1
+    part = F.least(F.lit(2), F.floor((F.col("micros") - lo) * 3 / span) + F.when(F.col("ord") % 7 == 0, 1).otherwise(0))
+    base = scratch_path(spark, "late")
+    table = MissWindows(spark, f"{base}/table", "product string, ord long, micros long", day, 3 * day, fold=2)
+    parts = cut_lineage(a.withColumn("_part", part))
+    for i in range(3):
+        parts.filter(F.col("_part") == i).drop("_part").write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(a.schema).parquet(f"{base}/in")
+        flows.write_upserts(stream, table.merge, f"{base}/cp").awaitTermination()
+    late = table.late().groupBy("product", (F.col("micros") - F.pmod("micros", F.lit(day))).alias("start_micros")).agg(F.count(F.lit(1)).alias("misses"))
+    return (table.rates().withColumn("state", F.lit("in time")).unionByName(late.withColumn("state", F.lit("late")))
+            .select("state", "product", "start_micros", "misses"))
+
+
+QUERIES["stream_late_misses"] = stream_late_misses
+ORACLE["stream_late_misses"] = """WITH a AS (SELECT 'u' || user_id AS product, event_id, event_type, epoch_us(CAST(ts AS TIMESTAMP)) AS us FROM events
+  WHERE event_type IN ('error', 'purchase', 'signup')),
+b AS (SELECT min(us) AS lo, max(us) - min(us) + 1 AS span FROM a),
+p AS (SELECT a.*, us - us % 86400000000 AS start_micros, least(2, (us - lo) * 3 // span + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END) AS part
+  FROM a, b WHERE event_type = 'error'),
+w AS (SELECT k.part, max(p.us) - 3 * 86400000000 AS mark FROM (SELECT unnest([1, 2]) AS part) k JOIN p ON p.part < k.part GROUP BY k.part)
+SELECT CASE WHEN start_micros + 86400000000 <= mark THEN 'late' ELSE 'in time' END AS state, product, start_micros, count(*) AS misses
+FROM p LEFT JOIN w USING (part) GROUP BY ALL"""

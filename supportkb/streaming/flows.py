@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from supportkb.operators.gaps import ACKNOWLEDGE, RECORD, RESET
-from supportkb.operators.learning import new_candidates
+from supportkb.operators.learning import new_candidates, searchable_cases
 
 
 def ingest_exports(stream: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -47,6 +47,27 @@ def decisions(stream: DataFrame) -> DataFrame:
                  F.count(F.lit(1)).alias("events")))
 
 
+def live_cases(candidates: DataFrame, events: DataFrame, order: str = "ord") -> DataFrame:
+    """What is known of every candidate, joined from the streams of candidates and of decisions, in update mode: _id, candidate
+    (its first record), action (of its newest decision), either null as long as it has not come.
+
+    Both streams feed one state per candidate of two order-free aggregates, so a decision may come before its candidate and a
+    revoke at any later time, which a join of the streams bounded by a watermark would lose. Copies of a hot id combine
+    before the shuffle. Ids that are null or empty are left out."""
+    of = lambda df: df.filter("candidate_id <> ''")
+    case = F.struct(*[F.col(c) for c in candidates.columns])
+    newest = F.struct("created_at", (-F.col(order)).alias("o"))
+    shown = of(candidates).select(F.lower("candidate_id").alias("_id"), case.alias("candidate"), F.col(order).cast("long").alias("_place"))
+    decided = of(events).select(F.lower("candidate_id").alias("_id"), "action", newest.alias("_newest"))
+    return (shown.unionByName(decided, allowMissingColumns=True).groupBy("_id")
+            .agg(F.min_by("candidate", "_place").alias("candidate"), F.max_by("action", "_newest").alias("action")))
+
+
+def approved_now(state: DataFrame) -> DataFrame:
+    """The approved cases of a table of ``live_cases`` rows."""
+    return searchable_cases(state.filter("candidate IS NOT NULL AND lower(action) = 'approve'").select("candidate.*"))
+
+
 def miss_rates(stream: DataFrame, length: str = "1 day", slide: str | None = None, delay: str = "1 day") -> DataFrame:
     """Misses per product and window; rows later than the watermark are dropped."""
     win = F.window("ts", length, slide) if slide else F.window("ts", length)
