@@ -288,6 +288,38 @@ def fuzzy_topk(spark, sf_dir):
 QUERIES["fuzzy_topk"] = fuzzy_topk
 
 
+def fuzzy_names(spark, sf_dir):
+    """Names of nations and regions against the part names, both as they stand: short whole texts, so SQL can follow."""
+    place = lambda table, key, name, base: T.table(spark, sf_dir, table).select(
+        (F.col(key) + base).cast("long").alias("query_id"), F.lit("").alias("product"), F.col(name).alias("q"))
+    q = place("nation", "n_nationkey", "n_name", 0).unionByName(place("region", "r_regionkey", "r_name", 1000))
+    rows = T.table(spark, sf_dir, "part").select(F.lit("OCR").alias("layer"), F.col("p_partkey").cast("long").alias("row_ord"), F.col("p_brand").alias("name"),
+                                                 F.col("p_type").alias("page"), norm(F.col("p_name")).alias("blob"), F.lit("").alias("ref"))
+    return S.search_fuzzy(rows, S.plain_terms(q), q, cutoff=45.0)
+
+
+QUERIES["fuzzy_names"] = fuzzy_names
+# The shorter of the two slides over the longer, both ways when equally long. Its common subsequence with a window is a fold over
+# the window's characters, each a number whose bits are that character's places in the shorter text.
+ORACLE["fuzzy_names"] = f"""WITH q AS (SELECT n_nationkey AS query_id, {T.sql_norm('n_name')} AS term FROM nation
+  UNION ALL SELECT r_regionkey + 1000, {T.sql_norm('r_name')} FROM region),
+rows_ AS (SELECT p_partkey AS row_ord, p_brand AS name, p_type AS page, {T.sql_norm('p_name')} AS blob FROM part),
+met AS (SELECT DISTINCT term, blob FROM q, rows_ WHERE length(term) >= 2 AND blob <> ''),
+slid AS (SELECT term, blob, term AS a, blob AS b FROM met WHERE length(term) <= length(blob)
+  UNION ALL SELECT term, blob, blob, term FROM met WHERE length(blob) <= length(term)),
+bits AS (SELECT a, ch, sum(1::BIGINT << (i - 1))::BIGINT AS bits FROM
+  (SELECT a, unnest(string_split(a, '')) AS ch, generate_subscripts(string_split(a, ''), 1) AS i FROM (SELECT DISTINCT a FROM slid)) GROUP BY a, ch),
+chars AS (SELECT b, unnest(string_split(b, '')) AS ch, generate_subscripts(string_split(b, ''), 1) AS i FROM (SELECT DISTINCT b FROM slid)),
+coded AS (SELECT term, blob, a, list(coalesce(bits, 0) ORDER BY i) AS codes FROM slid JOIN chars USING (b) LEFT JOIN bits USING (a, ch) GROUP BY ALL),
+windows AS (SELECT term, blob, length(a) AS m, (1::BIGINT << length(a)) - 1 AS whole,
+  unnest(list_transform(range(2 - length(a), len(codes) + 1), lambda s: codes[greatest(s, 1):least(s + length(a) - 1, len(codes))])) AS w FROM coded),
+folded AS (SELECT term, blob, m, len(w) AS n, whole, list_reduce(w, lambda s, u: ((s + (s & u)) | (s & ~(s & u))) & whole, whole) AS s FROM windows),
+best AS (SELECT term, blob, max(200.0::DOUBLE * bit_count(whole & ~s) / (m + n)) AS score FROM folded GROUP BY term, blob)
+SELECT query_id, 'OCR' AS layer, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, row_ord) AS rank, row_ord, round(score, 6) AS score,
+  term, name, page, substr(blob, 1, 300) AS snippet
+FROM q JOIN best USING (term) JOIN rows_ USING (blob) WHERE score >= 45 QUALIFY rank <= 15"""
+
+
 def _mixed_queries(spark, sf_dir):
     """Known questions with their sheet, passages, and part names that occur nowhere."""
     big = 1_000_000_000

@@ -14,7 +14,8 @@ CORE = ["norm", "tokenize", "expand_terms", "exact_search", "rank_exact_hits", "
         "cells_to_rows", "align_segments_images", "classify_relevance", "reply_pairs", "corpus_stats",
         "extract_messages", "upsert_conversations", "linearize_tree", "alias_join", "redact_pii",
         "approved_cases", "miss_cycles", "gap_counts", "shard_jobs", "pending_jobs", "stream_decisions",
-        "stream_miss_alerts", "miss_rate_windows", "stream_approved_cases", "stream_late_misses"]
+        "stream_miss_alerts", "miss_rate_windows", "stream_approved_cases", "stream_late_misses",
+        "fuzzy_names"]
 # Partial ratios, and operators that SQL cannot express; each is tested against brute force elsewhere.
 NO_TWIN = {"fuzzy_topk", "hybrid_search_fuzzy", "pipeline"} | {n for n in entry.queries() if n[:2] == "op" and n[2].isdigit()}
 NAMES = list(entry.queries()) if os.environ.get("SUPPORTKB_ALL") else CORE
