@@ -6,15 +6,18 @@ length, so only partitions whose lengths can reach the likeness meet, candidates
 signatures, and bounds on the lengths prune before sets are intersected.
 
 Defined cases: null text is empty and has the empty fingerprint; a text without any signature has one signature of
-its whole word sequence; two empty fingerprints are alike (1.0), an empty and another one are not (0.0)."""
+its whole word sequence; two empty fingerprints are alike (1.0), an empty and another one are not (0.0). A very long
+text is one row and is held whole; an empty table gives no rows; other columns are not read."""
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from supportkb.llm.common import as_text, let
+from supportkb.llm.common import as_text, let, written
 
 # Common words of the four languages that open a chain.
 ANCHORS = ["the", "of", "and", "to", "in", "that", "is", "a",
@@ -56,40 +59,61 @@ def likeness(a, b):
             .otherwise(let(shared, lambda n: n / (F.size(a) + F.size(b) - n))))
 
 
-def with_next(docs: DataFrame, columns: list[str], block: int = 256) -> DataFrame:
-    """Each row's ``columns`` of the next row by ascending doc_id as next_<column>; the last row's next is the first.
-
-    Rows are placed by blocks of ids, so a table of any size is many small windows; only the first row of each
-    block crosses over to the row before it. Repeated ids follow each other by their columns; null ids come first."""
-    spread = docs.withColumn("_block", F.coalesce(F.floor(F.col("doc_id") / block), F.lit(-(1 << 62))))
-    inside = Window.partitionBy("_block").orderBy("doc_id", *columns[:1])
-    row = F.struct(*[F.col(c).alias(f"next_{c}") for c in columns])
-    led = spread.withColumns({"_next": F.lead(row).over(inside), "_place": F.row_number().over(inside)})
-    heads = led.filter("_place = 1").select(F.col("_block").alias("_head"), *columns)
-    # block -> next block that has rows; blocks are counted by groups of blocks for the same reason
-    ids = spread.select("_block").distinct().withColumn("_group", F.floor(F.col("_block") / 4096))
-    by_group = Window.partitionBy("_group").orderBy("_block")
-    firsts = ids.groupBy("_group").agg(F.min("_block").alias("_first"))
-    after = firsts.withColumn("_after", F.lead("_first").over(Window.orderBy("_group")))
-    least = firsts.agg(F.min("_first").alias("_least"))
-    order = (ids.withColumn("_lead", F.lead("_block").over(by_group)).join(after, "_group").crossJoin(F.broadcast(least))
-             .select("_block", F.coalesce("_lead", "_after", "_least").alias("_head")))
-    crossing = (order.join(heads, "_head").select("_block", row.alias("_crossing")))
-    return (led.join(crossing, "_block").withColumn("_next", F.coalesce("_next", "_crossing"))
-            .select(*docs.columns, "_next.*"))
-
-
-def edited_fingerprints(documents: DataFrame, **sizes) -> DataFrame:
+def with_next(docs: DataFrame, sub_blocks: int = 64) -> DataFrame:
+    """doc_id and text with the signatures of the text (sigs), and next_text, next_sigs of the next row by ascending
+    doc_id; the last row's next is the first. Rows that share an id follow each other by the hash of their text and
+    then the text; null ids come first.
+
+    Rows are placed in blocks by approximate quantiles of the ids, and between two quantiles by even steps, so a table
+    of any size and any spread of ids is many small windows; an id with a large share of the rows (and the null id) is
+    split by the hash of its texts. Only the first row of each block crosses to the block before it: there are at most
+    1,024 * (256 + sub_blocks) blocks however large the table. Only texts are shuffled, signatures are made where the
+    rows stand in order."""
+    shares = [k / 1024 for k in range(1, 1024)]
+    size = docs.agg(F.count("doc_id").alias("n"), F.percentile_approx(F.col("doc_id").cast("long"), shares, 20_000).alias("at")).first()
+    at = list(size["at"] or [])
+    hot = sorted(v for v, c in Counter(at).items() if c > 1) if size["n"] >= 8 * 1024 else []
+    at = sorted({*at[::max(1, 1024 * 256 // max(size["n"], 1))], *hot})
+    placed = docs.withColumn("_hash", F.xxhash64("text")).withColumn("_block", _block(F.col("doc_id"), F.col("_hash"), at, hot, sub_blocks))
+
+    first = F.min(F.struct("doc_id", "_hash", "text")).alias("_first")
+    heads = written(placed.groupBy("_block").agg(first).select("_block", "_first.text")
+                    .withColumn("sigs", spot_signatures(F.col("text"))), "heads")
+    least = heads.agg(F.min("_block")).first()[0]
+    order = heads.select("_block", F.coalesce(F.lead("_block").over(Window.orderBy("_block")), F.lit(least)).alias("_head"))
+    crossing = (order.join(heads.withColumnsRenamed({"_block": "_head", "text": "_text", "sigs": "_sigs"}), "_head")
+                .select("_block", "_text", "_sigs"))
+    inside = Window.partitionBy("_block").orderBy("doc_id", "_hash", "text")
+    led = (placed.withColumn("next_text", F.lead("text").over(inside)).withColumn("sigs", spot_signatures(F.col("text")))
+           .withColumn("next_sigs", F.lead("sigs").over(inside)))
+    return (led.join(crossing, "_block")
+            .select("doc_id", "text", "sigs", F.coalesce("next_text", "_text").alias("next_text"),
+                    F.coalesce("next_sigs", "_sigs").alias("next_sigs")))
+
+
+def _block(doc_id, text_hash, at: list[int], hot: list[int], sub_blocks: int):
+    """Number of a row's block; ascending with (doc_id, hash of the text), null ids first."""
+    by_hash = F.shiftright(text_hash, 56) + 128                        # 0 to 255, in the order of the hash
+    if not at:
+        return F.when(doc_id.isNull(), by_hash - 1024).otherwise(F.lit(0)).cast("long")
+    bounds = F.lit(at)
+    here = F.size(F.filter(bounds, lambda b: b <= doc_id))
+    low, high = F.get(bounds, here - 1).cast("double"), F.get(bounds, here).cast("double")
+    step = F.coalesce(F.floor((doc_id.cast("double") - low) / (high - low) * sub_blocks), F.lit(0))
+    among = F.least(F.greatest(step, F.lit(0)), F.lit(sub_blocks - 1)) + 256
+    inner = F.when(doc_id.isin(hot), by_hash).otherwise(among) if hot else among
+    return F.when(doc_id.isNull(), by_hash - 1024).otherwise(here * (256 + sub_blocks) + inner).cast("long")
+
+
+def edited_fingerprints(documents: DataFrame) -> DataFrame:
     """Fingerprint of every text, of its edited text (second half replaced by the start of the next document),
     and the likeness to the edited text and to the next document."""
     docs = documents.select("doc_id", as_text(F.col("text")).alias("text"))
-    signed = docs.withColumn("sigs", spot_signatures(F.col("text"), **sizes))
-    pairs = with_next(signed, ["text", "sigs"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    pairs = pairs.select("doc_id", n.cast("long").alias("n_chars"), "sigs", "next_sigs", edited.alias("edited"))
-    both = pairs.withColumn("edited_sigs", spot_signatures(F.col("edited"), **sizes))
+    pairs = with_next(docs).select("doc_id", n.cast("long").alias("n_chars"), "sigs", "next_sigs", edited.alias("edited"))
+    both = pairs.withColumn("edited_sigs", spot_signatures(F.col("edited")))
     return both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
                        fingerprint(F.col("sigs")).alias("fingerprint"),
                        fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),

@@ -1,6 +1,7 @@
 """Chat formatting, decontamination and spot signatures."""
 
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,6 +116,51 @@ def test_odd_rows_of_fingerprints(spark):
     assert one.edited_sha256 == digest("abab") and one.near_next == 1.0
 
 
+def test_fingerprints_from_the_texts(spark):
+    rows = documents("/root/testdata/sf0.001") + [(90_001, "the the cat, sat. on the mat of"), (90_002, "no anchor here"), (90_003, "...")]
+    out = {r.doc_id: r.fingerprint for r in spotsigs.edited_fingerprints(texts(spark, rows)).collect()}
+    for i, text in rows:
+        words = [w for w in re.split(r"[\s!-/:-@\[-`{-~]+", text.lower(), flags=re.ASCII) if w]
+        chains = set()
+        for k, w in enumerate(words):
+            if w in spotsigs.ANCHORS:
+                chain = [v for v in words[k + 1:] if v not in spotsigs.ANCHORS][:2]
+                chains.add(murmur([w, *chain]))
+        if all(w in spotsigs.ANCHORS for w in words) or not chains:
+            chains = {murmur([" ".join(words)])} if words else {murmur([text])} if text else set()
+        assert out[i] == "".join(f"{c & 0xFFFFFFFF:08x}" for c in sorted(chains)), i
+
+
+def murmur(values):
+    """32-bit Murmur3 of strings one after the other, as a signed number."""
+    mask, turn = 0xFFFFFFFF, lambda x, r: ((x << r) | (x >> (32 - r))) & 0xFFFFFFFF
+    h = 42
+    for value in values:
+        data = value.encode()
+        whole = len(data) // 4 * 4
+        words = [int.from_bytes(data[i:i + 4], "little") for i in range(0, whole, 4)]
+        words += [(b - 256 if b > 127 else b) & mask for b in data[whole:]]
+        for k in words:
+            h = (turn(h ^ turn(k * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask, 13) * 5 + 0xE6546B64) & mask
+        h ^= len(data)
+        for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+            h = (h ^ h >> shift) * factor & mask
+        h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+@pytest.mark.parametrize("ids", [lambda i: i * 0x9E3779B97F4A7C15 % (1 << 64) - (1 << 63),
+                                 lambda i: 7 if i % 3 == 0 else i // 4, lambda i: None if i % 3 == 0 else 5])
+def test_order_of_spread_repeated_and_null_ids(spark, ids):
+    """Wide hashed ids, an id and a null id with a third of all rows: one block never holds a large share."""
+    rows = [(ids(i), f"text {i}") for i in range(15_000)]
+    docs = texts(spark, rows).select("doc_id", F.col("text"))
+    hashed = docs.withColumn("h", F.xxhash64("text")).orderBy(F.asc_nulls_first("doc_id"), "h", "text").select("text").collect()
+    order = [r.text for r in hashed]
+    got = dict(spotsigs.with_next(docs).select("text", "next_text").collect())
+    assert got == dict(zip(order, order[1:] + order[:1]))
+
+
 def test_similar_pairs_against_all_pairs(spark):
     rows = documents("/root/testdata/sf0.001")
     signed = texts(spark, rows).select("doc_id", spotsigs.spot_signatures(F.col("text")).alias("sigs"))
