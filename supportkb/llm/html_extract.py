@@ -7,14 +7,17 @@ as a branch, where at least ``min_pages`` pages of the host show it. Two priors
 random per-page menus and adverts are as varied as articles: elements that are furniture by kind (menus, headers,
 footers, asides, forms, hidden parts, or so named by class, id or role) have importance 0, and where a page marks its
 article (``article``, ``main``, role main) only blocks inside it are text, and of these a block goes only if its own
-node (not a node above it) is to be removed. An article of which nothing would be left stays whole.
+node (not a node above it) is to be removed. An article of which nothing would be left stays whole. Inside an article a
+class or id names furniture only as a whole (``comments``, ``ad-box``), not by a part of another name
+(``search-results``). Marks are a prior, not a wall: where the text outside them that the tree keeps is more than
+``teaser`` times as long, they mark a teaser, and all of it is the main text.
 
 The tree is never in one place: each task counts (node, content) pairs of its pages, the counts are added by key, the
 entropy is one sum per node, and only nodes to be removed go back to the pages (broadcast when measured small,
 else joined).
 
 Defined cases: null or empty html gives an empty text; a null or odd url belongs to the host ""; unclosed elements end
-with their parent; repeated rows are extracted alike."""
+with their parent; repeated rows are extracted alike; a very long page is one row and is parsed whole."""
 
 from __future__ import annotations
 
@@ -27,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from supportkb.llm.common import written
 from supportkb.sizing import broadcast_if_small
 
 # Element kinds.
@@ -50,19 +54,31 @@ _NAMED = re.compile(
     r"|newsletter|subscribe|subscription|comments?|commentlist|disqus|replies|respond|sidebar|side|menu|nav|navbar|navigation"
     r"|breadcrumbs?|header|masthead|topbar|footer|foot|bottom|related|recommend\w*|shar(?:e|ing)|social|toolbar|widget"
     r"|pagination|pager|login|signup|search|toc|hidden|copyright|legal|disclaimer)(?:$|[\s_-])")
+# What the boxes of furniture are called besides.
+_HOLDERS = {"area", "bar", "block", "box", "container", "form", "frame", "inner", "items", "links", "list", "panel", "section",
+            "slot", "unit", "wrap", "wrapper"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 _DIGITS = re.compile(r"\d+")
 
 
-def _node(tag: str, attrs: str):
-    """(name in a path, is furniture, is the article) of an element."""
+def _named_whole(value: str) -> bool:
+    """Whether one of the names consists of furniture words and words for boxes only."""
+    for name in value.split():
+        words = [w for w in re.split(r"[_-]+|\d+", name.lower()) if w and w not in _HOLDERS]
+        if words and all(_NAMED.fullmatch(w) for w in words):
+            return True
+    return False
+
+
+def _node(tag: str, attrs: str, inside: bool):
+    """(name in a path, is furniture, is the article) of an element; ``inside`` an article or not."""
     name, furniture, article = tag, tag in FURNITURE, tag in ("article", "main")
     if attrs and not attrs.isspace():
         for m in _ATTR.finditer(attrs):
             kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if kind in ("class", "id"):
                 name += ("." if kind == "class" else "#") + _DIGITS.sub("N", value)
-                furniture = furniture or bool(_NAMED.search(value))
+                furniture = furniture or (_named_whole(value) if inside else bool(_NAMED.search(value)))
             elif kind == "role":
                 furniture, article = furniture or value.lower() in _ROLES, article or value.lower() == "main"
             elif kind == "hidden" or kind == "aria-hidden" and value.lower() == "true":
@@ -133,7 +149,7 @@ def blocks(page: str):
                     break
                 if stack[i][0] in SCOPES:
                     break
-        name, furniture, article = _node(tag, m["attrs"])
+        name, furniture, article = _node(tag, m["attrs"], stack[-1][3])
         stack[-1][4].append(name)
         if tag in VOID:
             continue
@@ -190,20 +206,25 @@ def node_importance(pages: DataFrame, mix: float = 0.7) -> DataFrame:
     return nodes.select("host", "path", "pages", importance.alias("importance"))
 
 
-def extract(pages: DataFrame, threshold: float = 0.35, min_pages: int = 8, link_share: float = 0.6) -> DataFrame:
+def extract(pages: DataFrame, threshold: float = 0.35, min_pages: int = 8, link_share: float = 0.6,
+            teaser: float = 3.0) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
-    low = (node_importance(pages).filter((F.col("pages") >= min_pages) & (F.col("importance") < threshold))
-           .groupBy("host").agg(F.collect_list("path").alias("dropped")))
+    low = written(node_importance(pages).filter((F.col("pages") >= min_pages) & (F.col("importance") < threshold))
+           .groupBy("host").agg(F.collect_list("path").alias("dropped")), "style-tree")
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host(F.col("url")).alias("host"))
     joined = rows.join(broadcast_if_small(low), "host", "left").select("page_id", "url", "html", "dropped")
 
     def main_text(page: str, dropped: set) -> str:
         found, _ = blocks(page)
-        marked = [b for b in found if b[3] and not b[2]]
-        if marked:
-            kept = [b[0] for b in marked if not b[1] or b[1][-1] not in dropped] or [b[0] for b in marked]
-        else:
-            kept = [b[0] for b in found if not b[2] and not dropped.intersection(b[1]) and b[4] <= link_share * len(b[0])]
+        article = [b[3] and not b[2] for b in found]
+        inside = [a and not (b[1] and b[1][-1] in dropped) for a, b in zip(article, found)]
+        if not any(inside):
+            inside = article
+        outside = [not a and not b[2] and not dropped.intersection(b[1]) and b[4] <= link_share * len(b[0])
+                   for a, b in zip(article, found)]
+        sizes = [sum(len(b[0]) for take, b in zip(some, found) if take) for some in (inside, outside)]
+        both = sizes[1] > teaser * sizes[0]
+        kept = [b[0] for i, o, b in zip(inside, outside, found) if i or both and o]
         return "\n".join(kept)
 
     def run(batches):
