@@ -73,6 +73,7 @@ def with_next(docs: DataFrame, sub_blocks: int = 64) -> DataFrame:
     size = docs.agg(F.count("doc_id").alias("n"), F.percentile_approx(F.col("doc_id").cast("long"), shares, 20_000).alias("at")).first()
     at = list(size["at"] or [])
     hot = sorted(v for v, c in Counter(at).items() if c > 1) if size["n"] >= 8 * 1024 else []
+    sub_blocks = min(max(size["n"] // (1024 * 256), 1), sub_blocks)
     at = sorted({*at[::max(1, 1024 * 256 // max(size["n"], 1))], *hot})
     placed = docs.withColumn("_hash", F.xxhash64("text")).withColumn("_block", _block(F.col("doc_id"), F.col("_hash"), at, hot, sub_blocks))
 
