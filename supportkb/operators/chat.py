@@ -9,8 +9,10 @@ shuffle nothing:
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from supportkb import defaults as D
 from supportkb.functions.text import contains_any, epoch_to_iso, fallback_id, is_blank, norm, with_fields
@@ -111,9 +113,6 @@ def payload_header(payloads: DataFrame, folder: str | None = None) -> DataFrame:
     return out.withColumn("id", F.coalesce(given, fallback_id(F.col("title"), F.col("create_time"))))
 
 
-NESTING = 12
-
-
 def _opened(part: Column) -> Column:
     """One level of a content part opened: the parts of a list, the first of text, content and value of an object that is
     not empty, or the part itself. An empty list or object stands for one empty text."""
@@ -129,14 +128,24 @@ def _opened(part: Column) -> Column:
             .otherwise(F.array(part)))
 
 
+def _depth(part: Column) -> Column:
+    """Levels of lists and objects in a part, from the brackets of its JSON outside strings."""
+    kind = _kind(part)
+    unescaped = F.regexp_replace(F.to_json(part), r"\\.", "")
+    brackets = F.regexp_replace(F.regexp_replace(unescaped, '"[^"]*"', ""), r"[^\[\]{}]", "")
+    step = lambda b: F.when(b.isin("[", "{"), 1).when(b.isin("]", "}"), -1).otherwise(0)
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    most = F.aggregate(F.split(brackets, ""), start, lambda at, b: F.struct(
+        (at["now"] + step(b)).alias("now"), F.greatest(at["most"], at["now"] + step(b)).alias("most")), lambda at: at["most"])
+    return (F.when(kind == "ARRAY<STRING>", F.lit(1))
+            .when(F.startswith(kind, F.lit("ARRAY")) | F.startswith(kind, F.lit("OBJECT")), most).otherwise(F.lit(0)))
+
+
 def _part_text(part: Column) -> Column:
-    """Text of a content part: a string, a list of parts, or an object with text, content or value, nested up to NESTING
-    levels; what lies deeper is an error, never lost."""
-    levels = F.aggregate(F.sequence(F.lit(1), F.lit(NESTING)), F.array(part),
-                         lambda parts, _: F.flatten(F.transform(parts, _opened)))
-    deep = F.raise_error(F.lit(f"a message is nested deeper than {NESTING} levels")).cast("string")
-    texts = F.transform(levels, lambda p: F.when(F.startswith(_kind(p), F.lit("ARRAY")) | F.startswith(_kind(p), F.lit("OBJECT")), deep)
-                        .otherwise(F.coalesce(F.when(_kind(p) == "STRING", _get(p, "$")), F.lit(""))))
+    """Text of a content part: a string, a list of parts, or an object with text, content or value, nested as deep as it is."""
+    rounds = F.sequence(F.lit(1), F.greatest(_depth(part), F.lit(1)))
+    levels = F.aggregate(rounds, F.array(part), lambda parts, _: F.flatten(F.transform(parts, _opened)))
+    texts = F.transform(levels, lambda p: F.coalesce(F.when(_kind(p) == "STRING", _get(p, "$")), F.lit("")))
     return F.when(part.isNull(), F.lit("")).otherwise(F.array_join(texts, " "))
 
 
@@ -160,25 +169,34 @@ def _kept(msgs: Column) -> Column:
     return F.filter(pairs, lambda x: x["role"].isin("user", "assistant") & ~is_blank(x["text"]))
 
 
-def walk_mapping(payload: Column) -> Column:
-    """Messages along the path from the current node up to the root, in reading order.
+@F.pandas_udf(ArrayType(IntegerType()))
+def tree_path(ids: pd.Series, parents: pd.Series, current: pd.Series) -> pd.Series:
+    """Places of the nodes from the root to the current node, in time linear in the nodes; no text crosses to Python."""
+    def path(names, ups, at):
+        if names is None:
+            return None
+        place = {name: i for i, name in enumerate(names)}
+        if not at:
+            at = max(place.keys() - set(ups), default=None)
+        found: dict[int, None] = {}
+        i = place.get(at)
+        while i is not None and i not in found:
+            found[i] = None
+            i = place.get(ups[i])
+        return list(found)[::-1]
+    return pd.Series([path(*row) for row in zip(ids, parents, current)], dtype=object)
+
+
+def walk_mapping(mapping: Column, current: Column) -> Column:
+    """Messages along the path from the current node up to the root, in reading order; null without a mapping.
 
     Follows parents at most once per node, stopping at a node already seen. Without a current node
     the walk starts at a leaf; of several leaves the greatest id is taken."""
-    nodes = F.try_variant_get(payload, "$.mapping", "map<string, variant>")
-    ids = F.map_keys(nodes)
-    parent = lambda n: _get(F.try_element_at(nodes, n), "$.parent")
-    parents = F.transform(ids, parent)
-    leaf = F.array_max(F.filter(ids, lambda n: ~F.coalesce(F.array_contains(parents, n), F.lit(False))))
-    start = F.coalesce(F.nullif(_get(payload, "$.current_node"), F.lit("")), leaf)
-    step = lambda path: parent(F.element_at(path, -1))
-    follow = lambda path, _: F.when(
-        step(path).isNull() | F.array_contains(path, step(path)) | ~F.array_contains(ids, step(path)), path
-    ).otherwise(F.concat(path, F.array(step(path))))
-    path = F.aggregate(F.sequence(F.lit(1), F.size(ids)), F.array(start), follow)
-    known = F.when(F.array_contains(ids, start), F.reverse(path)).otherwise(F.array().cast("array<string>"))
-    return _kept(F.filter(F.transform(known, lambda n: _get(F.try_element_at(nodes, n), "$.message", "variant")),
-                          lambda m: m.isNotNull()))
+    nodes = F.try_variant_get(mapping, "$", "map<string, variant>")
+    path = tree_path(F.map_keys(nodes), F.transform(F.map_values(nodes), lambda n: _get(n, "$.parent")), current)
+    walked = F.transform(F.array(F.struct(F.map_values(nodes).alias("nodes"), path.alias("path"))), lambda tree: _kept(F.filter(
+        F.transform(tree["path"], lambda i: _get(F.get(tree["nodes"], i), "$.message", "variant")), lambda m: m.isNotNull())))
+    return F.get(walked, F.lit(0))
 
 
 def extract_messages(payload: Column) -> Column:
@@ -186,10 +204,13 @@ def extract_messages(payload: Column) -> Column:
     def listed(k: str) -> Column:
         return _get(payload, f"$.{k}", "variant")
 
+    # only trees that are read cross to the walk
+    own = _is_list(listed("linear_conversation")) | _is_list(listed("messages"))
+    tree = F.when(~own & _is_object(listed("mapping")), listed("mapping"))
     array = lambda k: _kept(F.try_variant_get(payload, f"$.{k}", "array<variant>"))
     return F.coalesce(F.when(_is_list(listed("linear_conversation")), array("linear_conversation"))
                       .when(_is_list(listed("messages")), array("messages"))
-                      .when(_is_object(listed("mapping")), walk_mapping(payload)),
+                      .otherwise(walk_mapping(tree, _get(payload, "$.current_node"))),
                       F.array().cast(MESSAGES))
 
 

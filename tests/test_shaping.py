@@ -265,20 +265,31 @@ def test_existing_items_of_a_sheet_come_first(spark):
     assert {k: v for k, v in got.items() if k[0] == "s"} == {("s", 3): (1, "a3"), ("s", 4): (2, "a4"), ("s", 5): (3, "a5")}
 
 
-def test_text_at_four_levels_and_beyond_the_bound(spark):
+def test_text_at_any_depth(spark):
     deep = {"content": {"parts": [{"content": {"text": [{"value": "deep"}]}}, {"text": "flat"}, ["a", ["b"]]]}, "role": "user"}
-    v = spark.createDataFrame([(json.dumps(deep),)], "t string").select(F.parse_json("t").alias("v"))
-    assert v.select(C.message_text(F.col("v"))).first()[0] == "deep flat a b"
-    nested = "x"
-    for _ in range(C.NESTING + 2):
-        nested = [nested]
-    over = spark.createDataFrame([(json.dumps({"content": nested}),)], "t string").select(F.parse_json("t").alias("v"))
-    try:
-        over.select(C.message_text(F.col("v"))).first()
-    except Exception as e:
-        assert "nested deeper" in str(e)
-    else:
-        raise AssertionError("text was lost without an error")
+    marks = 'brackets ]}[{ "quoted" and a \\ at the end\\'
+    nested = marks
+    for i in range(50):
+        nested = [nested, "x"] if i % 2 else {"text": nested}
+    for message, want in ((deep, "deep flat a b"), ({"content": nested}, " ".join([marks] + ["x"] * 25)),
+                          ({"content": [marks, []]}, marks + " "), ({"content": {}}, ""), ({}, ""), ({"content": 5}, "")):
+        v = spark.createDataFrame([(json.dumps(message),)], "t string").select(F.parse_json("t").alias("v"))
+        assert (v.select(C.message_text(F.col("v"))).first()[0] or "") == want
+
+
+def test_walk_of_a_very_long_conversation(spark):
+    n = 100_000
+    node = lambda i: {"parent": f"n{i - 1}" if i else None, "message": {"role": "user" if i % 2 else "assistant", "content": f"t{i}"}}
+    long = {"current_node": f"n{n - 1}", "mapping": {f"n{i}": node(i) for i in range(n)}}
+    loop = {"mapping": {"a": {"parent": "c", "message": {"role": "user", "content": "A"}}, "b": {"parent": "a", "message": {"role": "user", "content": "B"}},
+                        "c": {"parent": "b", "message": None}, "d": {"parent": "b", "message": {"role": "user", "content": "D"}}}}
+    lost = {"current_node": "gone", "mapping": {"a": {"message": {"role": "user", "content": "A"}}}}
+    both = {"messages": [{"role": "user", "content": "own"}], **lost}
+    rows = [(i, json.dumps(p)) for i, p in enumerate((long, loop, lost, both, {}, {"mapping": {}}))]
+    v = spark.createDataFrame(rows, "i int, t string").select("i", F.parse_json("t").alias("v"))
+    got = {r.i: [m.text for m in r.m] for r in v.select("i", C.extract_messages(F.col("v")).alias("m")).collect()}
+    assert got[0] == [f"t{i}" for i in range(n)]
+    assert (got[1], got[2], got[3], got[4], got[5]) == (["A", "B", "D"], [], ["own"], [], [])
 
 
 def _counted(rows):
