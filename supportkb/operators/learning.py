@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from supportkb.functions.text import fingerprint, norm, redact_pii
+from supportkb.operators.chat import head
 from supportkb.operators.summary import side_by_side
 
 CASE_TEXTS = ["product", "issue", "chinese_logic", "japanese_reply"]
@@ -69,14 +70,15 @@ def pending(candidates: DataFrame, events: DataFrame) -> DataFrame:
     return first_candidate(candidates).withColumn("_id", _id()).join(decided, "_id", "left_anti").drop("_id")
 
 
-def pending_candidates(candidates: DataFrame, events: DataFrame, limit: int = 10, high_only: bool = False) -> DataFrame:
-    """The review list: oldest undecided candidates, replies cut to 80 characters."""
+def pending_candidates(candidates: DataFrame, events: DataFrame, limit: int = 10, high_only: bool = False,
+                       chars: int | None = None) -> DataFrame:
+    """The review list: oldest undecided candidates with their replies, whole or the first ``chars`` characters."""
     open_ = pending(candidates, events)
     if high_only:
         open_ = open_.filter(F.lower(F.col("value")) == "high")
     return (open_.orderBy("created_at", "candidate_id").limit(limit)
             .select("candidate_id", "created_at", "product", "issue",
-                    F.substring("japanese_reply", 1, 80).alias("reply")))
+                    head(F.col("japanese_reply"), chars).alias("reply")))
 
 
 def apply_decisions(requested: DataFrame, candidates: DataFrame, action: str, reason: str = "") -> DataFrame:

@@ -77,10 +77,14 @@ def misses_from_search(queries: DataFrame, results: DataFrame, reason: str = "NO
                     F.lit("record").alias("action")))
 
 
+SHOWN = {"MANUALS": 10, "FILES": 5, "PAGE_IMAGES": 8, "CANDIDATE_IMAGES": 10}
+
+
 def diagnose_not_found(queries: DataFrame, terms: DataFrame, manuals: DataFrame, files: DataFrame,
-                       images: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Where a query's content may have been lost: matching manuals with page count and length
-    (10), source files (5), page images (8) and candidate images whose text holds a term (10).
+                       images: DataFrame, pairs: DataFrame, shown: dict[str, int | None] = SHOWN) -> DataFrame:
+    """Where a query's content may have been lost: matching manuals with page count and length,
+    source files, page images and candidate images whose text holds a term. ``shown`` is how many of each
+    section are listed (None: all); total counts all.
 
     ``manuals``: name, pages, norm_len; ``files``/``images``: path, stem; ``pairs``: pdf_base,
     page_seq, preview (searched as it is, so pass the whole text), image_rel. The first three depend on
@@ -95,26 +99,28 @@ def diagnose_not_found(queries: DataFrame, terms: DataFrame, manuals: DataFrame,
         everything = df.withColumn("pn", S.empty_text(F.col(name_col))).join(products, "pn", "left_semi").select(*by_product.columns)
         return by_product.unionByName(everything)
 
-    def section(df: DataFrame, owner: str, label: str, cap: int, *order: str) -> DataFrame:
+    def section(df: DataFrame, owner: str, label: str, *order: str) -> DataFrame:
         rn = F.row_number().over(W.partitionBy(owner).orderBy(*order))
         total = df.groupBy(owner).agg(F.count(F.lit(1)).alias("total"))
-        return (df.withColumn("place", rn).filter(F.col("place") <= cap).join(total, owner)
+        cap = shown.get(label)
+        listed = df.withColumn("place", rn)
+        return ((listed if cap is None else listed.filter(F.col("place") <= cap)).join(total, owner)
                 .select(owner, F.lit(label).alias("section"), "place", "subject", "detail", "total"))
 
     m = (matched(manuals, "name", ["name"])
          .select("pn", F.col("name").alias("subject"),
                  F.concat(F.lit("pages="), "pages", F.lit(" norm_len="), "norm_len").alias("detail")))
     path = lambda df: matched(df, "stem", ["path"]).select("pn", F.col("path").alias("subject"), F.lit("").alias("detail"))
-    by_product = (section(m, "pn", "MANUALS", 10, "subject")
-                  .unionByName(section(path(files), "pn", "FILES", 5, "subject"))
-                  .unionByName(section(path(images), "pn", "PAGE_IMAGES", 8, "subject")))
+    by_product = (section(m, "pn", "MANUALS", "subject")
+                  .unionByName(section(path(files), "pn", "FILES", "subject"))
+                  .unionByName(section(path(images), "pn", "PAGE_IMAGES", "subject")))
     hints = terms.filter(F.char_length("term") >= 2)
-    shown = pairs.filter("image_rel <> ''").withColumn("_p", norm(F.col("preview")))
-    hit = contains_join(shown, "_p", hints.select("term").distinct(), "term", key=["pdf_base", "page_seq", "image_rel"])
+    searched = pairs.filter("image_rel <> ''").withColumn("_p", norm(F.col("preview")))
+    hit = contains_join(searched, "_p", hints.select("term").distinct(), "term", key=["pdf_base", "page_seq", "image_rel"])
     cand = (hit.select("pdf_base", "page_seq", "image_rel", norm(F.col("pdf_base")).alias("_b"), "term")
             .join(hints.select("query_id", "term"), "term").join(asked, "query_id")
             .filter((F.col("pn") == "") | F.contains("_b", "pn"))
             .select("query_id", F.col("pdf_base").alias("subject"), "page_seq",
                     F.concat(F.lit("page="), "page_seq", F.lit(" -> "), "image_rel").alias("detail")).distinct())
     return (by_product.join(asked, "pn").select("query_id", "section", "place", "subject", "detail", "total")
-            .unionByName(section(cand, "query_id", "CANDIDATE_IMAGES", 10, "subject", "page_seq", "detail")))
+            .unionByName(section(cand, "query_id", "CANDIDATE_IMAGES", "subject", "page_seq", "detail")))

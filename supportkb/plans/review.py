@@ -166,7 +166,7 @@ def pending_candidates(spark, sf_dir):
 
 QUERIES["pending_candidates"] = pending_candidates
 ORACLE["pending_candidates"] = f"""WITH {_SQL_DECISIONS}, {_SQL_CANDS}
-SELECT candidate_id, doc_id AS created_at, 'p' AS product, lang AS issue, substr(reply, 1, 80) AS reply FROM cand
+SELECT candidate_id, doc_id AS created_at, 'p' AS product, lang AS issue, reply FROM cand
 WHERE value = 'high' AND cid NOT IN (SELECT cid FROM dec) ORDER BY doc_id LIMIT 10"""
 
 
