@@ -153,9 +153,9 @@ def message_text(msg: Column) -> Column:
     """User-facing text of a message variant."""
     content = _get(msg, "$.content", "variant")
     inner = F.coalesce(_get(content, "$.parts", "variant"), _get(content, "$.text", "variant"))
-    return (F.when(_kind(content) == "STRING", _get(content, "$"))
-            .when(_is_list(content), _part_text(content))
-            .otherwise(_part_text(inner)))
+    part = F.when(_is_list(content), content).otherwise(inner)
+    nested = F.get(F.transform(F.array(part), _part_text), F.lit(0))       # the part is taken once, then opened
+    return F.when(_kind(content) == "STRING", _get(content, "$")).otherwise(nested)
 
 
 def role_of(msg: Column) -> Column:
