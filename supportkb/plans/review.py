@@ -6,6 +6,7 @@ Events are decisions and misses (user = candidate or product); documents are can
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from supportkb.functions.text import (clean_cell, epoch_to_iso, fallback_id, fingerprint, json_text, preview, redact_pii,
                                       safe_name, snippet, split_lines, unquote_cell)
@@ -546,22 +547,26 @@ WHERE question <> '' ORDER BY sheet, item_ord LIMIT 1"""
 # --- streams -----------------------------------------------------------------------------------
 
 def _stream(spark, sf_dir, table):
+    """One of the driver's tables as a stream, whether it is one file or a folder of files: the pattern matches just its name, and
+    a path with a pattern may be either."""
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parque[t]")
 
 
 def _drain(spark, stream, mode):
     """Run a stream over what is there and return its rows from a table of files."""
-    base = scratch_path(spark, "stream")
+    base, schema = scratch_path(spark, "stream"), stream.schema
     if mode == "append":
         q = (stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp")
              .outputMode("append").trigger(availableNow=True).start())
     else:
+        schema = types.StructType([*schema.fields, types.StructField("_epoch", types.IntegerType())])
+        spark.createDataFrame([], schema).write.parquet(f"{base}/out")     # a stream without rows has no epoch
         write = lambda df, epoch: df.withColumn("_epoch", F.lit(epoch)).write.mode("append").parquet(f"{base}/out")
         q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/cp")
              .outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    return spark.read.schema(schema).parquet(f"{base}/out")
 
 
 def _newest_epoch(df, key):
