@@ -5,8 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -76,58 +75,46 @@ def miss_rates(stream: DataFrame, length: str = "1 day", slide: str | None = Non
 
 
 ALERTS = "product string, ord long, records long, reminder_due boolean, cycles long, last_reminder long"
-RELEASE = 10_000
+HELD = 100_000
 
 
 class MissCounter(StatefulProcessor):
-    """Counter state after every action, per product, in the order of time whatever the order of arrival.
+    """Counter state after every action, per product. Rows are buckets of actions (bucket, actions) that come once each, and all buckets
+    of a call lie after those of the calls before.
 
-    Actions wait in parts, one per ``bucket_ms`` of event time and call, and a timer per bucket releases them when the watermark
-    has passed the bucket's end, so nothing earlier can still come. Timers of a key expire in the order of time, and a
-    release sorts one bucket: what is held in memory is a product's actions of one bucket of time, not those of a trigger."""
+    A call reads and writes the counter once and walks its buckets in the order of time. Beyond ``held`` actions the buckets of a
+    busy product wait in the state and come back one by one, so a release never holds a whole trigger."""
 
-    def __init__(self, threshold: int = 3, bucket_ms: int = 3_600_000):
-        self.threshold, self.bucket_ms = threshold, bucket_ms
+    def __init__(self, threshold: int = 3, held: int = HELD):
+        self.threshold, self.held = threshold, held
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
         self.counter = handle.getValueState("counter", "records long, cycles long, last long")
-        self.waiting = handle.getMapState("waiting", "bucket long, part long", "actions string")
-        self.parts = handle.getMapState("parts", "bucket long", "n long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            for bucket, part in pdf.groupby(pdf["micros"] // (1000 * self.bucket_ms)):
-                bucket = int(bucket)
-                n = self.parts.getValue((bucket,))[0] if self.parts.containsKey((bucket,)) else 0
-                if not n:
-                    self.handle.registerTimer((bucket + 1) * self.bucket_ms)
-                actions = [part[c].tolist() for c in ("micros", "ord", "action")]
-                self.waiting.updateValue((bucket, n), (json.dumps(actions),))
-                self.parts.updateValue((bucket,), (n + 1,))
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        bucket = expiredTimerInfo.getExpiryTimeInMs() // self.bucket_ms - 1
-        n = self.parts.getValue((bucket,))[0]
-        held = sorted(a for i in range(n) for a in zip(*json.loads(self.waiting.getValue((bucket, i))[0])))
+        self.waiting = handle.getMapState("waiting", "bucket long", "actions string")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held, n = {}, 0
+        for row in rows:
+            if n < self.held:
+                held[row["bucket"]], n = row["actions"], n + len(row["actions"])
+            else:
+                self.waiting.updateValue((row["bucket"],), (json.dumps(row["actions"]),))
+                held[row["bucket"]] = None
         records, cycles, last = self.counter.get() if self.counter.exists() else (0, 0, None)
-        out = []
-        for micros, ord_, action in held:
-            if action == RECORD:
-                records += 1
-            elif action in ACKNOWLEDGE:
-                records, cycles, last = 0, cycles + 1, micros
-            elif action == RESET:
-                records, last = 0, None
-            out.append((key[0], ord_, records, records >= self.threshold, cycles, last))
+        for bucket in sorted(held):
+            actions = held.pop(bucket)
+            if actions is None:
+                actions = json.loads(self.waiting.getValue((bucket,))[0])
+                self.waiting.removeKey((bucket,))
+            for micros, ord_, action in sorted((a["micros"], a["ord"], a["action"]) for a in actions):
+                if action == RECORD:
+                    records += 1
+                elif action in ACKNOWLEDGE:
+                    records, cycles, last = 0, cycles + 1, micros
+                elif action == RESET:
+                    records, last = 0, None
+                yield Row(product=key[0], ord=ord_, records=records, reminder_due=records >= self.threshold, cycles=cycles, last_reminder=last)
         self.counter.update((records, cycles, last))
-        for i in range(n):
-            self.waiting.removeKey((bucket, i))
-        self.parts.removeKey((bucket,))
-        for at in range(0, len(out), RELEASE):
-            frame = pd.DataFrame(out[at:at + RELEASE], columns=["product", "ord", "records", "reminder_due", "cycles", "last_reminder"])
-            yield frame.astype({"last_reminder": "Int64"})
 
     def close(self) -> None:
         pass
@@ -136,7 +123,10 @@ class MissCounter(StatefulProcessor):
 def miss_alerts(stream: DataFrame, threshold: int = 3, delay: str = "1 day", bucket_ms: int = 3_600_000) -> DataFrame:
     """Counter state after every action, per product: records since the last close, sticky reminder, closed cycles, last
     reminder. Input: product, ord, ts, micros (of ts), action. Actions may arrive in any order and in any trigger as long as they are
-    no later than ``delay``; they come out, in the order of (time, ord), once the watermark has passed them; later ones are
-    dropped. Times lie after 1970, where watermarks begin. Needs the RocksDB state store."""
-    return (stream.withWatermark("ts", delay).groupBy("product")
-            .transformWithStateInPandas(MissCounter(threshold, bucket_ms), ALERTS, "Append", "EventTime"))
+    no later than ``delay``; they wait in a native aggregate per product and bucket of event time and come out, in the order of
+    (time, ord), once the watermark has passed their bucket's end; those that come after that are dropped. Times lie after 1970, where watermarks
+    begin. Needs the RocksDB state store."""
+    waiting = (stream.withWatermark("ts", delay).groupBy("product", F.window("ts", f"{bucket_ms} milliseconds").alias("w"))
+               .agg(F.collect_list(F.struct("micros", "ord", "action")).alias("actions")))
+    released = waiting.select("product", F.unix_millis("w.start").alias("bucket"), "actions")
+    return released.groupBy("product").transformWithState(MissCounter(threshold), ALERTS, "Append", "None")
