@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -79,41 +80,51 @@ HELD = 100_000
 
 
 class MissCounter(StatefulProcessor):
-    """Counter state after every action, per product. Rows are buckets of actions (bucket, actions) that come once each, and all buckets
-    of a call lie after those of the calls before.
+    """Counter state after every action, per product. A row holds the actions of one time; all rows of a call lie after those of the
+    calls before.
 
-    A call reads and writes the counter once and walks its buckets in the order of time. Beyond ``held`` actions the buckets of a
-    busy product wait in the state and come back one by one, so a release never holds a whole trigger."""
+    A call reads and writes the counter once. Beyond ``held`` actions those of a busy product wait in the state by buckets of
+    ``bucket_ms`` and come back one bucket at a time, so a release never holds a whole trigger."""
 
-    def __init__(self, threshold: int = 3, held: int = HELD):
-        self.threshold, self.held = threshold, held
+    def __init__(self, threshold: int = 3, bucket_ms: int = 3_600_000, held: int = HELD):
+        self.threshold, self.bucket_ms, self.held = threshold, bucket_ms, held
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.counter = handle.getValueState("counter", "records long, cycles long, last long")
-        self.waiting = handle.getMapState("waiting", "bucket long", "actions string")
+        self.waiting = handle.getMapState("waiting", "bucket long, part long", "actions string")
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held, n = {}, 0
+    def _park(self, actions: list[tuple], parts: dict[int, int]) -> None:
+        for bucket, some in groupby(sorted(actions), lambda a: a[0] // (1000 * self.bucket_ms)):
+            self.waiting.updateValue((bucket, parts.get(bucket, 0)), (json.dumps(list(some)),))
+            parts[bucket] = parts.get(bucket, 0) + 1
+        actions.clear()
+
+    def _in_order(self, rows: Iterator[Row]) -> Iterator[tuple]:
+        held, parts = [], {}
         for row in rows:
-            if n < self.held:
-                held[row["bucket"]], n = row["actions"], n + len(row["actions"])
-            else:
-                self.waiting.updateValue((row["bucket"],), (json.dumps(row["actions"]),))
-                held[row["bucket"]] = None
+            held.extend((a["micros"], a["ord"], a["action"]) for a in row["actions"])
+            if len(held) > self.held:
+                self._park(held, parts)
+        if not parts:
+            yield from sorted(held)
+            return
+        self._park(held, parts)
+        for bucket in sorted(parts):
+            keys = [(bucket, i) for i in range(parts[bucket])]
+            yield from sorted(tuple(a) for k in keys for a in json.loads(self.waiting.getValue(k)[0]))
+            for k in keys:
+                self.waiting.removeKey(k)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         records, cycles, last = self.counter.get() if self.counter.exists() else (0, 0, None)
-        for bucket in sorted(held):
-            actions = held.pop(bucket)
-            if actions is None:
-                actions = json.loads(self.waiting.getValue((bucket,))[0])
-                self.waiting.removeKey((bucket,))
-            for micros, ord_, action in sorted((a["micros"], a["ord"], a["action"]) for a in actions):
-                if action == RECORD:
-                    records += 1
-                elif action in ACKNOWLEDGE:
-                    records, cycles, last = 0, cycles + 1, micros
-                elif action == RESET:
-                    records, last = 0, None
-                yield Row(product=key[0], ord=ord_, records=records, reminder_due=records >= self.threshold, cycles=cycles, last_reminder=last)
+        for micros, ord_, action in self._in_order(rows):
+            if action == RECORD:
+                records += 1
+            elif action in ACKNOWLEDGE:
+                records, cycles, last = 0, cycles + 1, micros
+            elif action == RESET:
+                records, last = 0, None
+            yield Row(product=key[0], ord=ord_, records=records, reminder_due=records >= self.threshold, cycles=cycles, last_reminder=last)
         self.counter.update((records, cycles, last))
 
     def close(self) -> None:
@@ -123,10 +134,9 @@ class MissCounter(StatefulProcessor):
 def miss_alerts(stream: DataFrame, threshold: int = 3, delay: str = "1 day", bucket_ms: int = 3_600_000) -> DataFrame:
     """Counter state after every action, per product: records since the last close, sticky reminder, closed cycles, last
     reminder. Input: product, ord, ts, micros (of ts), action. Actions may arrive in any order and in any trigger as long as they are
-    no later than ``delay``; they wait in a native aggregate per product and bucket of event time and come out, in the order of
-    (time, ord), once the watermark has passed their bucket's end; those that come after that are dropped. Times lie after 1970, where watermarks
-    begin. Needs the RocksDB state store."""
-    waiting = (stream.withWatermark("ts", delay).groupBy("product", F.window("ts", f"{bucket_ms} milliseconds").alias("w"))
+    no later than ``delay``; they wait in a native aggregate per product and time and come out, in the order of (time, ord), once the
+    watermark has passed them; later ones are dropped. ``bucket_ms`` is the stretch of time a very busy product is released
+    by. Times lie after 1970, where watermarks begin. Needs the RocksDB state store."""
+    waiting = (stream.filter("ts IS NOT NULL").withWatermark("ts", delay).groupBy("product", "ts")
                .agg(F.collect_list(F.struct("micros", "ord", "action")).alias("actions")))
-    released = waiting.select("product", F.unix_millis("w.start").alias("bucket"), "actions")
-    return released.groupBy("product").transformWithState(MissCounter(threshold), ALERTS, "Append", "None")
+    return waiting.select("product", "actions").groupBy("product").transformWithState(MissCounter(threshold, bucket_ms), ALERTS, "Append", "None")

@@ -114,16 +114,16 @@ class _State:
 
 
 def test_a_busy_product_waits_in_the_state(spark):
-    """Buckets in any order, most of them beyond what a call holds: the same rows, and nothing stays behind."""
+    """Times in any order, most of them beyond what a call holds: the same rows, and nothing stays behind."""
     rng = random.Random(7)
     kinds = [flows.RECORD, flows.RECORD, "acknowledge", flows.RESET]
-    actions = [(t, t % 7, rng.choice(kinds)) for t in range(200)]
-    buckets = [{"bucket": b, "actions": [dict(zip(("micros", "ord", "action"), a)) for a in actions[b * 10:b * 10 + 10][::-1]]} for b in range(20)]
-    rng.shuffle(buckets)
+    actions = [(t * 300, t % 7, rng.choice(kinds)) for t in range(200)]
+    rows = [{"actions": [dict(zip(("micros", "ord", "action"), a)) for a in actions[b * 10:b * 10 + 10][::-1]]} for b in range(20)]
+    rng.shuffle(rows)
     out = []
     for held in (1000, 25):
-        counter = flows.MissCounter(3, held)
+        counter = flows.MissCounter(3, 1, held)
         counter.counter, counter.waiting = _State(), _State()
-        out.append([tuple(r) for r in counter.handleInputRows(("p",), iter(json.loads(json.dumps(buckets))), None)])
+        out.append([tuple(r) for r in counter.handleInputRows(("p",), iter(json.loads(json.dumps(rows))), None)])
         assert not counter.waiting.map
     assert out[0] == out[1] and [r[1] for r in out[0]] == [t % 7 for t in range(200)]
