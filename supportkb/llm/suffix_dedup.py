@@ -34,6 +34,7 @@ LENGTH, GRAM = 100, 50
 HOT = 20_000
 BUCKET_ROWS = 50_000
 PIECE = 1 << 21
+STEP = 1 << 18      # windows whose anchors are found at a time: their columns of 8 bytes, not the texts, fill a worker
 _AT_BITS = np.uint64(24)
 
 
@@ -49,11 +50,11 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1:width - 1 + n])
 
 
-def anchored_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
+def anchored_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, step: int = STEP):
     """Runs of neighbouring windows with one anchor: row, anchor, first and last window start (places in ``data``),
-    hash of the anchor's gram. Long inputs are walked in steps; a window lies in one step as a whole."""
+    hash of the anchor's gram. Inputs are walked in steps; a window lies in one step as a whole, and a run that crosses steps is
+    two runs of one anchor."""
     out = []
-    step = 1 << 22
     prefix = common.prefix_hash(data)
     for lo in range(0, max(len(data) - length + 1, 0), step):
         n = min(step, len(data) - length + 1 - lo)
