@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from supportkb import defaults as D
 from supportkb.functions.text import clean_cell, contains_any, strip, unquote_stripped, with_fields
 from supportkb.operators.ordered import running_sums
-from supportkb.sizing import broadcast_if_small
+from supportkb.sizing import broadcast_if_small, cut_lineage
 
 FIELDS = [name for name, _ in D.COLUMN_RULES]
 ROW_BLOCK = 100_000
@@ -30,8 +30,8 @@ def split_quoted_rows(text: Column) -> Column:
 
 
 def _cleaned(row: Column) -> Column:
-    # Strip and unquote in two passes: inside a lambda a repeated expression is computed each time.
-    return F.transform(F.transform(row, strip), lambda c: clean_cell(unquote_stripped(c)))
+    # Strip and unquote in passes of their own: inside a lambda a repeated expression is computed each time.
+    return F.transform(F.transform(F.transform(row, strip), unquote_stripped), clean_cell)
 
 
 def sheet_rows(sheets: DataFrame) -> DataFrame:
@@ -125,8 +125,9 @@ def _items(rows: DataFrame) -> DataFrame:
 def large_sheet_rows(rows: DataFrame) -> DataFrame:
     """sheet, item_ord, cells of the non-blank rows of sheets whose rows (sheet, row_no, text) are rows of a table, so that a sheet
     of any size is many tasks."""
-    cells = _cleaned(F.get(split_quoted_rows(F.col("text")), F.lit(0)))
-    filled = rows.select("sheet", "row_no", cells.alias("cells")).filter(F.exists("cells", lambda c: c != ""))
+    # The cells are taken once: the filter reads a generated column, the running number what was written.
+    cells = F.struct(_cleaned(F.get(split_quoted_rows(F.col("text")), F.lit(0))).alias("cells"))
+    filled = cut_lineage(with_fields(rows, cells).select("sheet", "row_no", "cells").filter(F.exists("cells", lambda c: c != "")))
     numbered = running_sums(filled, ["sheet"], F.floor(F.col("row_no") / ROW_BLOCK), ["row_no"], _n=F.lit(1).cast("long"))
     return numbered.select("sheet", (F.col("_n") - 1).alias("item_ord"), "cells")
 
