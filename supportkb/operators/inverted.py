@@ -16,16 +16,24 @@ reach by its bound to be scored at all. The result equals scoring everything."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from supportkb.functions.text import TOKENIZERS
 from supportkb.operators.search import CHAT
-from supportkb.sizing import MAX_BROADCAST_ROWS, broadcast_if, cut_lineage, drop_cut, is_small, measure
+from supportkb.sizing import MAX_BROADCAST_ROWS, broadcast_if, cut_lineage, is_small, measure
 from supportkb.sources import versions
 
 SPAN_BITS, BUCKETS, FIRST_RANGES = 5, 16, 8
+STEP_BLOCKS = 32             # blocks counted at a time
 PARTS = {
     "docs": "layer string, row_ord long, name string, page string, head string, doc_len int",
     "postings": "layer string, tok string, block long, max_tf int, min_len int, postings array<struct<row_ord: long, tf: int, doc_len: int>>, bucket int",
@@ -37,13 +45,48 @@ def _bucket(tok: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(tok), F.lit(buckets)).cast("int")
 
 
-def _counted(tokens: str) -> Column:
-    """array<struct<tok, tf>> of an array of tokens: sorted, then the lengths of equal runs."""
-    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
-    runs = lambda s: let(F.filter(F.transform(s, lambda t, i: F.when((i == 0) | (F.get(s, i - 1) != t), i)), lambda i: i.isNotNull()),
-                         lambda starts: F.transform(starts, lambda at, j: F.struct(
-                             F.get(s, at).alias("tok"), (F.coalesce(F.get(starts, j + 1), F.size(s)) - at).alias("tf"))))
-    return let(F.array_sort(F.col(tokens)), runs)
+def _block_postings(schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The blocks of a task's rows (layer, row_ord, block, tokens), whose block numbers grow along the task and are in no other:
+    a row per (layer, tok, block). SPAN rows stay together over batches; counting is a sort of numbers."""
+    def count(t: pa.Table) -> pa.RecordBatch:
+        col = {c: t.column(c).combine_chunks() for c in t.column_names}
+        words = pc.dictionary_encode(pc.list_flatten(col["tokens"]))
+        layers = pc.dictionary_encode(col["layer"], null_encoding="encode")
+        lens = pc.list_value_length(col["tokens"]).to_numpy().astype(np.int32)
+        block, layer = col["block"].to_numpy(), layers.indices.to_numpy()
+        place = np.repeat(np.arange(len(lens), dtype=np.int64), lens)
+        pairs, tf = np.unique(words.indices.to_numpy().astype(np.int64) * len(lens) + place, return_counts=True)
+        code, row = pairs // len(lens), pairs % len(lens)
+        order = np.lexsort((row, block[row], layer[row], code))
+        code, row, tf = code[order], row[order], tf[order].astype(np.int32)
+        new = np.ones(len(row), dtype=bool)
+        new[1:] = (np.diff(code) != 0) | (np.diff(layer[row]) != 0) | (np.diff(block[row]) != 0)
+        first = np.flatnonzero(new)
+        entries = pa.StructArray.from_arrays([col["row_ord"].take(pa.array(row)), pa.array(tf), pa.array(lens[row])], fields=list(schema.field("postings").type.value_type))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), entries)
+        return pa.RecordBatch.from_arrays([
+            layers.dictionary.take(pa.array(layer[row[first]])), words.dictionary.take(pa.array(code[first])), pa.array(block[row[first]]),
+            pa.array(np.maximum.reduceat(tf, first)), pa.array(np.minimum.reduceat(lens[row], first)), lists.cast(schema.field("postings").type)], schema=schema)
+
+    def whole(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo, hi in zip(starts[:-1:STEP_BLOCKS], [*starts[STEP_BLOCKS:-1:STEP_BLOCKS], starts[-1]]):
+            part = t.slice(lo, hi - lo)
+            if pc.sum(pc.list_value_length(part.column("tokens"))).as_py():
+                yield count(part)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if not t.num_rows:
+                continue
+            starts = np.flatnonzero(np.diff(t.column("block").to_numpy(), prepend=-1))
+            yield from whole(t, starts)                     # the last block may go on in the next batch
+            rest = t.slice(starts[-1])
+        if rest is not None:
+            yield from whole(rest, np.array([0, rest.num_rows]))
+
+    return build
 
 
 def _raw_idf(n: Column, df: Column) -> Column:
@@ -61,24 +104,24 @@ the first segment."""
     number = known["version"] + 1
     base = f"{path}/segment={number}"
     chat = F.col("layer") == CHAT
+    tokens = TOKENIZERS[mode](F.col("blob"))
     docs = rows.select("layer", "row_ord", F.when(chat, F.col("ref")).otherwise(F.col("name")).alias("name"),
                        F.when(chat, F.col("name")).otherwise(F.col("page")).alias("page"),
-                       F.substring("blob", 1, 300).alias("head"), TOKENIZERS[mode](F.col("blob")).alias("tokens"))
-    # Written once: the running number of a row must be the same for its texts and its postings.
-    docs = cut_lineage(docs.withColumn("doc_len", F.size("tokens")).withColumn("doc", F.monotonically_increasing_id()))
-    docs.drop("tokens", "doc").write.mode("overwrite").parquet(f"{base}/docs")
-    sizes = docs.groupBy("layer").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_len").alias("len")).collect()   # a row per layer
-    # tokens are counted inside their row, so only one entry per (row, token) is shuffled, once
-    tf = docs.select("layer", F.shiftright("doc", SPAN_BITS).alias("block"), "row_ord", "doc_len", F.inline(_counted("tokens")))
-    blocks = (tf.groupBy("layer", "tok", "block")
-              .agg(F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"), F.collect_list(F.struct("row_ord", "tf", "doc_len")).alias("postings")))
+                       F.substring("blob", 1, 300).alias("head"), F.size(tokens).alias("doc_len"))
+    docs.write.mode("overwrite").parquet(f"{base}/docs")
+    sizes = (spark.read.schema(PARTS["docs"]).parquet(f"{base}/docs").groupBy("layer")
+             .agg(F.count(F.lit(1)).alias("n"), F.sum("doc_len").alias("len")).collect())   # a row per layer
+    # Neighbouring rows are rows of one task, so its blocks are whole and nothing is shuffled.
+    placed = rows.select("layer", F.col("row_ord").cast("long").alias("row_ord"),
+                         F.shiftright(F.monotonically_increasing_id(), SPAN_BITS).alias("block"), tokens.alias("tokens"))
+    schema = StructType(StructType.fromDDL(PARTS["postings"]).fields[:-1])
+    blocks = placed.mapInArrow(_block_postings(to_arrow_schema(schema)), schema)
     order = ["bucket", "layer", "tok", "block"]
     (blocks.withColumn("bucket", _bucket(F.col("tok"), known["buckets"])).sortWithinPartitions(*order)
      .write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/postings"))
     heads = spark.read.schema(PARTS["postings"]).parquet(f"{base}/postings")
     words = heads.groupBy("bucket", "layer", "tok").agg(F.sum(F.size("postings")).alias("df"))
     words.write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/vocabulary")
-    drop_cut(docs)
     layers = {layer: dict(v) for layer, v in known["layers"].items()}
     for r in sizes:
         have = layers.setdefault(r["layer"], {"n": 0, "len": 0})

@@ -75,3 +75,28 @@ def test_a_version_is_written_once(spark, tmp_path):
         versions.commit(spark, root, 1, {"a": 2})
     versions.commit(spark, root, 12, {"a": 3})
     assert versions.numbers(spark, root) == [1, 12] and versions.read(spark, root) == {"a": 3} and versions.read(spark, root, 1) == {"a": "ä"}
+
+
+def test_blocks_are_whole_and_tokens_are_not_written(spark, tmp_path, monkeypatch):
+    """Rows of a block may come in several batches; a block's postings are made in its task, without a copy of the tokens."""
+    rows, _ = _rows(spark)
+    rows = rows.unionByName(spark.createDataFrame([(None, 7, "n", "", "w1 w1 w2", ""), ("OCR", None, "n", "", "w1", ""), ("OCR", 9, "n", "", None, "")], ROWS))
+    path = str(tmp_path / "index")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        with monkeypatch.context() as m:
+            m.setattr(inverted, "cut_lineage", None)
+            inverted.append_segment(rows, path, "word", buckets=3)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    blocks = spark.read.schema(inverted.PARTS["postings"]).parquet(f"{path}/segment=1/postings").collect()
+    assert len({(r.layer, r.tok, r.block) for r in blocks}) == len(blocks) and max(len(r.postings) for r in blocks) > 20
+    assert all(len(r.postings) <= 1 << inverted.SPAN_BITS and r.max_tf == max(p.tf for p in r.postings)
+               and r.min_len == min(p.doc_len for p in r.postings) for r in blocks)
+    key = lambda t: tuple((v is not None, v) for v in t)
+    got = sorted(((r.layer, r.tok, p.row_ord, p.tf, p.doc_len) for r in blocks for p in r.postings), key=key)
+    want = []
+    for r in rows.collect():
+        words = (r.blob or "").split()
+        want += [(r.layer, w, r.row_ord, words.count(w), len(words)) for w in set(words)]
+    assert got == sorted(want, key=key)
