@@ -49,7 +49,7 @@ def _block_postings(schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], I
     """The blocks of a task's rows (layer, row_ord, block, tokens), whose block numbers grow along the task and are in no other:
     a row per (layer, tok, block). SPAN rows stay together over batches; counting is a sort of numbers."""
     def count(t: pa.Table) -> pa.RecordBatch:
-        col = {c: t.column(c).combine_chunks() for c in t.column_names}
+        col = {c: t.column(c).combine_chunks() for c in ("layer", "row_ord", "block", "tokens")}
         words = pc.dictionary_encode(pc.list_flatten(col["tokens"]))
         layers = pc.dictionary_encode(col["layer"], null_encoding="encode")
         lens = pc.list_value_length(col["tokens"]).to_numpy().astype(np.int32)
@@ -111,8 +111,9 @@ the first segment."""
     docs.write.mode("overwrite").parquet(f"{base}/docs")
     sizes = (spark.read.schema(PARTS["docs"]).parquet(f"{base}/docs").groupBy("layer")
              .agg(F.count(F.lit(1)).alias("n"), F.sum("doc_len").alias("len")).collect())   # a row per layer
-    # Neighbouring rows are rows of one task, so its blocks are whole and nothing is shuffled.
-    placed = rows.select("layer", F.col("row_ord").cast("long").alias("row_ord"),
+    # Neighbouring rows are rows of one task, so its blocks are whole and nothing is shuffled. Name, page and ref go along because a
+    # repartition before this places a row by all its columns.
+    placed = rows.select("layer", F.col("row_ord").cast("long").alias("row_ord"), "name", "page", "ref",
                          F.shiftright(F.monotonically_increasing_id(), SPAN_BITS).alias("block"), tokens.alias("tokens"))
     schema = StructType(StructType.fromDDL(PARTS["postings"]).fields[:-1])
     blocks = placed.mapInArrow(_block_postings(to_arrow_schema(schema)), schema)
